@@ -10,7 +10,9 @@ from lexmill.llm.bpe import digest, encode_decode
 from lexmill.llm.common import table
 from lexmill.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup
 from lexmill.llm.line_dedup import LINE_DEDUP_SQL, line_dedup
+from lexmill.llm.minhash import near_components
 from lexmill.llm.packing import pack
+from lexmill.llm.substring_dedup import substring_dedup
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,16 +23,24 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(encode_decode(table(spark, sf_dir, "documents")))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_line_dedup, op4_bpe, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_suffix_array, op4_bpe, op7_minhash, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
