@@ -265,24 +265,24 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return fit([r["text"] for r in drawn], [r["lang"] for r in drawn])
 
 
-def identify(df: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text", passed: tuple[str, ...] = ()) -> DataFrame:
-    """``df``'s id and ``passed`` columns, with ``lang_pred`` and ``score``.
+def identify(df: DataFrame, model: Crf, text_col: str = "text", passed: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``passed`` columns of ``df``, with ``lang_pred`` and ``score`` behind them.
 
     Whole texts are read. A null text, or one without a letter, is ``und`` with
     score 0. Rows that repeat an id stay. Each row alone, no shuffle.
     """
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(model)
     # A model has LANGUAGES * PLACES weights at most, however large the input is.
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    columns = [*passed, *([] if text_col in passed else [text_col])]
+    at, n = columns.index(text_col), len(passed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, rows=10_000, max_bytes=8 << 20):
-            labels, scores = predict(shared.value, pc.fill_null(block.column("__text"), ""))
-            kept = [block.column(i) for i in range(block.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*block.schema.names[:-1], "lang_pred", "score"])
+            labels, scores = predict(shared.value, pc.fill_null(block.column(at), ""))
+            yield pa.RecordBatch.from_arrays([*block.columns[:n], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*block.schema.names[:n], "lang_pred", "score"])
 
-    base = df.select(id_col, *passed, F.col(text_col).alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-1])
+    base = df.select(*columns)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:n])
     return base.mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
