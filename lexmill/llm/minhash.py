@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +18,6 @@ BANDS = 32
 ROWS = 5
 #: Members that one leader meets in one group of a task.
 GROUP = 256
-#: Star rounds at most before all open pairs of a bucket are compared ...
-STAR_ROUNDS = 6
-#: ... which happens sooner if they are at most so many times the texts.
-OPEN_PAIRS = 2.0
 
 
 def sketches(sets: list[np.ndarray], t: int) -> np.ndarray:
@@ -83,37 +78,112 @@ def _key(data: bytes) -> bytes | None:
     return hashlib.blake2b(data, digest_size=16).digest() if data else None
 
 
+def _met(k: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[int], list[np.ndarray], list[np.ndarray]]]:
+    """Rows sorted by leader, salt, and then leader before members -> leaders, members and their sets."""
+    leader, theirs = None, np.zeros(0, dtype=U)
+    for block in blocks(batches, max_bytes=1 << 20):
+        ids, salts, members = (block.column(i).to_pylist() for i in range(3))
+        sets = shingle_sets([t.encode() for t in block.column(3).to_pylist()], k)
+        out: tuple[list, list, list, list] = ([], [], [], [])
+        for a, salt, b, own in zip(ids, salts, members, sets, strict=True):
+            if b is None:
+                leader, theirs = (a, salt), own
+            elif leader == (a, salt):
+                for x, y in zip(out, (a, b, theirs, own), strict=True):
+                    x.append(y)
+        yield out
+
+
 def _compared(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by leader, salt and then leader before members."""
-        leader, theirs = None, np.zeros(0, dtype=U)
-        for block in blocks(batches, max_bytes=1 << 20):
-            ids, salts, members = (block.column(i).to_pylist() for i in range(3))
-            sets = shingle_sets([t.encode() for t in block.column(3).to_pylist()], k)
-            found: list[tuple[int, int]] = []
-            for a, salt, b, own in zip(ids, salts, members, sets, strict=True):
-                if b is None:
-                    leader, theirs = (a, salt), own
-                elif leader == (a, salt) and linked(theirs, own, percent):
-                    found.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
+        for leaders, members, theirs, own in _met(k, percent, batches):
+            found = [(a, b) for a, b, x, y in zip(leaders, members, theirs, own, strict=True) if linked(x, y, percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _differences(k: int, percent: int):
+    """As _compared, but a row for every member: its size, and what tells its set from the leader's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for leaders, members, theirs, own in _met(k, percent, batches):
+            deltas = [np.setxor1d(x, y, assume_unique=True).view(np.int64) for x, y in zip(theirs, own, strict=True)]
+            near = [linked(x, y, percent) for x, y in zip(theirs, own, strict=True)]
+            offsets = np.cumsum([0, *(len(d) for d in deltas)], dtype=np.int32)
+            values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*deltas, np.zeros(0, dtype=np.int64)])))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(leaders, pa.int64()), pa.array(members, pa.int64()), pa.array([len(x) for x in own], pa.int64()), pa.array(near, pa.bool_()), values],
+                ["a", "b", "size", "near", "delta"],
+            )
 
     return run
 
 
-def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough.
+def meet(pairs: DataFrame, texts: DataFrame, run, ddl: str) -> DataFrame:
+    """Hold each a against its partners b, on full texts, in groups of about GROUP.
 
-    Each a meets its partners in groups of GROUP, the text of a going to each
-    group; so no task holds more than a group, however many partners a has.
+    The text of a goes to each of its groups; so no task holds more than a group,
+    however many partners a has.
     """
     counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)).cast("int").alias("groups"))
     numbered = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("salt"))
-    members = numbered.join(texts, numbered["b"] == texts["doc_id"]).select("a", "salt", F.col("b"), "text")
+    members = numbered.join(texts, numbered["b"] == texts["doc_id"]).select("a", "salt", "b", "text")
     leaders = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"))
     leaders = leaders.join(texts, leaders["a"] == texts["doc_id"]).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
     dealt = members.union(leaders).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return dealt.mapInArrow(_compared(k, percent), "a long, b long")
+    return dealt.mapInArrow(run, ddl)
+
+
+def _linked_apart(percent: int):
+    """Rows (a, salt, open, b, component, size, delta), sorted by the first three -> links to other components.
+
+    Sets x and y whose differences from the same leader are X and Y differ in
+    |X| + |Y| - 2 |X and Y| shingles, and are linked if that is at most (100 -
+    percent) / (100 + percent) of the sum of their sizes. So only differences are
+    looked at, by an index of those of the group's members; of its links to one
+    component an open member reports one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, index = None, [], None
+
+        def build() -> tuple:
+            ids, parts, sizes = (np.array([h[i] for h in held], dtype=np.int64) for i in range(3))
+            deltas = [np.array(h[3], dtype=np.int64) for h in held]
+            tokens = np.concatenate([*deltas, np.zeros(0, dtype=np.int64)])
+            owner = np.repeat(np.arange(len(held)), [len(d) for d in deltas])
+            order = np.argsort(tokens, kind="stable")
+            return ids, parts, sizes, np.array([len(d) for d in deltas]), tokens[order], owner[order]
+
+        for block in blocks(batches):
+            found: list[tuple[int, int]] = []
+            for a, salt, open_, b, part, size, delta in zip(*(block.column(i).to_pylist() for i in range(7)), strict=True):
+                if group != (a, salt):
+                    group, held, index = (a, salt), [], None
+                if not open_:
+                    held.append((b, part, size, delta))
+                    continue
+                if not held:
+                    continue
+                if index is None:
+                    index = build()
+                ids, parts, sizes, counts, tokens, owner = index
+                mine = np.array(delta, dtype=np.int64)
+                lo, hi = np.searchsorted(tokens, mine, "left"), np.searchsorted(tokens, mine, "right")
+                n = hi - lo
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+                shared = np.bincount(owner[at], minlength=len(ids))
+                apart = counts + len(mine) - 2 * shared
+                # x and y are linked if 100 * common >= percent * union, with union - common = apart.
+                union = (sizes + size + apart) // 2
+                ok = (100 * (union - apart) >= percent * union) & (parts != part)
+                if ok.any():
+                    first = np.unique(parts[ok], return_index=True)[1]
+                    found += [(b, int(y)) for y in ids[ok][first]]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    return run
 
 
 def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 2, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -130,12 +200,14 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     1. Equal sets are grouped by digest; the smallest id stands for them.
     2. The sketch of each representative is cut into bands. Texts that share a
        band are candidates. No bucket is capped.
-    3. In a bucket every member is compared with one leader, on full sets. Buckets
-       whose members are in one component then are done. For the others another
-       leader is drawn, until the pairs still open are a small multiple of the
-       texts (or the rounds are used up); then all those pairs are compared. So
-       each pair that shares a bucket is compared or already connected, without
-       all pairs of a large group ever being made.
+    3. In each bucket all members are compared with the smallest, on full sets.
+       Buckets whose members are in one component then are done.
+    4. In the others all members meet the one that has most links so far, and what
+       tells their sets from its set is kept. From these differences the similarity
+       of any two members follows exactly; the members outside the largest
+       component are held against all others, block by block, in an index of the
+       differences. Pairs are not emitted, only links between components.
+    So each pair that shares a bucket is compared or already connected.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     signed = settle(docs.mapInArrow(_signed(k, bands, rows), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "sketches")
@@ -148,32 +220,35 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = settle(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidates")
 
-    links: list[DataFrame] = []
-    component = members.select(F.col("rep").alias("id"), F.col("rep").alias("component")).distinct()
-    last = False
-    for turn in range(STAR_ROUNDS + 1):
-        placed = members.join(component, members["rep"] == component["id"], "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-        if turn == 0:
-            open_ = placed
-        else:
-            bounds = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-            open_ = settle(placed.join(bounds, "bucket", "left_semi"), "open")
-            by = open_.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-            left, size = by.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.sum("n")).first()
-            if not left:
-                break
-            last = turn == STAR_ROUNDS or left <= max(OPEN_PAIRS * size, 10_000)
-        if last:
-            x, y = open_.alias("x"), open_.alias("y")
-            pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-        else:
-            order = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
-            lead = open_.groupBy("bucket").agg(F.min_by("rep", order).alias("a"), F.min_by("component", order).alias("led"))
-            pairs = open_.join(lead, "bucket").where((F.col("rep") != F.col("a")) & ((F.col("component") != F.col("led")) | F.lit(turn == 0))).select("a", F.col("rep").alias("b")).distinct()
-        links.append(settle(verify(settle(pairs, "pairs"), texts, k, percent), "links"))
-        component = settle(connected_components(reduce(DataFrame.union, links)), "components")
-        if last:
-            break
+    lead = members.groupBy("bucket").agg(F.min("rep").alias("a"))
+    pairs = settle(members.join(lead, "bucket").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "pairs")
+    links = settle(meet(pairs, texts, _compared(k, percent), "a long, b long"), "links")
+
+    def placed(rows: DataFrame, of: str, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        component = settle(connected_components(links), "components")
+        return rows.join(component, rows[of] == component["id"], "left").withColumn("component", F.coalesce("component", of)).drop("id"), component
+
+    at, component = placed(members, "rep", links)
+    undone = at.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    at = at.join(undone, "bucket", "left_semi").join(degree, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("degree", F.lit(0)).alias("degree"))
+    at = settle(at, "undone")
+    lead = at.groupBy("bucket").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("a"))
+    pairs = settle(at.join(lead, "bucket").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "pairs")
+    met = settle(meet(pairs, texts, _differences(k, percent), "a long, b long, size long, near boolean, delta array<long>"), "differences")
+    links = links.union(met.where("near").select("a", "b"))
+
+    group, component = placed(met, "b", links)
+    tally = group.groupBy("a", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("a")
+    tally = tally.agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.ceil(F.sum("n") / F.lit(2 * GROUP)).cast("int").alias("groups"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    tally = settle(tally, "tally")
+    group = group.join(tally, "a")
+    columns = ["b", "component", "size", "delta"]
+    held = group.select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("salt"), F.lit(False).alias("open"), *columns)
+    unsure = group.where(F.col("component") != F.col("largest")).select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.lit(True).alias("open"), *columns)
+    dealt = held.union(unsure).repartition("a", "salt").sortWithinPartitions("a", "salt", "open")
+    links = links.union(settle(dealt.mapInArrow(_linked_apart(percent), "a long, b long"), "links"))
+    component = settle(connected_components(links), "components")
     classes = reps.join(component, reps["rep"] == component["id"], "left").select("set_key", F.coalesce("component", "rep").alias("class"))
     out = signed.drop("bands").join(classes, "set_key", "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")))
