@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import json
 import re
@@ -15,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lexmill.llm.common import blocks, id_and_text
-from lexmill.llm.word_bpe import RunCache, default_tokenizer_path, run_cache
+from lexmill.llm.word_bpe import RunCache, default_tokenizer_path, lower, run_cache
 
 
 @lru_cache(maxsize=1)
@@ -27,17 +26,16 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
-def lower(text: str) -> str:
-    """Lower case of each character by itself: a capital sigma has no final form."""
-    return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
+def compile_words(spec: dict):
+    import regex
+
+    return regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
 
 
 class WordBpe:
     """Encoder and decoder of one vocabulary file of words with ends."""
 
     def __init__(self, path: str) -> None:
-        import regex
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -47,10 +45,14 @@ class WordBpe:
         self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, (a, b) in enumerate(merges):
             self.ranks.setdefault((self.ids[a], self.ids[b]), (rank, self.ids[a + b]))
+        letters = byte_letters()
+        self._inner = [self.ids.get(c, -1) for c in letters]
+        self._final = [self.ids.get(c + self.end, -1) for c in letters]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in self.ids.items()} | {i: s for s, i in self.special.items()}
+        self.by_id = [self.strings.get(i, "") for i in range(1 + max(self.strings))]
         self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self._tokens = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self._tokens = compile_words(spec)
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Merge by rank, lowest first and leftmost among equals, until no rank is left.
@@ -83,14 +85,15 @@ class WordBpe:
                 heapq.heappush(queue, (found[0], h, symbols[h], symbols[i]))
         return [s for s in symbols if s >= 0]
 
+    def encode_word(self, word: str) -> list[int]:
+        """A word of normalised text."""
+        data = word.encode()
+        symbols = [self._inner[b] for b in data[:-1]]
+        symbols.append(self._final[data[-1]])
+        return self.merge([s for s in symbols if s >= 0])
+
     def _encode_plain(self, text: str) -> list[int]:
-        out: list[int] = []
-        letters = byte_letters()
-        for word in self._tokens.findall(lower(unicodedata.normalize("NFC", text))):
-            shown = [letters[b] for b in word.encode()]
-            shown[-1] += self.end
-            out += self.merge([self.ids[s] for s in shown if s in self.ids])
-        return out
+        return [i for word in self._tokens.findall(lower(unicodedata.normalize("NFC", text))) for i in self.encode_word(word)]
 
     def encode(self, text: str) -> list[int]:
         if not self._special:
@@ -113,10 +116,30 @@ class OwnRunCache(RunCache):
 
     def __init__(self, path: str) -> None:
         self.bpe = WordBpe(path)
-        self._known: dict[str, bytes] = {}
+        self.pattern, self.special = self.bpe._tokens, self.bpe.special
+        self.known: dict[str, bytes] = {}
+
+    def encode_run(self, run: str) -> bytes:
+        return np.array(self.bpe.encode(run), dtype="<u4").tobytes()
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        one = self.bpe.encode_word
+        ids = [one(w) for w in words]
+        data = np.fromiter((i for x in ids for i in x), dtype="<u4").tobytes()
+        bounds = [0, *(4 * np.cumsum([len(x) for x in ids])).tolist()]
+        return [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
-    def encode_runs(self, runs: list[str]) -> list[bytes]:
-        return [np.array(self.bpe.encode(r), dtype="<u4").tobytes() for r in runs]
+
+def _decoded(cache: OwnRunCache, ids: list[bytes]) -> list[str | None]:
+    """What each part decodes to; None if it has no ids."""
+    strings = cache.bpe.by_id
+    numbers = np.frombuffer(b"".join(ids), dtype="<u4").tolist()
+    out, at = [], 0
+    for x in ids:
+        n = len(x) // 4
+        out.append(" ".join([strings[i] for i in numbers[at : at + n]]) if n else None)
+        at += n
+    return out
 
 
 def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None) -> DataFrame:
@@ -130,10 +153,9 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = run_cache(OwnRunCache, path)
-        for block in blocks(batches):
-            ids = cache.encode(block.column(1).to_pylist())
-            texts = [cache.bpe.decode(np.frombuffer(x, dtype="<u4").tolist()) for x in ids]
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+        for block in blocks(batches, rows=10_000, max_bytes=16 << 20):
+            found = cache.numbered(block.column(1))
+            yield pa.RecordBatch.from_arrays([block.column(0), found.ids(), found.spelt(_decoded(cache, found.part_ids))], ["doc_id", "ids", "decoded"])
 
     return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, decoded string")
 
@@ -149,6 +171,3 @@ def digest(ids_and_text: DataFrame) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
-
-def sha256(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
