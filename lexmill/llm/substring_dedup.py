@@ -19,7 +19,9 @@ GRAM = 100
 #: Bytes of context on either side of a gram that a window over it can reach.
 SIDE = WINDOW - GRAM
 #: Contexts of one gram that a task sorts at once; those of commoner grams are dealt out window by window.
-SORTED_AT_ONCE = 4096
+SORTED_AT_ONCE = 16384
+#: Bytes of a digit of the radix sort.
+DIGIT = 40
 _NONE = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -82,35 +84,57 @@ class Texts:
         return gram, context, left, right
 
 
+def _longest_shared(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """How many leading bytes each row shares with any other of its group (-1: it is alone).
+
+    Rows are sorted by group and then by digits of 8 bytes; neighbours share most.
+    """
+    m, width = rows.shape
+    digits = np.zeros((m, -(-width // 8) * 8), dtype=np.uint8)
+    digits[:, :width] = rows
+    order = np.lexsort((*digits.view(">u8").astype(U).T[::-1], group))
+    a, g = rows[order], group[order]
+    same = a[1:] == a[:-1]
+    shared = np.where(same.all(axis=1), width, same.argmin(axis=1))
+    shared[g[1:] != g[:-1]] = -1
+    best = np.full(m, -1, dtype=np.int64)
+    best[order[1:]] = shared
+    best[order[:-1]] = np.maximum(best[order[:-1]], shared)
+    return best
+
+
 def repeated_windows(contexts: np.ndarray, left: np.ndarray, right: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each context, from where to where repeated windows cover it (-1, -1: nowhere).
 
     ``contexts``: rows of SIDE + GRAM + SIDE bytes around grams; ``group``: equal
-    for equal grams. The windows of a group that lie at the same place relative to
-    the gram are sorted by most-significant-digit passes of 8 bytes, no deeper
+    for equal grams. First the sides are sorted outwards from the gram: a window that
+    reaches farther than any other context agrees can't repeat. The other windows of
+    a group that lie at the same place relative to the gram are sorted by most-significant-digit passes of 8 bytes, no deeper
     than WINDOW bytes: a pass splits each group by its next digit and windows that
     are alone leave. What is left after the last pass are the repeated windows.
     """
     m = len(contexts)
-    words = np.zeros((m, contexts.shape[1] - 7), dtype=U)
-    for k in range(8):
-        words |= contexts[:, k : k + words.shape[1]].astype(U) << U(56 - 8 * k)
+    left = np.minimum(left, _longest_shared(contexts[:, :SIDE][:, ::-1], group))
+    right = np.minimum(right, _longest_shared(contexts[:, SIDE + GRAM :], group))
     first = SIDE - left
-    count = np.minimum(SIDE, right) - first + 1
+    count = np.where((left >= 0) & (right >= first), np.minimum(SIDE, right) - first + 1, 0)
     row = np.repeat(np.arange(m), count)
     start = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[row]
     same = group[row] * (SIDE + 1) + start
-    for digit in range(0, WINDOW, 8):
-        value = words[row, start + digit]
+    text = Texts([contexts.tobytes()])
+    at = row * contexts.shape[1] + start
+    for digit in range(0, WINDOW, DIGIT):
+        value = text.hashes(at + digit, at + digit + DIGIT)
         order = np.lexsort((value, same))
-        row, start, same, value = row[order], start[order], same[order], value[order]
-        new = np.ones(len(row), dtype=bool)
+        at, same, value = at[order], same[order], value[order]
+        new = np.ones(len(at), dtype=bool)
         new[1:] = (same[1:] != same[:-1]) | (value[1:] != value[:-1])
         same = np.cumsum(new) - 1
         many = np.bincount(same, minlength=1)[same] > 1 if len(same) else np.zeros(0, dtype=bool)
-        row, start, same = row[many], start[many], same[many]
-        if not len(row):
+        at, same = at[many], same[many]
+        if not len(at):
             break
+    row, start = np.divmod(at, contexts.shape[1])
     lo, hi = np.full(m, WINDOW + SIDE, dtype=np.int64), np.full(m, -1, dtype=np.int64)
     np.minimum.at(lo, row, start)
     np.maximum.at(hi, row, start + WINDOW)
@@ -182,7 +206,7 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         take = (hi >= 0) & table["one"].to_numpy(zero_copy_only=False).astype(bool)
         return pa.RecordBatch.from_arrays([pa.array(x[take]) for x in (gram, table["context"].to_numpy(), lo, hi)], ["gram", "context", "lo", "hi"])
 
-    for block in blocks(batches, rows=1500):
+    for block in blocks(batches, rows=4000):
         held.append(block)
         table = pa.Table.from_batches(held)
         gram = table["gram"].to_numpy()
