@@ -18,7 +18,7 @@ from lexmill.llm.shingles import mix
 #: A payload is a multiple of so many bytes, and not empty.
 UNIT = 64
 #: Bytes of a chunk: least, most, and the bits of the gear hash that are 0 at a cut.
-LEAST, MOST, CUT_BITS = 1024, 16384, 12
+LEAST, MOST, CUT_BITS = 2048, 32768, 13
 #: Sample rate that the stored form states.
 RATE = 8000
 #: A chunk of more references than this is joined in SALTS copies.
@@ -90,7 +90,7 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, text) -> a row (digest, data) for each chunk, data compressed."""
     import zstandard
 
-    press = zstandard.ZstdCompressor(level=3, write_content_size=True, write_checksum=False)
+    press = zstandard.ZstdCompressor(level=9, write_content_size=True, write_checksum=False)
     for block in blocks(batches):
         chunks = [c for t in block.column(1).to_pylist() for c in chunks_of(payload_of(t.encode()))]
         yield pa.RecordBatch.from_arrays([pa.array([digest(c) for c in chunks], pa.binary()), pa.array([press.compress(c) for c in chunks], pa.binary())], ["digest", "data"])
