@@ -16,8 +16,8 @@ from lexmill.llm.minhash import near_components
 from lexmill.llm.packing import pack
 from lexmill.llm.substring_dedup import without_repeats
 
-#: A document whose language scores less is rejected.
-LEAST_SCORE = 0.5
+#: A document is rejected if its likeliest language scores less, as of text that is like none or all of them.
+LEAST_SCORE = 0.35
 
 
 def _measured(docs: DataFrame) -> DataFrame:

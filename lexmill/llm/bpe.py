@@ -118,6 +118,7 @@ class OwnRunCache(RunCache):
         self.bpe = WordBpe(path)
         self.pattern, self.special = self.bpe._tokens, self.bpe.special
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode_run(self, run: str) -> bytes:
         return np.array(self.bpe.encode(run), dtype="<u4").tobytes()
@@ -153,7 +154,7 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = run_cache(OwnRunCache, path)
-        for block in blocks(batches, rows=10_000, max_bytes=16 << 20):
+        for block in blocks(batches, rows=10_000, max_bytes=4 << 20):
             found = cache.numbered(block.column(1))
             yield pa.RecordBatch.from_arrays([block.column(0), found.ids(), found.spelt(_decoded(cache, found.part_ids))], ["doc_id", "ids", "decoded"])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -50,11 +51,23 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def blocks(batches: Iterator[pa.RecordBatch], rows: int = BLOCK_ROWS, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``rows`` rows and about ``max_bytes`` (one long row stays whole)."""
-    for batch in batches:
-        start = 0
-        while start < batch.num_rows:
-            n = min(rows, batch.num_rows - start)
-            while n > 1 and batch.slice(start, n).get_total_buffer_size() and sum(c.nbytes for c in batch.slice(start, n).columns) > max_bytes:
-                n = (n + 1) // 2
-            yield batch.slice(start, n)
-            start += n
+    try:
+        for batch in batches:
+            start = 0
+            while start < batch.num_rows:
+                n = min(rows, batch.num_rows - start)
+                while n > 1 and sum(c.nbytes for c in batch.slice(start, n).columns) > max_bytes:
+                    n = (n + 1) // 2
+                yield batch.slice(start, n)
+                start += n
+    finally:
+        tidy()
+
+
+def tidy() -> None:
+    """Give freed memory back to the system: a worker lives on after its task, beside others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

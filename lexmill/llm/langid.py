@@ -16,6 +16,10 @@ from lexmill.llm.shingles import U, mix
 
 #: Documents of each language, words of each and languages that a model is fitted to, at most.
 SAMPLE, SAMPLE_WORDS, LANGUAGES = 400, 200, 100
+#: Characters of a sampled document that reach the driver, from a place that its id's hash gives.
+SAMPLE_CHARS = 4000
+#: Distinct words whose features are held at once.
+WORDS_AT_ONCE = 16384
 #: Places of the hashed weights.
 PLACES = 1 << 17
 #: Words of a chain: longer texts are several chains.
@@ -89,10 +93,12 @@ def word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def emissions(words: pa.Array, emit: np.ndarray) -> np.ndarray:
     """The summed weights of each word's features, by label."""
-    word, place = word_features(words)
     out = np.zeros((len(words), emit.shape[1]), dtype=np.float32)
-    for k in range(emit.shape[1]):
-        out[:, k] = np.bincount(word, weights=emit[place, k], minlength=len(words))
+    for a in range(0, len(words), WORDS_AT_ONCE):
+        part = words[a : a + WORDS_AT_ONCE]
+        word, place = word_features(part)
+        for k in range(emit.shape[1]):
+            out[a : a + len(part), k] = np.bincount(word, weights=emit[place, k], minlength=len(part))
     return out
 
 
@@ -159,15 +165,22 @@ def fit(texts: list[str], labels: list[str], seed: int = 7, rounds: int = 6, rat
     owner, number, words = words_of(pa.array(texts, pa.string()))
     if k < 2 or not len(owner):
         return Crf(names, emit, move, start)
+    new = np.ones(len(owner), dtype=bool)
+    new[1:] = owner[1:] != owner[:-1]
+    first = np.flatnonzero(new)
+    near = np.arange(len(owner)) - np.repeat(first, np.diff([*first, len(owner)])) < SAMPLE_WORDS
+    owner = owner[near]
+    used, number = np.unique(number[near], return_inverse=True)
+    words = words.take(pa.array(used))
     gold_of = np.array([names.index(x) for x in labels])
     rng = np.random.default_rng(seed)
     by_text = np.split(np.arange(len(owner)), np.flatnonzero(np.diff(owner)) + 1)
     stretches = []
     for own in by_text:
         at = 0
-        while at < min(len(own), SAMPLE_WORDS):
+        while at < len(own):
             n = int(rng.integers(4, 25))
-            stretches.append(own[at : min(at + n, SAMPLE_WORDS)])
+            stretches.append(own[at : at + n])
             at += n
     order, feature = word_features(words)
     sort = np.argsort(order, kind="stable")
@@ -259,8 +272,8 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     wanted = F.lit(False)
     for lang, n in counts:
         wanted = wanted | ((F.col("lang") == lang) & (draw < min(span, int(span * sample / n) + 1)))
-    # Of very long texts a run of words is enough; SAMPLE_WORDS bounds it anyhow.
-    drawn = rows.where(wanted).limit(2 * sample * len(counts)).collect()
+    start = F.lit(1) + F.pmod(F.xxhash64("id"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int")
+    drawn = rows.where(wanted).limit(2 * sample * len(counts)).select("id", F.substr("text", start, F.lit(SAMPLE_CHARS)).alias("text"), "lang").collect()
     drawn.sort(key=lambda r: (r["id"] is None, r["id"], r["text"]))
     return fit([r["text"] for r in drawn], [r["lang"] for r in drawn])
 
@@ -277,7 +290,7 @@ def identify(df: DataFrame, model: Crf, text_col: str = "text", passed: tuple[st
     at, n = columns.index(text_col), len(passed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, rows=10_000, max_bytes=8 << 20):
+        for block in blocks(batches, rows=10_000, max_bytes=4 << 20):
             labels, scores = predict(shared.value, pc.fill_null(block.column(at), ""))
             yield pa.RecordBatch.from_arrays([*block.columns[:n], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*block.schema.names[:n], "lang_pred", "score"])
 

@@ -114,7 +114,7 @@ def _packed(path: str, sequence: int, windows: int):
         task = TaskContext.get().partitionId()
         cache, packer = run_cache(RunCache, path), Packer(task << 32, sequence, windows)
         end = END_ID.to_bytes(4, "little")
-        for block in blocks(batches, rows=10_000, max_bytes=16 << 20):
+        for block in blocks(batches, rows=10_000, max_bytes=4 << 20):
             for doc_id, ids in zip(block.column(0).to_pylist(), cache.encode(block.column(1)), strict=True):
                 whole = memoryview(ids + end)
                 packer.add(Piece(doc_id, 0, whole, len(whole) // 4))

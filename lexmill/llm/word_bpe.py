@@ -19,9 +19,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Entries that a worker's cache may hold, and the longest word that it keeps.
-CACHED_WORDS = 800_000
+#: Entries of each of the two generations of a worker's cache, and the longest word that it keeps.
+CACHED_WORDS = 200_000
 CACHED_LENGTH = 48
+#: Words that the library encodes at once.
+ENCODED_AT_ONCE = 16384
 #: Punctuation at the end of a run, behind a letter or digit, is a word of its own.
 _TAIL = r"(\pL|\pN)([!-&(-/:;=-@\[-`{-~]+)$"
 #: For lower-case ASCII the same as the vocabulary's own pattern.
@@ -58,6 +60,7 @@ class RunCache:
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode_run(self, run: str) -> bytes:
         """A run as it stands, special tokens in it included."""
@@ -86,12 +89,18 @@ class RunCache:
 
     def resolve(self, parts: list[str]) -> list[bytes]:
         if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        get = self.known.get
+            self.known, self.older = {}, self.known
+        get, older, known = self.known.get, self.older, self.known
         out = [get(p) for p in parts]
+        for i, x in enumerate(out):
+            if x is None and parts[i] in older:
+                out[i] = known[parts[i]] = older[parts[i]]
         open_ = [(i, self.split(parts[i])) for i, x in enumerate(out) if x is None]
         fresh = list({w for _, words in open_ if words for w in words if w not in self.known})
-        found = dict(zip(fresh, self.encode_words(fresh), strict=True)) if fresh else {}
+        found: dict[str, bytes] = {}
+        for a in range(0, len(fresh), ENCODED_AT_ONCE):
+            part = fresh[a : a + ENCODED_AT_ONCE]
+            found.update(zip(part, self.encode_words(part), strict=True))
         for i, words in open_:
             if words is None:
                 ids = self.encode_run(parts[i])
