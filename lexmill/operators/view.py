@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from lexmill.functions.masks import NameMasks, parse_masks
 from lexmill.functions.paths import components, extension, result_leaf, result_path
@@ -55,12 +56,18 @@ def view(results: DataFrame, spec: ViewSpec) -> DataFrame:
 def ranked(results: DataFrame, spec: ViewSpec) -> DataFrame:
     """The view with its order as a column, ``place``.
 
-    The place is the row's number in the sorted list; the sort is by range, and the
-    numbers of each range start where the one before ends.
+    The sort deals rows out by range; a row's place is its number in its range
+    behind all rows of the ranges before. The sorted rows are kept, as they are
+    counted and numbered from one and the same division into ranges; the table of
+    counts has a row per range.
     """
-    rows = view(results, spec)
-    marked = rows.withColumn("_part", F.spark_partition_id()).withColumn("_n", F.monotonically_increasing_id())
-    return marked.withColumn("place", F.row_number().over(Window.orderBy("_n")).cast("long")).drop("_part", "_n")
+    rows = view(results, spec).withColumns({"_part": F.spark_partition_id(), "_n": F.monotonically_increasing_id()})
+    rows = rows.persist(StorageLevel.DISK_ONLY)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    counts = counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    inside = F.col("_n").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(F.broadcast(counts), "_part").withColumn("place", (F.col("_before") + inside + 1).cast("long")).drop("_part", "_n", "_before")
 
 
 def export_lines(occurrences: DataFrame) -> DataFrame:
