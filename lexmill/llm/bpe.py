@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lexmill.llm.common import blocks, id_and_text
+from lexmill.llm.common import blocks, id_and_text, in_batches
 from lexmill.llm.word_bpe import RunCache, default_tokenizer_path, lower, run_cache
 
 
@@ -154,11 +154,11 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = run_cache(OwnRunCache, path)
-        for block in blocks(batches, rows=10_000, max_bytes=4 << 20):
+        for block in blocks(batches, rows=10_000, max_bytes=8 << 20):
             found = cache.numbered(block.column(1))
             yield pa.RecordBatch.from_arrays([block.column(0), found.ids(), found.spelt(_decoded(cache, found.part_ids))], ["doc_id", "ids", "decoded"])
 
-    return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, decoded string")
+    return id_and_text(df, id_col, text_col).transform(in_batches, run, "doc_id long, ids binary, decoded string")
 
 
 def digest(ids_and_text: DataFrame) -> DataFrame:

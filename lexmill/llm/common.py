@@ -44,6 +44,22 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of an Arrow batch: both the JVM and the Python worker hold some at once.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def in_batches(df: DataFrame, run, ddl: str) -> DataFrame:
+    """``df.mapInArrow(run, ddl)`` with batches that a long text doesn't swell to hundreds of MB.
+
+    Spark sizes batches by session settings only, so these are set here; they bound
+    memory and change no result.
+    """
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, ddl)
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns the operators work on; null text is the empty text."""
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import blocks
+from lexmill.llm.common import blocks, in_batches
 from lexmill.llm.shingles import U, mix
 
 #: Documents of each language, words of each and languages that a model is fitted to, at most.
@@ -296,7 +296,7 @@ def identify(df: DataFrame, model: Crf, text_col: str = "text", passed: tuple[st
 
     base = df.select(*columns)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:n])
-    return base.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return base.transform(in_batches, run, f"{fields}, lang_pred string, score double")
 
 
 def language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

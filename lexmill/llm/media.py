@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import blocks, id_and_text
+from lexmill.llm.common import blocks, id_and_text, in_batches
 from lexmill.llm.shingles import mix
 
 #: A payload is a multiple of so many bytes, and not empty.
@@ -141,12 +141,12 @@ READ_DDL = "key binary, n_bytes long, payload_bytes long, payload_sha256 string,
 
 def chunk_store(keyed: DataFrame) -> DataFrame:
     """``digest, data, refs``: each distinct chunk of the texts (key, text) once."""
-    return keyed.mapInArrow(_stored, "digest binary, data binary").groupBy("digest").agg(F.first("data").alias("data"), F.count(F.lit(1)).alias("refs"))
+    return keyed.transform(in_batches, _stored, "digest binary, data binary").groupBy("digest").agg(F.first("data").alias("data"), F.count(F.lit(1)).alias("refs"))
 
 
 def chunk_lists(keyed: DataFrame) -> DataFrame:
     """``key, n_bytes, header, chunks, place, digest``: the ordered chunks of each distinct text."""
-    return keyed.mapInArrow(_listed, "key binary, n_bytes long, header binary, chunks long, place long, digest binary").dropDuplicates(["key", "place"])
+    return keyed.transform(in_batches, _listed, "key binary, n_bytes long, header binary, chunks long, place long, digest binary").dropDuplicates(["key", "place"])
 
 
 def read_media(lists: DataFrame, store: DataFrame) -> DataFrame:
@@ -161,8 +161,8 @@ def read_media(lists: DataFrame, store: DataFrame) -> DataFrame:
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     hot = lists.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(store.where(F.col("refs") > HOT).withColumn("salt", salts), ["digest", "salt"]).select(*columns)
     found = cold.union(hot)
-    single = found.where("chunks = 1").mapInArrow(_read, READ_DDL)
-    several = found.where("chunks > 1").repartition("key").sortWithinPartitions("key", "place").mapInArrow(_read, READ_DDL)
+    single = found.where("chunks = 1").transform(in_batches, _read, READ_DDL)
+    several = found.where("chunks > 1").repartition("key").sortWithinPartitions("key", "place").transform(in_batches, _read, READ_DDL)
     return single.union(several)
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import blocks, settle
+from lexmill.llm.common import blocks, in_batches, settle
 from lexmill.llm.components import connected_components
 from lexmill.llm.shingles import U, linked, mix, shingle_sets
 
@@ -132,7 +132,7 @@ def meet(pairs: DataFrame, texts: DataFrame, run, ddl: str) -> DataFrame:
     leaders = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"))
     leaders = leaders.join(texts, leaders["a"] == texts["doc_id"]).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
     dealt = members.union(leaders).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return dealt.mapInArrow(run, ddl)
+    return dealt.transform(in_batches, run, ddl)
 
 
 def _linked_apart(percent: int):
@@ -210,7 +210,7 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     So each pair that shares a bucket is compared or already connected.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    signed = settle(docs.mapInArrow(_signed(k, bands, rows), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "sketches")
+    signed = settle(docs.transform(in_batches, _signed(k, bands, rows), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "sketches")
     known = signed.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
     reps = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
     reps = settle(reps, "representatives")
@@ -247,7 +247,7 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     held = group.select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("salt"), F.lit(False).alias("open"), *columns)
     unsure = group.where(F.col("component") != F.col("largest")).select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.lit(True).alias("open"), *columns)
     dealt = held.union(unsure).repartition("a", "salt").sortWithinPartitions("a", "salt", "open")
-    links = links.union(settle(dealt.mapInArrow(_linked_apart(percent), "a long, b long"), "links"))
+    links = links.union(settle(dealt.transform(in_batches, _linked_apart(percent), "a long, b long"), "links"))
     component = settle(connected_components(links), "components")
     classes = reps.join(component, reps["rep"] == component["id"], "left").select("set_key", F.coalesce("component", "rep").alias("class"))
     out = signed.drop("bands").join(classes, "set_key", "left")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import blocks, id_and_text, settle
+from lexmill.llm.common import blocks, id_and_text, in_batches, settle
 from lexmill.llm.word_bpe import RunCache, default_tokenizer_path, run_cache
 
 #: Tokens of a sequence, open windows of a partition, the id after each document.
@@ -114,7 +114,7 @@ def _packed(path: str, sequence: int, windows: int):
         task = TaskContext.get().partitionId()
         cache, packer = run_cache(RunCache, path), Packer(task << 32, sequence, windows)
         end = END_ID.to_bytes(4, "little")
-        for block in blocks(batches, rows=10_000, max_bytes=4 << 20):
+        for block in blocks(batches, rows=10_000, max_bytes=8 << 20):
             for doc_id, ids in zip(block.column(0).to_pylist(), cache.encode(block.column(1)), strict=True):
                 whole = memoryview(ids + end)
                 packer.add(Piece(doc_id, 0, whole, len(whole) // 4))
@@ -155,7 +155,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
     sequence depends on how the input is split; every id is in one piece always.
     """
     path = tokenizer_path or default_tokenizer_path()
-    pieces = settle(id_and_text(df, id_col, text_col).mapInArrow(_packed(path, sequence, windows), DDL), "pieces")
+    pieces = settle(id_and_text(df, id_col, text_col).transform(in_batches, _packed(path, sequence, windows), DDL), "pieces")
     rest = pieces.where(F.col("ids").isNotNull()).withColumn("part", F.floor(F.col("task") / MERGED).cast("long"))
     merged = rest.groupBy("part").applyInArrow(_merged(sequence), DDL)
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]

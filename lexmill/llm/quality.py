@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import blocks
+from lexmill.llm.common import blocks, in_batches
 
 #: Positive and unlabelled documents that a model is fitted to, about.
 POSITIVES, UNLABELLED = 2000, 4000
@@ -155,7 +155,7 @@ def _drawn(rows: DataFrame, wanted: int, salt: str) -> DataFrame:
 
 
 def _matrix(rows: DataFrame) -> np.ndarray:
-    found = sorted((r["doc_id"], bytes(r["x"])) for r in rows.where("doc_id IS NOT NULL").mapInArrow(_featured, "doc_id long, x binary").collect())
+    found = sorted((r["doc_id"], bytes(r["x"])) for r in rows.where("doc_id IS NOT NULL").transform(in_batches, _featured, "doc_id long, x binary").collect())
     return np.frombuffer(b"".join(x for _, x in found), dtype=np.float32).reshape(-1, N_FEATURES).astype(np.float64)
 
 
@@ -189,5 +189,5 @@ def quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             s = shared.value.score(features(texts)) if shared.value else np.full(len(texts), 0.5)
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
 
-    scored = docs.mapInArrow(run, "doc_id long, score double")
+    scored = docs.transform(in_batches, run, "doc_id long, score double")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

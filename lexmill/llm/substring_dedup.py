@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import blocks, settle
+from lexmill.llm.common import blocks, in_batches, settle
 from lexmill.llm.shingles import U, mix, powers
 
 #: Bytes of a string that counts as repeated, and of the grams at which suffixes are anchored.
@@ -301,12 +301,12 @@ def cut_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     docs = _keyed(df, id_col, text_col)
     long = docs.where(F.octet_length("text") >= WINDOW)
-    grams = long.mapInArrow(_anchored(False), "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    grams = long.transform(in_batches, _anchored(False), "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
     grams = settle(grams, "grams")
-    anchors = long.mapInArrow(_anchored(True), "gram long, doc long, fp long, place long").join(grams, "gram", "left_semi")
+    anchors = long.transform(in_batches, _anchored(True), "gram long, doc long, fp long, place long").join(grams, "gram", "left_semi")
     places = anchors.groupBy("doc", "fp").agg(F.collect_list("place").alias("places"))
     touched = settle(long.join(places, ["doc", "fp"]).select("doc", "fp", "text", "places"), "touched")
-    members = settle(touched.mapInArrow(_members, "gram long, context long, doc long, fp long, place long, left long, right long"), "members")
+    members = settle(touched.transform(in_batches, _members, "gram long, context long, doc long, fp long, place long, left long, right long"), "members")
 
     classes = members.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "fp", "place")).alias("at"))
     classes = settle(classes, "contexts")
@@ -314,10 +314,10 @@ def cut_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     unsure = classes.join(kinds, "gram").select("at.doc", "at.fp", F.struct(F.col("at.place").alias("place"), "gram", "context", (F.col("n") == 1).alias("one"), (F.col("kinds") > SORTED_AT_ONCE).alias("hot")).alias("w"))
     wanted = unsure.groupBy("doc", "fp").agg(F.collect_list("w").alias("wanted"))
     once = touched.select("doc", "fp", "text").dropDuplicates(["doc", "fp"])
-    contexts = settle(once.join(wanted, ["doc", "fp"]).select("text", "wanted").mapInArrow(_contexts, "gram long, context long, one boolean, hot boolean, left long, right long, bytes binary"), "unsure")
+    contexts = settle(once.join(wanted, ["doc", "fp"]).select("text", "wanted").transform(in_batches, _contexts, "gram long, context long, one boolean, hot boolean, left long, right long, bytes binary"), "unsure")
 
-    part = contexts.where("NOT hot").repartition("gram").sortWithinPartitions("gram").mapInArrow(_sorted_groups, "gram long, context long, lo long, hi long")
-    windows = contexts.where("hot").mapInArrow(_dealt_windows, "gram long, start long, hash long, context long, one boolean")
+    part = contexts.where("NOT hot").repartition("gram").sortWithinPartitions("gram").transform(in_batches, _sorted_groups, "gram long, context long, lo long, hi long")
+    windows = contexts.where("hot").transform(in_batches, _dealt_windows, "gram long, start long, hash long, context long, one boolean")
     again = windows.groupBy("gram", "start", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     hot = windows.where("one").join(again, ["gram", "start", "hash"], "left_semi").groupBy("gram", "context").agg(F.min("start").alias("lo"), (F.max("start") + WINDOW).alias("hi"))
     covered = classes.where("n > 1").select("gram", "context", F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi")).union(part).union(hot)
@@ -325,7 +325,7 @@ def cut_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     lo, hi = F.coalesce("lo", F.lit(SIDE) - F.col("left")), F.coalesce("hi", F.lit(SIDE + GRAM) + F.col("right"))
     spans = members.join(covered, ["gram", "context"]).select("doc", "fp", F.struct((F.col("place") - SIDE + lo).alias("a"), (F.col("place") - SIDE + hi).alias("b")).alias("span"))
     spans = spans.groupBy("doc", "fp").agg(F.collect_set("span").alias("spans"))
-    return once.join(spans, ["doc", "fp"]).select("doc", "fp", "text", "spans").mapInArrow(_removed, "doc long, fp long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    return once.join(spans, ["doc", "fp"]).select("doc", "fp", "text", "spans").transform(in_batches, _removed, "doc long, fp long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

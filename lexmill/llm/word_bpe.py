@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries of each of the two generations of a worker's cache, and the longest word that it keeps.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 300_000
 CACHED_LENGTH = 48
 #: Words that the library encodes at once.
 ENCODED_AT_ONCE = 16384
@@ -92,10 +92,13 @@ class RunCache:
             self.known, self.older = {}, self.known
         get, older, known = self.known.get, self.older, self.known
         out = [get(p) for p in parts]
-        for i, x in enumerate(out):
-            if x is None and parts[i] in older:
-                out[i] = known[parts[i]] = older[parts[i]]
-        open_ = [(i, self.split(parts[i])) for i, x in enumerate(out) if x is None]
+        missing = [i for i, x in enumerate(out) if x is None]
+        if older:
+            for i in missing:
+                if (ids := older.get(parts[i])) is not None:
+                    out[i] = known[parts[i]] = ids
+            missing = [i for i in missing if out[i] is None]
+        open_ = [(i, self.split(parts[i])) for i in missing]
         fresh = list({w for _, words in open_ if words for w in words if w not in self.known})
         found: dict[str, bytes] = {}
         for a in range(0, len(fresh), ENCODED_AT_ONCE):
