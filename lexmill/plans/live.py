@@ -47,4 +47,6 @@ def search_live(index: Index, query: str, options: S.SearchOptions = S.SearchOpt
         # An archive all of whose entries were stale by its time wasn't opened.
         F.count_distinct(F.when(entry & (F.col("outcome") != "stale"), F.col("file_path"))).alias("archives_opened"),
     )
-    return LiveSearch(outcomes, S.occurrences(checked, options), fixed.crossJoin(seen))
+    names = [*fixed.columns, *seen.columns]
+    both = fixed.unionByName(seen, allowMissingColumns=True)
+    return LiveSearch(outcomes, S.occurrences(checked, options), both.agg(*[F.sum(n).alias(n) for n in names]))
