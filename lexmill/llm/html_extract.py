@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.common import blocks, in_batches
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b", re.I)
+#: Comments, declarations and tags; a quote opens a value behind "=" only, and nothing is tried twice.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>", re.S)
+_UNENDED = re.compile(r"<(?=[/a-zA-Z!?])")
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _NAME_PART = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
@@ -27,7 +29,9 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _ASIDE = frozenset("nav footer aside form head button select option dialog menu fieldset input".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 #: And by words in class or id.
-_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promotion nav navbar navigation menu menus breadcrumb breadcrumbs footer sidebar sidebars aside widget widgets comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations pagination pager toolbar login skip".split())
+_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promotion nav navbar navigation menu menus breadcrumb breadcrumbs footer sidebar sidebars aside widget widgets comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations pagination pager toolbar login skip discussion".split())
+#: Outside the main part.
+_HEADER_WORDS = frozenset("header masthead topbar".split())
 _MAIN = frozenset(["article", "main"])
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _KEEPS_P = _INLINE | {"p"}
@@ -36,15 +40,12 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 def _kind(tag: str, attributes: str, main: bool) -> tuple[str, bool, bool]:
     """Path step of an element, whether it is aside, and whether it is a main part."""
-    if not attributes.strip():
+    if tag == "a" or not attributes.strip():
         return tag, tag in _ASIDE or (tag == "header" and not main), tag in _MAIN
     words: list[str] = []
     aside, is_main, label = tag in _ASIDE or (tag == "header" and not main), tag in _MAIN, ""
     for m in _ATTRIBUTE.finditer(attributes):
-        if m[5]:
-            aside = True
-            continue
-        name, value = m[1].lower(), m[2] if m[2] is not None else m[3] if m[3] is not None else m[4]
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
             words += [w.lower() for w in _NAME_PART.findall(_CAMEL.sub(" ", value))]
             label = label or (value if name == "class" else "")
@@ -53,10 +54,10 @@ def _kind(tag: str, attributes: str, main: bool) -> tuple[str, bool, bool]:
             is_main |= value.lower() in ("main", "article")
         elif name == "itemprop":
             is_main |= value.lower() == "articlebody"
-        elif name == "hidden" or value.lower() == "true":
+        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             aside = True
-    if tag not in ("html", "body", "article", "main") and not _WORDS.isdisjoint(words):
-        aside = True
+    if tag not in ("html", "body", "article", "main"):
+        aside |= not _WORDS.isdisjoint(words) or not main and not _HEADER_WORDS.isdisjoint(words)
     return f"{tag}.{label}" if label else tag, aside, is_main
 
 
@@ -99,7 +100,8 @@ def text_blocks(page: str) -> list[Block]:
                 linked += len(text.strip())
 
     at, raw = 0, ""
-    for m in _TOKEN.finditer(page):
+    # Behind the last ">" no tag can end; so no tag is sought there.
+    for m in _TOKEN.finditer(page, 0, page.rfind(">") + 1):
         if m.start() < at:
             continue
         if raw:
@@ -110,6 +112,8 @@ def text_blocks(page: str) -> list[Block]:
         add(page[at : m.start()])
         at = m.end()
         if not m[2]:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                at = len(page)
             continue
         tag, closing = m[2].lower(), bool(m[1])
         if closing:
@@ -162,7 +166,7 @@ def text_blocks(page: str) -> list[Block]:
         mains += is_main
         in_link += tag == "a"
     if not raw and at < len(page):
-        add(page[at:] if not re.match(r"<[/a-zA-Z!?]", page[at:]) else "")
+        add(_UNENDED.split(page[at:], maxsplit=1)[0])
     flush()
     return out
 

@@ -347,6 +347,12 @@ PAGE = """<html><body><header><h1>Site</h1></header><div id=menu><ul><li><a href
 
 def test_html(spark):
     assert main_text(PAGE) == "Title\nFirst para, with text. And é more; yes.\nSecond para has bold words, and breaks."
+    odd = '<div id="header">Top</div><div style="overflow:hidden" data-x="hidden ad"><h1>T</h1><div class="article-header"></div><p>Kept text, here.</p><p hidden>Not</p><p aria-hidden="true">Nor</p></div>'
+    assert main_text(odd) == "T\nKept text, here."
+    assert main_text('<article><header class="header"><h1>T</h1></header><p>x, y.</p><section class="user-comments">no</section></article>') == "T\nx, y."
+    assert main_text("<p title=it's>one</p><p alt=\"a>b\">two</p><p class=\"open>three</p>") == "one\ntwo\nthree"
+    assert main_text("<a =\"" * 20_000 + "x") is not None
+    assert main_text("<p>a</p>tail <!-- x") == "a\ntail" and main_text("<p>a</p>b<!-- x > y") == "a\nb"
     for page, text in (("", ""), ("<", "<"), ("a < b & c", "a < b & c"), ("<p>x", "x"), ("<script>never", ""), ("plain", "plain"), ("<p>a</p><!-- x", "a")):
         assert main_text(page) == text
     rows = [(1, "u", None, 0), (2, None, PAGE, 0), (2, None, PAGE, 0), (3, "v", "<p>" + "word " * 50_000, 0)]
