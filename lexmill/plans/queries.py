@@ -165,6 +165,15 @@ _register(
     _occurrences(f"SELECT doc_id, file_path, substr(content, 1, {SMALL}) AS content, substr(folded, 1, {SMALL}) AS folded, 0 AS status FROM ({_docs(SMALL)}) AS o WHERE strlen(content) = length(content)", "thatin"),
 )
 
+_BYTES_OF = "encode(content)[1:{n}]"
+_CUT = f"CASE WHEN strlen(content) <= {SMALL} THEN content ELSE coalesce({', '.join(f'try(decode({_BYTES_OF.format(n=SMALL - n)}))' for n in range(4))}) END"
+_register(
+    "search_oversized_phase_all",
+    # All documents, cut at a byte; the query above keeps to those of ASCII, as its SQL does.
+    lambda spark, d: _shown(S.search(corpus.documents(spark, d, SMALL), "thatin", S.SearchOptions(analyze_oversized=True), cap=SMALL)),
+    _occurrences(f"SELECT doc_id, file_path, content, lower(content) AS folded, 0 AS status FROM (SELECT doc_id, file_path, {_CUT} AS content FROM ({_docs(SMALL)}) AS o) AS c", "thatin"),
+)
+
 
 def _results(spark: SparkSession, d: str) -> DataFrame:
     return S.file_results(S.verified(S.candidates(corpus.documents(spark, d), "tion"), "tion"))

@@ -31,3 +31,24 @@ def test_entry_imports_and_runs(spark):
     df = e.entry(spark)
     assert df.count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_oversized_phase_cuts_at_a_byte(spark, tmp_path):
+    """All documents, those with characters of several bytes too, against plain Python."""
+    texts = {
+        1: "é" * 2043 + "thatinthatin", 2: "é" * 2046 + "thatin", 3: "a" + "日" * 1364 + "thatin", 4: "Thatin é\n" + "ü" * 3000 + "thatin",
+        5: "x" * 4085 + "\nthatin🎉" + "x" * 9, 6: "x" * 4088 + "thatin🎉", 7: "kurz é thatin", 8: "🎉" * 1023 + "é" * 3 + "thatin", 9: "thatin " * 600,
+    }
+    rows = [(i, t, "fr", "s", len(t)) for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    expected = set()
+    for i, t in texts.items():
+        read = t.encode()[:4096].decode("utf-8", "ignore")
+        at, hit = read.lower().find("thatin"), 0
+        while at >= 0:
+            expected.add((i, hit, read.count("\n", 0, at) + 1, at - read.rfind("\n", 0, at)))
+            at, hit = read.lower().find("thatin", at + 6), hit + 1
+    got = QUERIES["search_oversized_phase_all"](spark, str(tmp_path)).collect()
+    assert {(r["doc_id"], r["hit"], r["line"], r["col"]) for r in got} == expected and len(got) == len(expected)
+    assert {i for i, *_ in expected} == {1, 4, 5, 6, 7, 9}
+    assert all(r["line_text"] in texts[r["doc_id"]] for r in got)
