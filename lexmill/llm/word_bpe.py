@@ -117,8 +117,10 @@ class RunCache:
     def numbered(self, texts: pa.Array) -> Numbered:
         lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts))
         runs = lists.flatten().dictionary_encode()
-        plain = pc.if_else(pc.string_is_ascii(runs.dictionary), pc.ascii_lower(runs.dictionary), runs.dictionary)
-        parted = pc.if_else(pc.match_substring(plain, "<|"), plain, pc.replace_substring_regex(plain, _TAIL, r"\1 \2"))
+        # Special tokens are looked for in raw text, so a run that may hold one keeps its case.
+        raw = pc.match_substring(runs.dictionary, "<|")
+        plain = pc.if_else(pc.and_not(pc.string_is_ascii(runs.dictionary), raw), pc.ascii_lower(runs.dictionary), runs.dictionary)
+        parted = pc.if_else(raw, plain, pc.replace_substring_regex(plain, _TAIL, r"\1 \2"))
         parts = pc.ascii_split_whitespace(parted)
         distinct = parts.flatten().dictionary_encode()
         return Numbered(lists.offsets, runs.indices, parts.offsets, distinct.indices, self.resolve(distinct.dictionary.to_pylist()))

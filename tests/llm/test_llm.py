@@ -402,3 +402,20 @@ def test_pipeline_equals_brute_force(spark, sf_dir):
         assert cut[i].encode() == cut_bytes(left[i].encode(), whole_characters(left[i].encode(), runs))
     sums = C.run(spark, sf_dir).groupBy("doc_id").sum("length").collect()
     assert {r["doc_id"] for r in sums} == chosen
+
+
+def test_special_tokens_keep_their_case(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(default_tokenizer_path())
+    library.no_truncation()
+    library.no_padding()
+    texts = ["<|ENDOFTEXT|>", "<|EndOfText|>", "<|StartOfText|>Some WORDS.", "a<|ENDOFTEXT|>. <|endoftext|>", "É<|EndOfText|>.", "<|ENDOFTEXT|> <|endoftext|> END"]
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for kind in (RunCache, OwnRunCache):
+        found = kind(default_tokenizer_path()).numbered(pa.array(texts)).ids().to_pylist()
+        assert [np.frombuffer(i, "<u4").tolist() for i in found] == expected
+    rows = encode_decode(frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]))
+    assert {r["doc_id"]: r["n_tokens"] for r in digest(rows).collect()} == dict(enumerate(map(len, expected)))
+    packed = pack(frame(spark, [(0, texts[0], "en", "s")])).first()
+    assert packed["ids_crc32"] == zlib.crc32(np.array([*expected[0], 2], "<u4").tobytes())
