@@ -36,8 +36,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go; their documents stay."""
-    return _measured(line_dedup(docs).select(*docs.columns))
+    """Boilerplate lines go; their documents stay. Copies of a page are one page here: they are for the near stage to judge."""
+    return _measured(line_dedup(docs, copies_once=True).select(*docs.columns))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ def _key(line: Column) -> Column:
     return F.unhex(F.md5(F.trim(line)))
 
 
-def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
     """``df`` with boilerplate lines cut out of the text; adds ``n_lines`` and ``n_dropped``.
 
     Lines end at ``\\n`` and are compared without spaces at their ends. For each
@@ -29,6 +29,10 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     is dropped wherever it stands on that host. Blank lines are never dropped.
     All rows stay, some with an empty text.
 
+    With ``copies_once`` pages of a host that hold the same lines are counted as one
+    page, in both numbers: a page is not boilerplate for being there many times.
+    Pages that share only most of their lines are counted one by one still.
+
     A null text is empty and has no lines; rows with a null host are one host.
     Rows that repeat an id are pages of their own. An empty table gives an empty
     result. Other columns stay as they are, but columns named ``n_lines`` or
@@ -44,9 +48,15 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     pages = df.select(F.col(id_col).alias("_ld_id"), host.alias("_ld_host"), F.coalesce(F.col(text_col), F.lit("")).alias("_ld_text"))
     keys = F.array_distinct(F.transform(F.filter(_lines(F.col("_ld_text")), lambda x: F.trim(x) != ""), _key))
     lines = pages.select("_ld_id", "_ld_host", F.explode(keys).alias("_ld_key"))
-    totals = pages.groupBy("_ld_host").agg(F.count(F.lit(1)).alias("_ld_pages"))
+    counted, counted_lines = pages, lines
+    if copies_once:
+        # Equal sets of lines have equal digests; the sort makes their order the same.
+        keyed = pages.select("_ld_host", F.sort_array(keys).alias("_ld_keys"))
+        counted = keyed.withColumn("_ld_page", F.unhex(F.md5(F.array_join(F.transform("_ld_keys", F.hex), "")))).dropDuplicates(["_ld_host", "_ld_page"])
+        counted_lines = counted.select("_ld_host", F.explode("_ld_keys").alias("_ld_key"))
+    totals = counted.groupBy("_ld_host").agg(F.count(F.lit(1)).alias("_ld_pages"))
     dropped = (
-        lines.groupBy("_ld_host", "_ld_key")
+        counted_lines.groupBy("_ld_host", "_ld_key")
         .agg(F.count(F.lit(1)).alias("_ld_n"))
         .where(F.col("_ld_n") >= min_pages)
         .join(totals, "_ld_host")

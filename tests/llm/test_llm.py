@@ -419,3 +419,26 @@ def test_special_tokens_keep_their_case(spark):
     assert {r["doc_id"]: r["n_tokens"] for r in digest(rows).collect()} == dict(enumerate(map(len, expected)))
     packed = pack(frame(spark, [(0, texts[0], "en", "s")])).first()
     assert packed["ids_crc32"] == zlib.crc32(np.array([*expected[0], 2], "<u4").tobytes())
+
+
+def test_one_copy_of_a_mirrored_page_reaches_packing(spark):
+    import corpus_pipeline as C
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(default_tokenizer_path())
+    library.no_truncation()
+    library.no_padding()
+    rng = random.Random(9)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    mirrored, banner = "\n".join(prose(20) for _ in range(5)), "Subscribe to the letter of this site."
+    # Copies that differ in blank lines and in spaces at the ends of lines are copies too.
+    rows = [(i, mirrored if i % 2 else mirrored.replace("\n", " \n\n"), "en", "s") for i in range(30)]
+    rows += [(100 + i, f"{banner}\n{prose(40)}", "en", "s") for i in range(20)]
+    docs = frame(spark, rows)
+    for _, stage in C.STAGES[1:-1]:
+        docs = stage(spark, docs, "").localCheckpoint()
+    left = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert sorted(left) == [0, *range(100, 120)] and left[0].split() == mirrored.split()
+    assert all(banner not in t and t for t in left.values())
+    packed = [p for p in C.packing_stage(spark, docs, "").collect() if p["doc_id"] == 0]
+    assert sum(p["length"] for p in packed) == len(library.encode(mirrored, add_special_tokens=False).ids) + 1
