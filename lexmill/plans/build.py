@@ -16,13 +16,15 @@ from lexmill.functions.fold import fold
 from lexmill.operators import report as R
 from lexmill.operators import update as U
 from lexmill.plans.options import BuildOptions
-from lexmill.plans.snapshot import POINTER, Index, Manifest
+from lexmill.plans.snapshot import CONTENTS_DDL, ENGINE, POINTER, Index, Manifest
 from lexmill.plans.storage import Storage
 from lexmill.sources.lister import list_files
 from lexmill.sources.reader import read_files
 
 #: What becomes a row of ``documents``.
 ROW_FATES = ("indexed", "too_large", "error", "security", "archive_limit")
+#: Share of the first segment that dead contents, or the contents behind it, may reach before all are merged.
+MERGE_SHARE = 0.25
 _BUSY: set[str] = set()
 _LOCK = threading.Lock()
 
@@ -87,13 +89,14 @@ class _Build:
             fresh = staged.where(F.col("fate").isin(*ROW_FATES)).select("doc_id", "file_path", "entry_path", "ext", "size", "mtime_ns", "status", "reason")
             documents = fresh.unionByName(kept.select(*fresh.columns)) if kept is not None else fresh
             documents.write.parquet(storage.full(f"{snapshot}/documents"))
-            staged.where("fate = 'indexed'").select("doc_id", "content", fold(F.col("content")).alias("content_fold")).write.parquet(storage.full(segment))
+            contents = staged.where("fate = 'indexed'").select("doc_id", "content", fold(F.col("content")).alias("content_fold"))
+            segments = self._segments(storage, segment, contents, base, kept)
             self.step("report")
             done = self._report(staged, listing, fates, base)
             self.step("activate")
             n = self.spark.read.parquet(storage.full(f"{snapshot}/documents")).where("status = 0").count()
-            segments = (*(base.manifest.segments if base else ()), segment)
-            manifest = Manifest(snapshot, segments, self.options.to_json(), datetime.now(UTC).isoformat(), n, asdict(done), complete=True)
+            before = storage.read_text(POINTER).strip() if storage.exists(POINTER) else None
+            manifest = Manifest(snapshot, segments, self.options.to_json(), datetime.now(UTC).isoformat(), n, asdict(done), complete=True, previous=before, engine=ENGINE)
             storage.write_text(f"{snapshot}/manifest.json", manifest.to_json())
             Index.check(storage, snapshot)
             if self.cancelled():
@@ -113,11 +116,36 @@ class _Build:
         rows.write.parquet(storage.full(name))
         return self.spark.read.schema(rows.schema).parquet(storage.full(name))
 
+    def _segments(self, storage: Storage, name: str, fresh: DataFrame, base: Index | None, kept: DataFrame | None) -> tuple[str, ...]:
+        """The folders of the snapshot's contents: one large segment and at most a smaller one behind it.
+
+        The smaller one is written anew with what is fresh; the large one stays as
+        it is until a quarter of it is dead, or what lies behind it has grown to a
+        quarter of it: then both are merged. If nothing has changed, nothing is written.
+        """
+        if base is None or kept is None:
+            fresh.write.parquet(storage.full(name))
+            return (name,)
+        live = kept.where(F.col("status") == 0).select("doc_id")
+        parts = base.manifest.segments
+        read = lambda *s: self.spark.read.schema(CONTENTS_DDL).parquet(*[storage.full(x) for x in s])
+        n_fresh, n_live = fresh.count(), live.count()
+        if not n_fresh and n_live == base.documents().where("status = 0").count():
+            return parts
+        n_first, first_live = read(parts[0]).count(), read(parts[0]).select("doc_id").join(live, "doc_id", "left_semi").count()
+        behind = n_live - first_live + n_fresh
+        merge = behind > MERGE_SHARE * n_first or first_live < (1 - MERGE_SHARE) * n_first
+        old = parts if merge else parts[1:]
+        rows = read(*old).join(live, "doc_id", "left_semi").unionByName(fresh) if old else fresh
+        rows.write.parquet(storage.full(name))
+        return (name,) if merge else (parts[0], name)
+
     def _numbered(self, rows: DataFrame, base: Index | None) -> DataFrame:
         """Ids above all that the base has; so a new row never takes the id of one that is gone."""
         first = 0
         if base:
-            first = 1 + max(base.documents().agg(F.max("doc_id")).first()[0] or -1, base.contents().agg(F.max("doc_id")).first()[0] or -1)
+            highest = [rows.agg(F.max("doc_id")).first()[0] for rows in (base.documents(), base.contents())]
+            first = 1 + max([h for h in highest if h is not None], default=-1)
         return rows.withColumn("doc_id", F.lit(first) + F.monotonically_increasing_id())
 
     def _report(self, staged: DataFrame, listing: DataFrame, fates: DataFrame | None, base: Index | None) -> BuildReport:
@@ -138,14 +166,24 @@ class _Build:
         return BuildReport("update" if base else "full", counters, extensions, details, total - len(details), self.options.normalized_roots()[1], spent, delta)
 
     def _clean(self, storage: Storage) -> None:
-        """Delete what the current snapshot doesn't refer to."""
-        keep = {POINTER}
-        if storage.exists(POINTER):
-            current = storage.read_text(POINTER).strip()
-            keep |= {current, *Index.check(storage, current).segments} if storage.exists(f"{current}/manifest.json") else {current}
-        for name in storage.names():
-            if name.startswith(("snap-", "seg-", "stage-")) and name not in keep and not name.startswith("stage-"):
-                storage.delete(name)
+        """Delete what neither the current snapshot nor the one before it refers to, and what a broken build left.
+
+        The one before stays for readers that opened it before the swap.
+        """
+        keep, name = {POINTER}, storage.read_text(POINTER).strip() if storage.exists(POINTER) else None
+        for _ in range(2):
+            if not name:
+                break
+            keep.add(name)
+            try:
+                manifest = Manifest.from_json(storage.read_text(f"{name}/manifest.json"))
+            except Exception:  # a snapshot without a manifest refers to nothing
+                break
+            keep |= set(manifest.segments)
+            name = manifest.previous
+        for found in storage.names():
+            if found.startswith(("snap-", "seg-", "stage-")) and found not in keep:
+                storage.delete(found)
 
 
 def _guarded(spark: SparkSession, path: str, options: BuildOptions, base: Index | None, cancelled) -> BuildReport:
@@ -170,13 +208,14 @@ def rebuild_index(spark: SparkSession, path: str, options: BuildOptions, cancell
 def update_index(spark: SparkSession, path: str, options: BuildOptions, cancelled=lambda: False) -> BuildReport:
     """As a rebuild, but unchanged paths keep their rows and aren't read.
 
-    Contents of kept documents stay in the segments that hold them. Without a valid
-    index, or with one built with other options, this is a full build.
+    Contents of kept documents stay in the segments that hold them, until these are
+    merged. Without a valid index, or with one built with other options or by
+    another engine, this is a full build.
     """
     try:
         base = Index(spark, path)
     except (FileNotFoundError, ValueError):
         base = None
-    if base and base.options != options:
+    if base and (base.options != options or base.manifest.engine != ENGINE):
         base = None
     return _guarded(spark, path, options, base, cancelled)

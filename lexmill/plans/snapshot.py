@@ -13,6 +13,8 @@ from lexmill.plans.options import BuildOptions
 from lexmill.plans.storage import Storage
 
 SCHEMA_VERSION = 2
+#: What reads and decodes files; contents of another engine are read anew.
+ENGINE = "2"
 POINTER = "CURRENT"
 DOCUMENTS_DDL = "doc_id long, file_path string, entry_path string, ext string, size long, mtime_ns long, status int, reason string"
 CONTENTS_DDL = "doc_id long, content string, content_fold string"
@@ -36,7 +38,10 @@ class UnsupportedSchema(ValueError):
 
 @dataclass(frozen=True)
 class Manifest:
-    """``complete`` is written last; ``segments`` are the folders that hold contents."""
+    """``complete`` is written last; ``segments`` are the folders that hold contents.
+
+    ``previous`` is the snapshot that was current before and stays for its readers.
+    """
 
     snapshot: str
     segments: tuple[str, ...]
@@ -46,6 +51,8 @@ class Manifest:
     report: dict[str, Any] = field(default_factory=dict)
     schema_version: int = SCHEMA_VERSION
     complete: bool = False
+    previous: str | None = None
+    engine: str = ""
 
     def to_json(self) -> str:
         return json.dumps(self.__dict__ | {"segments": list(self.segments)}, default=str)

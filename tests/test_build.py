@@ -117,7 +117,7 @@ def test_masks_ignore_files_and_cancel(spark, tree):
     with pytest.raises(BuildCancelled):
         rebuild_index(spark, path, options(tmp), cancelled=iter([False, False, True]).__next__)
     assert rows(Index(spark, path)) == before
-    assert len([n for n in os.listdir(path) if n.startswith(("snap-", "stage-"))]) == 1
+    assert len([n for n in os.listdir(path) if n.startswith("snap-")]) <= 2 and not [n for n in os.listdir(path) if n.startswith("stage-")]
 
 
 def test_broken_indexes(spark, tmp_path):
@@ -186,3 +186,53 @@ def test_stream_search(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted((r["line"], r["column"]) for r in spark.sql("SELECT * FROM hits").collect()) == [(1, 3), (2, 1)]
+
+
+def small_tree(tmp_path, names):
+    (tmp_path / "src").mkdir(exist_ok=True)
+    for n in names:
+        (tmp_path / "src" / f"{n}.txt").write_text(f"needle of {n}")
+    return options(tmp_path)
+
+
+def test_update_of_one_document(spark, tmp_path):
+    path, how = str(tmp_path / "index"), small_tree(tmp_path, ["a"])
+    rebuild_index(spark, path, how)
+    small_tree(tmp_path, ["b"])
+    update_index(spark, path, how)
+    index = Index(spark, path)
+    assert len({r["doc_id"] for r in index.documents().collect()}) == 2
+    lines = sorted((os.path.basename(r["file_path"]), r["line_text"]) for r in search(index.rows("needle"), "needle").collect())
+    assert lines == [("a.txt", "needle of a"), ("b.txt", "needle of b")]
+
+
+def test_a_reader_outlives_an_update_and_segments_stay_few(spark, tmp_path):
+    path, how = str(tmp_path / "index"), small_tree(tmp_path, "abcdefghij")
+    rebuild_index(spark, path, how)
+    os.mkdir(f"{path}/stage-left-by-a-crash")
+    for n in range(5):
+        before = Index(spark, path)
+        names = {r["file_path"] for r in before.documents().collect()}
+        small_tree(tmp_path, [f"n{n}", "a"])
+        os.utime(tmp_path / "src" / "a.txt", (n + 1, n + 1))
+        os.remove(tmp_path / "src" / f"{'bcdef'[n]}.txt")
+        update_index(spark, path, how)
+        assert {r["file_path"] for r in search(before.rows("needle"), "needle").collect()} == names
+        now = Index(spark, path)
+        assert len(now.manifest.segments) <= 2 and now.contents().count() <= 13
+        assert len(found(now)) == 10
+    held = now.manifest.segments
+    assert update_index(spark, path, how).delta == {"added": 0, "removed": 0, "updated": 0}
+    assert Index(spark, path).manifest.segments == held and not [n for n in os.listdir(path) if n.startswith("stage-")]
+
+
+def test_contents_of_another_engine_are_read_anew(spark, tmp_path):
+    path, how = str(tmp_path / "index"), small_tree(tmp_path, ["a"])
+    rebuild_index(spark, path, how)
+    manifest = f"{path}/{open(f'{path}/{POINTER}').read().strip()}/manifest.json"
+    text = open(manifest).read()
+    with open(manifest, "w") as f:
+        f.write(text.replace('"engine": "2"', '"engine": "1"'))
+    (tmp_path / "index" / os.path.basename(os.path.dirname(manifest)) / ".manifest.json.crc").unlink(missing_ok=True)
+    assert update_index(spark, path, how).kind == "full"
+    assert update_index(spark, path, how).kind == "update"
