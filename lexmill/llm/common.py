@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.plans.shared import settle, settled_path, shared_dir
+
+__all__ = ["blocks", "id_and_text", "in_batches", "join_counted", "settle", "settled_path", "shared_dir", "table", "tidy"]
+
 #: Rows that a Python function holds as Python objects at once.
 BLOCK_ROWS = 256
 
@@ -19,29 +21,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where the session names none, as in tests on one machine, a temporary
-    folder of this machine takes its place.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="lexmill-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+#: A key of more than one in so many rows is hot, so there are fewer hot keys than this; and into how many parts it is dealt.
+HOT_SHARE, SALTS = 1024, 64
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
+def join_counted(rows: DataFrame, stats: DataFrame, keys: list[str], count: str, spread: list[str]) -> DataFrame:
+    """``rows`` joined with ``stats``, a settled table of one row per key that counts the key's ``rows``.
 
-    This cuts the lineage: what follows survives the loss of any executor, and
-    what is used twice is computed once.
+    A hot key's rows are dealt into SALTS parts, by the ``spread`` columns, and its
+    row of ``stats`` goes to each part. Which keys are hot is broadcast: as the
+    counts add up to the rows, fewer than HOT_SHARE keys can be.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexmill-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    total = stats.agg(F.sum(count)).first()[0] or 0
+    is_hot = F.col(count) * HOT_SHARE > F.lit(total)
+    hot = F.broadcast(stats.where(is_hot).select(*keys, F.lit(True).alias("_hot")))
+    part = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    parts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = rows.join(hot, keys, "left").withColumn("_part", part).drop("_hot")
+    return dealt.join(stats.withColumn("_part", F.explode(parts)), [*keys, "_part"]).drop("_part")
 
 
 #: Rows and bytes of an Arrow batch: both the JVM and the Python worker hold some at once.
@@ -51,12 +48,13 @@ BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 def in_batches(df: DataFrame, run, ddl: str) -> DataFrame:
     """``df.mapInArrow(run, ddl)`` with batches that a long text doesn't swell to hundreds of MB.
 
-    Spark sizes batches by session settings only, so these are set here; they bound
-    memory and change no result.
+    Spark sizes batches by session settings only, so these are set here, unless the
+    session has its own; they bound memory and change no result.
     """
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    conf = df.sparkSession.conf
+    for key, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if f"spark.sql.execution.arrow.{key}" not in conf.getAll:
+            conf.set(f"spark.sql.execution.arrow.{key}", str(value))
     return df.mapInArrow(run, ddl)
 
 

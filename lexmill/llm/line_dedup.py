@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 MAX_RATIO = 0.02
 #: ... if it is on at least so many of them; so hosts of one or two pages lose nothing.
 MIN_PAGES = 3
+#: Into how many parts the pages of a line are dealt when dropped lines are sought in them.
+SALTS = 16
 
 
 def _lines(text: Column) -> Column:
@@ -16,8 +18,21 @@ def _lines(text: Column) -> Column:
 
 
 def _key(line: Column) -> Column:
-    """What lines are compared by: the line without spaces at its ends, as a 128-bit digest."""
-    return F.unhex(F.md5(F.trim(line)))
+    """What lines are compared by: the line without spaces at its ends, as a 128-bit digest in hex.
+
+    Strings, unlike binary values, are hashed when an array's distinct values are sought.
+    """
+    return F.md5(F.trim(line))
+
+
+def _without(lines: Column, places: Column) -> Column:
+    """``lines`` but for those at ``places`` (from 0); ``lines`` is bound once, and both steps are linear."""
+
+    def cut(own: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), places)
+        return F.transform(kept, lambda i: F.get(own, i))
+
+    return F.element_at(F.transform(F.array(lines), cut), 1)
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
@@ -41,39 +56,44 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     The counts take one shuffle of digests, combined on the map side, so that a
     line of all pages of a hot host is one row per task. The set of dropped lines
     is bounded per host by (mean lines a page / ``max_ratio``); it meets the lines
-    again in a join by host and digest, whose hot keys the adaptive skew join
-    splits. Texts are shuffled once at most, by page.
+    again in a join by host, digest and one of SALTS parts, into which the pages
+    of every line are dealt. Texts are shuffled once at most, by page: rows of one
+    id, host and text share their places of dropped lines. Time is linear in the
+    lines of a page.
     """
     host = F.coalesce(F.col(host_col).cast("string"), F.lit("\u0000"))
-    pages = df.select(F.col(id_col).alias("_ld_id"), host.alias("_ld_host"), F.coalesce(F.col(text_col), F.lit("")).alias("_ld_text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    page = F.unhex(F.md5(F.concat_ws("\u0001", F.coalesce(F.col(id_col).cast("string"), F.lit("\u0000")), host, text)))
+    pages = df.select(host.alias("_ld_host"), text.alias("_ld_text"))
     keys = F.array_distinct(F.transform(F.filter(_lines(F.col("_ld_text")), lambda x: F.trim(x) != ""), _key))
-    lines = pages.select("_ld_id", "_ld_host", F.explode(keys).alias("_ld_key"))
-    counted, counted_lines = pages, lines
+    counted, counted_lines = pages, pages.select("_ld_host", F.explode(keys).alias("_ld_key"))
     if copies_once:
         # Equal sets of lines have equal digests; the sort makes their order the same.
         keyed = pages.select("_ld_host", F.sort_array(keys).alias("_ld_keys"))
-        counted = keyed.withColumn("_ld_page", F.unhex(F.md5(F.array_join(F.transform("_ld_keys", F.hex), "")))).dropDuplicates(["_ld_host", "_ld_page"])
+        counted = keyed.withColumn("_ld_page", F.unhex(F.md5(F.array_join("_ld_keys", "")))).dropDuplicates(["_ld_host", "_ld_page"])
         counted_lines = counted.select("_ld_host", F.explode("_ld_keys").alias("_ld_key"))
     totals = counted.groupBy("_ld_host").agg(F.count(F.lit(1)).alias("_ld_pages"))
     dropped = (
-        counted_lines.groupBy("_ld_host", "_ld_key")
+        counted_lines.withColumn("_ld_key", F.unhex("_ld_key"))
+        .groupBy("_ld_host", "_ld_key")
         .agg(F.count(F.lit(1)).alias("_ld_n"))
         .where(F.col("_ld_n") >= min_pages)
         .join(totals, "_ld_host")
         .where(F.col("_ld_n") > F.lit(float(max_ratio)) * F.col("_ld_pages"))
-        .select("_ld_host", "_ld_key")
+        .select("_ld_host", "_ld_key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_ld_part"))
     )
-    hits = lines.join(dropped, ["_ld_host", "_ld_key"], "left_semi").groupBy("_ld_id", "_ld_host").agg(F.collect_set("_ld_key").alias("_ld_keys"))
-    hits = hits.select(F.col("_ld_id").alias("_ld_id2"), F.col("_ld_host").alias("_ld_host2"), "_ld_keys")
-    joined = df.withColumn("_ld_host", host).join(hits, F.col(id_col).eqNullSafe(F.col("_ld_id2")) & (F.col("_ld_host") == F.col("_ld_host2")), "left")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    held = F.filter(_lines(text), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_ld_keys"), _key(x)))
+    # Two steps: behind the explosion the page's digest would be taken again for every line.
+    keyed_pages = df.select(page.alias("_ld_page"), host.alias("_ld_host"), text.alias("_ld_text"))
+    lines = keyed_pages.select("_ld_page", "_ld_host", F.posexplode(_lines(F.col("_ld_text"))).alias("_ld_at", "_ld_line")).where(F.trim("_ld_line") != "")
+    lines = lines.select("_ld_page", "_ld_host", "_ld_at", F.unhex(_key(F.col("_ld_line"))).alias("_ld_key"), F.pmod(F.xxhash64("_ld_page"), F.lit(SALTS)).cast("int").alias("_ld_part"))
+    hits = lines.join(dropped, ["_ld_host", "_ld_key", "_ld_part"], "left_semi").groupBy("_ld_page").agg(F.collect_set("_ld_at").alias("_ld_places"))
+    joined = df.withColumn("_ld_page", page).join(hits, "_ld_page", "left")
+    hit = F.col("_ld_places").isNotNull()
     n_lines = F.when(text == "", F.lit(0)).otherwise(F.size(_lines(text))).cast("long")
-    done = joined.withColumn("_ld_held", F.when(F.col("_ld_keys").isNotNull(), held))
-    n_dropped = F.when(F.col("_ld_held").isNotNull(), F.size(_lines(text)) - F.size("_ld_held")).otherwise(0).cast("long")
-    kept = F.when(F.col("_ld_held").isNotNull(), F.array_join("_ld_held", "\n")).otherwise(text)
+    n_dropped = F.when(hit, F.size("_ld_places")).otherwise(0).cast("long")
+    kept = F.when(hit, F.array_join(_without(_lines(text), F.col("_ld_places")), "\n")).otherwise(text)
     own = [c for c in df.columns if c not in (text_col, "n_lines", "n_dropped")]
-    wide = done.select(*own, kept.alias(text_col), n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
+    wide = joined.select(*own, kept.alias(text_col), n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
     return wide.select(*[c for c in df.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
 
 

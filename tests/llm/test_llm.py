@@ -4,13 +4,14 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from lexmill.llm import langid, media, minhash
+from lexmill.llm import common, langid, media, minhash
 from lexmill.llm import substring_dedup as repeats
 from lexmill.llm.bpe import OwnRunCache, WordBpe, _decoded, digest, encode_decode
 from lexmill.llm.components import connected_components
@@ -78,14 +79,27 @@ def test_sql(spark, duck, sf_dir):
         assert counted(df.collect()) == counted(tuple(r[i] for i in order) for r in expected.fetchall())
 
 
-def test_exact(awkward):
-    rows, df = awkward
+def brute_exact(rows):
     groups = collections.defaultdict(list)
     for r in rows:
         groups[text_of(r)].append(r[0])
-    keep = {t: max(i for i in ids if i is not None) if any(i is not None for i in ids) else None for t, ids in groups.items()}
-    expected = counted((r[0], keep[text_of(r)], len(groups[text_of(r)]), r[0] is not None and r[0] == keep[text_of(r)], hashlib.sha256(text_of(r).encode()).hexdigest()) for r in rows)
-    assert counted(exact_dedup(df, salts=3).collect()) == expected
+    expected = collections.Counter()
+    for t, ids in groups.items():
+        keep = max((i for i in ids if i is not None), default=None)
+        left = True
+        for i in ids:
+            expected[i, keep, len(ids), left and i == keep, hashlib.sha256(t.encode()).hexdigest()] += 1
+            left = left and i != keep
+    return expected
+
+
+@pytest.mark.parametrize("share", [1024, 3])
+def test_exact(spark, awkward, monkeypatch, share):
+    monkeypatch.setattr(common, "HOT_SHARE", share)
+    rows = [*awkward[0], *[(5, "x", None, None)] * 3, (None, "alone", None, None), (None, "alone", None, None), *[(400 + i, "hot", None, None) for i in range(60)]]
+    out = exact_dedup(frame(spark, rows), salts=3).collect()
+    assert counted(out) == brute_exact(rows)
+    assert sum(r["kept"] for r in out) == len({text_of(r) for r in rows})
 
 
 def test_lines(awkward):
@@ -103,6 +117,15 @@ def test_lines(awkward):
 CASES = ["", " ", "a", "Don't STOP <|endoftext|>x <|startoftext|>. a<|endoftext|>.", "é J̌ É. ≠ ≠ .̸", "ΣΑΣ. ΑΣ ας İstanbul ﬁle", "    x y \x85 a\x1cb \x1c", "rock'street 's't've.'s ''' a'", "1234.5x ½ Ⅷ x²", "—. a—. é. É! ñ|", "日本語 テスト。 مرحبا 🎉👍🏽 é🎉.", "\x00\x01 ‍ a‍b", "x" * 3000, "a.b.c... (d) [e] {f}~ `g`", "ǅ ŉ ß ẞ", "don’t l’été qu'il", "<| a|> <|end"]
 
 
+def test_lines_take_linear_time(spark):
+    once = lambda n: "\n".join(f"line {i % (n // 2)} of the page" for i in range(n))
+    rows = [(i, once(20_000), "en", "s") for i in range(3)] + [(i, "other", "en", "s") for i in range(3, 10)]
+    began = time.monotonic()
+    out = line_dedup(frame(spark, rows), max_ratio=0.25, min_pages=3).collect()
+    assert [r["n_dropped"] for r in sorted(out, key=lambda r: r["doc_id"])] == [20_000] * 3 + [1] * 7
+    assert time.monotonic() - began < 20
+
+
 def test_bpe_equals_the_library(awkward, spark):
     from tokenizers import Tokenizer
 
