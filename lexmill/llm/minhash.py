@@ -9,15 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import blocks, in_batches, settle
+from lexmill.llm.common import blocks, in_batches, join_counted, settle
 from lexmill.llm.components import connected_components
-from lexmill.llm.shingles import U, linked, mix, shingle_sets
+from lexmill.llm.shingles import U, linked, mix, prefixes, real_set, really_linked, shingle_sets
 
 #: Bands, and coordinates in each: a pair at 0.8 shares a band with probability 1 - 3e-6.
 BANDS = 32
 ROWS = 5
 #: Members that one leader meets in one group of a task.
-GROUP = 256
+GROUP = 64
 
 
 def sketches(sets: list[np.ndarray], t: int) -> np.ndarray:
@@ -60,61 +60,73 @@ def band_hashes(rows: np.ndarray, bands: int) -> np.ndarray:
 def _signed(k: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, max_bytes=1 << 20):
-            sets = shingle_sets([t.encode() for t in block.column(1).to_pylist()], k)
+            sets, keys = shingle_sets(block.column(2).to_pylist(), k)
             hashed = band_hashes(sketches(sets, bands * rows), bands).view(np.int64)
-            keys = [s.tobytes() for s in sets]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands * (len(sets) + 1), bands, dtype=np.int32)), pa.array(hashed.reshape(-1)))
             yield pa.RecordBatch.from_arrays(
-                [block.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(x) for x in keys], pa.binary()), lists],
-                ["doc_id", "n_shingles", "set_key", "bands"],
+                [block.column(0), block.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), lists],
+                ["doc_id", "fp", "n_shingles", "set_key", "bands"],
             )
 
     return run
 
 
-def _key(data: bytes) -> bytes | None:
-    import hashlib
-
-    return hashlib.blake2b(data, digest_size=16).digest() if data else None
-
-
-def _met(k: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[int], list[np.ndarray], list[np.ndarray]]]:
-    """Rows sorted by leader, salt, and then leader before members -> leaders, members and their sets."""
-    leader, theirs = None, np.zeros(0, dtype=U)
+def _met(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, str, str, np.ndarray, np.ndarray]]]:
+    """Rows sorted by leader, salt, and then leader before members -> leader, member, their texts and their sets."""
+    leader, text, theirs = None, "", np.zeros(0, dtype=U)
     for block in blocks(batches, max_bytes=1 << 20):
-        ids, salts, members = (block.column(i).to_pylist() for i in range(3))
-        sets = shingle_sets([t.encode() for t in block.column(3).to_pylist()], k)
-        out: tuple[list, list, list, list] = ([], [], [], [])
-        for a, salt, b, own in zip(ids, salts, members, sets, strict=True):
+        ids, salts, members, texts = (block.column(i).to_pylist() for i in range(4))
+        out = []
+        for a, salt, b, own_text, own in zip(ids, salts, members, texts, shingle_sets(texts, k)[0], strict=True):
             if b is None:
-                leader, theirs = (a, salt), own
+                leader, text, theirs = (a, salt), own_text, own
             elif leader == (a, salt):
-                for x, y in zip(out, (a, b, theirs, own), strict=True):
-                    x.append(y)
+                out.append((a, b, text, own_text, theirs, own))
         yield out
 
 
+def _links(rows: list, k: int, percent: int) -> list[bool]:
+    """Whether leader and member are linked: their hashes say so, and then their shingles themselves."""
+    found, held = [], ("", set())
+    for _, _, text, own_text, theirs, own in rows:
+        near = linked(theirs, own, percent)
+        if near:
+            held = held if held[0] is text else (text, real_set(text, k))
+            near = really_linked(held[1], real_set(own_text, k), percent)
+        found.append(near)
+    return found
+
+
 def _compared(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for leaders, members, theirs, own in _met(k, percent, batches):
-            found = [(a, b) for a, b, x, y in zip(leaders, members, theirs, own, strict=True) if linked(x, y, percent)]
+        for rows in _met(k, batches):
+            found = [r[:2] for r, near in zip(rows, _links(rows, k, percent), strict=True) if near]
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
     return run
 
 
-def _differences(k: int, percent: int):
-    """As _compared, but a row for every member: its size, and what tells its set from the leader's."""
+def _prefixed(k: int, percent: int):
+    """As _compared, but a row for every member: its size, and its first elements.
+
+    The order of elements, the same for all members of a leader: those that the
+    leader lacks come first, then by hash. What nearly all members share, the
+    leader has too, so it is last in the order and in hardly any prefix.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for leaders, members, theirs, own in _met(k, percent, batches):
-            deltas = [np.setxor1d(x, y, assume_unique=True).view(np.int64) for x, y in zip(theirs, own, strict=True)]
-            near = [linked(x, y, percent) for x, y in zip(theirs, own, strict=True)]
-            offsets = np.cumsum([0, *(len(d) for d in deltas)], dtype=np.int32)
-            values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*deltas, np.zeros(0, dtype=np.int64)])))
+        for rows in _met(k, batches):
+            parts, counts = [], []
+            for _, _, _, _, theirs, own in rows:
+                shared = np.isin(own, theirs, assume_unique=True)
+                probe, index = prefixes(len(own), percent)
+                parts.append(np.concatenate([own[~shared], own[shared]])[:probe].view(np.int64))
+                counts.append(index)
+            offsets = np.cumsum([0, *(len(x) for x in parts)], dtype=np.int32)
+            values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.zeros(0, dtype=np.int64)])))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(leaders, pa.int64()), pa.array(members, pa.int64()), pa.array([len(x) for x in own], pa.int64()), pa.array(near, pa.bool_()), values],
-                ["a", "b", "size", "near", "delta"],
+                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([len(r[5]) for r in rows], pa.int64()), pa.array(_links(rows, k, percent), pa.bool_()), values, pa.array(counts, pa.int32())],
+                ["a", "b", "size", "near", "prefix", "n_index"],
             )
 
     return run
@@ -126,64 +138,30 @@ def meet(pairs: DataFrame, texts: DataFrame, run, ddl: str) -> DataFrame:
     The text of a goes to each of its groups; so no task holds more than a group,
     however many partners a has.
     """
-    counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)).cast("int").alias("groups"))
-    numbered = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("salt"))
-    members = numbered.join(texts, numbered["b"] == texts["doc_id"]).select("a", "salt", "b", "text")
+    counts = settle(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("groups", F.ceil(F.col("n") / F.lit(GROUP)).cast("int")), "leaders")
+    numbered = join_counted(pairs, counts, ["a"], "n", ["b"]).select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("salt"))
+    members = numbered.join(texts, numbered["b"] == texts["node"]).select("a", "salt", "b", "text")
     leaders = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"))
-    leaders = leaders.join(texts, leaders["a"] == texts["doc_id"]).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
+    leaders = leaders.join(texts, leaders["a"] == texts["node"]).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
     dealt = members.union(leaders).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     return dealt.transform(in_batches, run, ddl)
 
 
-def _linked_apart(percent: int):
-    """Rows (a, salt, open, b, component, size, delta), sorted by the first three -> links to other components.
+def _across(group: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one leader in different components that may be linked.
 
-    Sets x and y whose differences from the same leader are X and Y differ in
-    |X| + |Y| - 2 |X and Y| shingles, and are linked if that is at most (100 -
-    percent) / (100 + percent) of the sum of their sizes. So only differences are
-    looked at, by an index of those of the group's members; of its links to one
-    component an open member reports one.
+    ``group``: a, b, size, component, prefix, n_index. Two linked sets share an
+    element of their prefixes; elements that only one component has are left out
+    before the join, and so are pairs whose sizes differ too much.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held, index = None, [], None
-
-        def build() -> tuple:
-            ids, parts, sizes = (np.array([h[i] for h in held], dtype=np.int64) for i in range(3))
-            deltas = [np.array(h[3], dtype=np.int64) for h in held]
-            tokens = np.concatenate([*deltas, np.zeros(0, dtype=np.int64)])
-            owner = np.repeat(np.arange(len(held)), [len(d) for d in deltas])
-            order = np.argsort(tokens, kind="stable")
-            return ids, parts, sizes, np.array([len(d) for d in deltas]), tokens[order], owner[order]
-
-        for block in blocks(batches):
-            found: list[tuple[int, int]] = []
-            for a, salt, open_, b, part, size, delta in zip(*(block.column(i).to_pylist() for i in range(7)), strict=True):
-                if group != (a, salt):
-                    group, held, index = (a, salt), [], None
-                if not open_:
-                    held.append((b, part, size, delta))
-                    continue
-                if not held:
-                    continue
-                if index is None:
-                    index = build()
-                ids, parts, sizes, counts, tokens, owner = index
-                mine = np.array(delta, dtype=np.int64)
-                lo, hi = np.searchsorted(tokens, mine, "left"), np.searchsorted(tokens, mine, "right")
-                n = hi - lo
-                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-                shared = np.bincount(owner[at], minlength=len(ids))
-                apart = counts + len(mine) - 2 * shared
-                # x and y are linked if 100 * common >= percent * union, with union - common = apart.
-                union = (sizes + size + apart) // 2
-                ok = (100 * (union - apart) >= percent * union) & (parts != part)
-                if ok.any():
-                    first = np.unique(parts[ok], return_index=True)[1]
-                    found += [(b, int(y)) for y in ids[ok][first]]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
-
-    return run
+    columns = ["a", "b", "size", "component"]
+    probe = group.select(*columns, F.explode("prefix").alias("element"))
+    index = group.select(*columns, F.explode(F.slice("prefix", F.lit(1), F.col("n_index"))).alias("element"))
+    mixed = probe.groupBy("a", "element").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("a", "element")
+    probe = probe.join(mixed, ["a", "element"], "left_semi").select(*columns, "element")
+    index = index.join(mixed, ["a", "element"], "left_semi").select("a", "element", F.col("b").alias("y"), F.col("size").alias("y_size"), F.col("component").alias("y_component"))
+    near = (F.col("y_size") <= F.col("size")) & (100 * F.col("y_size") >= percent * F.col("size")) & (F.col("component") != F.col("y_component"))
+    return probe.join(index, ["a", "element"]).where(near).select(F.least("b", "y").alias("a"), F.greatest("b", "y").alias("b")).distinct()
 
 
 def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 2, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -193,63 +171,89 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     the distinct k-word shingles of the whole text (fewer words: the sequence as
     one shingle; no words or null: empty). Documents are linked if 100 * |A and B|
     >= percent * |A or B|. ``component_id`` is the smallest id that links reach,
-    and that document is ``kept``. Documents with an empty set are linked with
-    nothing. Rows that repeat an id are one document. A row with a null id takes
-    no part: its component is null and it is kept. Other columns are ignored.
+    and rows of that id in the component are ``kept``. Documents with an empty set
+    are linked with nothing. Rows that repeat an id are documents of their own,
+    linked by their own texts; if both are in one component they have the same
+    ``component_id``. A row with a null id takes no part: its component is null
+    and it is kept. Other columns are ignored; an empty table gives an empty result.
 
-    1. Equal sets are grouped by digest; the smallest id stands for them.
+    1. Equal sets are grouped by a 128-bit keyed digest; one row stands for them.
     2. The sketch of each representative is cut into bands. Texts that share a
        band are candidates. No bucket is capped.
-    3. In each bucket all members are compared with the smallest, on full sets.
-       Buckets whose members are in one component then are done.
-    4. In the others all members meet the one that has most links so far, and what
-       tells their sets from its set is kept. From these differences the similarity
-       of any two members follows exactly; the members outside the largest
-       component are held against all others, block by block, in an index of the
-       differences. Pairs are not emitted, only links between components.
-    So each pair that shares a bucket is compared or already connected.
+    3. In each bucket all members are compared with its first. Buckets whose
+       members are in one component then are done.
+    4. In the others all members meet the one that has most links so far. Members
+       of different components share a shingle of their prefixes if they are
+       linked (see ``_across``); those that do are compared.
+    So each pair that shares a bucket is compared or already connected, or can't
+    be linked. Pairs are linked by the shingles themselves, not by their hashes.
     """
+    return near_rows(df, id_col, text_col, k, percent, bands, rows).drop("fp")
+
+
+def near_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 2, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """As ``near_components``, with ``fp``, a hash that tells the texts of one id apart."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    signed = settle(docs.transform(in_batches, _signed(k, bands, rows), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "sketches")
-    known = signed.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-    reps = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
-    reps = settle(reps, "representatives")
-    buckets = reps.select("rep", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("bucket")
-    members = settle(buckets.join(shared, "bucket", "left_semi"), "buckets")
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = settle(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidates")
-
-    lead = members.groupBy("bucket").agg(F.min("rep").alias("a"))
-    pairs = settle(members.join(lead, "bucket").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "pairs")
+    docs = docs.select("doc_id", F.xxhash64("text").alias("fp"), "text")
+    signed = settle(docs.transform(in_batches, _signed(k, bands, rows), "doc_id long, fp long, n_shingles long, set_key binary, bands array<long>"), "sketches")
+    takes_part = F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()
+    known = signed.where(takes_part)
+    reps = known.groupBy("set_key").agg(F.min(F.struct("doc_id", "fp")).alias("rep"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n"))
+    # Numbers that are written are fixed; ids can't be nodes, as rows may repeat them.
+    reps = settle(reps.withColumn("node", F.monotonically_increasing_id()), "representatives")
+    buckets = reps.select("node", F.explode("bands").alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a")).where(F.col("n") > 1)
+    members = settle(join_counted(buckets, settle(shared, "shared"), ["bucket"], "n", ["node"]).select("bucket", "node", "a"), "buckets")
+    wanted = members.select("node").distinct().join(reps, "node").select("node", "rep.doc_id", "rep.fp")
+    texts = settle(docs.join(wanted, ["doc_id", "fp"]).groupBy("doc_id", "fp").agg(F.first("node").alias("node"), F.first("text").alias("text")).select("node", "text"), "candidates")
+
+    pairs = settle(members.where("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
     links = settle(meet(pairs, texts, _compared(k, percent), "a long, b long"), "links")
 
     def placed(rows: DataFrame, of: str, links: DataFrame) -> tuple[DataFrame, DataFrame]:
         component = settle(connected_components(links), "components")
         return rows.join(component, rows[of] == component["id"], "left").withColumn("component", F.coalesce("component", of)).drop("id"), component
 
-    at, component = placed(members, "rep", links)
-    undone = at.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    at = at.join(undone, "bucket", "left_semi").join(degree, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("degree", F.lit(0)).alias("degree"))
-    at = settle(at, "undone")
-    lead = at.groupBy("bucket").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("a"))
-    pairs = settle(at.join(lead, "bucket").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "pairs")
-    met = settle(meet(pairs, texts, _differences(k, percent), "a long, b long, size long, near boolean, delta array<long>"), "differences")
+    at, component = placed(members.select("bucket", "node"), "node", links)
+    degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    at = settle(at.join(degree, F.col("node") == F.col("id"), "left").select("bucket", "node", "component", F.coalesce("degree", F.lit(0)).alias("degree")), "placed")
+    undone = at.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max_by("node", F.struct("degree", -F.col("node"))).alias("a"), F.count(F.lit(1)).alias("n"))
+    undone = settle(undone.where("lo < hi").select("bucket", "a", "n"), "undone")
+    pairs = join_counted(at.select("bucket", "node"), undone, ["bucket"], "n", ["node"])
+    pairs = settle(pairs.where("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
+    met = settle(meet(pairs, texts, _prefixed(k, percent), "a long, b long, size long, near boolean, prefix array<long>, n_index int"), "met")
     links = links.union(met.where("near").select("a", "b"))
 
     group, component = placed(met, "b", links)
-    tally = group.groupBy("a", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("a")
-    tally = tally.agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.ceil(F.sum("n") / F.lit(2 * GROUP)).cast("int").alias("groups"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    tally = settle(tally, "tally")
-    group = group.join(tally, "a")
-    columns = ["b", "component", "size", "delta"]
-    held = group.select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("salt"), F.lit(False).alias("open"), *columns)
-    unsure = group.where(F.col("component") != F.col("largest")).select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.lit(True).alias("open"), *columns)
-    dealt = held.union(unsure).repartition("a", "salt").sortWithinPartitions("a", "salt", "open")
-    links = links.union(settle(dealt.transform(in_batches, _linked_apart(percent), "a long, b long"), "links"))
+    pairs = settle(_across(group, percent), "pairs")
+    links = links.union(settle(meet(pairs, texts, _compared(k, percent), "a long, b long"), "links"))
     component = settle(connected_components(links), "components")
-    classes = reps.join(component, reps["rep"] == component["id"], "left").select("set_key", F.coalesce("component", "rep").alias("class"))
-    out = signed.drop("bands").join(classes, "set_key", "left")
-    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    least = component.join(reps.select(F.col("node").alias("id"), F.col("rep.doc_id").alias("rep")), "id")
+    least = settle(least.groupBy("component").agg(F.min("rep").alias("class"), F.count(F.lit(1)).alias("n")), "least")
+    named = join_counted(component, least, ["component"], "n", ["id"]).select("id", "class")
+    classes = reps.join(named, reps["node"] == named["id"], "left").select("set_key", "n", F.coalesce("class", "rep.doc_id").alias("component_id"))
+    columns = ["doc_id", "fp", "n_shingles", "component_id"]
+    out = join_counted(known.drop("bands"), settle(classes, "classes"), ["set_key"], "n", ["doc_id"]).select(*columns)
+    out = out.unionByName(signed.where(~takes_part).select("doc_id", "fp", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each near-duplicate group, as it is: a row of the group's smallest id.
+
+    Rows without an id, or without words, are in no group and stay. Of rows that
+    repeat the smallest id one stays, whether their texts are equal or not.
+    """
+    key, fp = F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    grouped = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]") & F.col(id_col).isNotNull(), F.lit(False))
+    found = near_rows(df.where(grouped), id_col, text_col, k, percent).where("kept")
+    kept = found.groupBy(F.col("doc_id").alias("_nd_id")).agg(F.min(F.struct("fp")).alias("_nd_least"), F.count(F.lit(1)).alias("_nd_rows"))
+    kept = settle(kept.select("_nd_id", F.col("_nd_least.fp").alias("_nd_fp"), "_nd_rows"), "kept")
+    tagged = df.where(grouped).withColumns({"_nd_own": key, "_nd_own_fp": fp})
+    on = lambda k: (F.col("_nd_own") == k["_nd_id"]) & (F.col("_nd_own_fp") == k["_nd_fp"])
+    one, many = kept.where("_nd_rows = 1"), kept.where("_nd_rows > 1")
+    single = tagged.join(one, on(one), "left_semi").select(*df.columns)
+    # Rows of one id that are all in the group: the aggregate keeps one of each task's, then one of all.
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    repeated = tagged.join(many, on(many), "left_semi").groupBy("_nd_own").agg(F.first(whole).alias("_nd_row")).select("_nd_row.*")
+    return single.union(repeated).union(df.where(~grouped))

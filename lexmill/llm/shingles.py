@@ -1,16 +1,18 @@
-"""Word shingles of many texts at once, as 64-bit hashes in numpy."""
+"""Word shingles of texts: as sets of keyed 64-bit hashes, and as the words themselves."""
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import numpy as np
 
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C55)
 _INVERSE = U(pow(0x9E3779B97F4A7C55, -1, 1 << 64))
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 0x20
+_KEY = b"lexmill word shingles"
+#: Distinct words whose digests are remembered.
+REMEMBERED = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,46 +40,89 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _CACHED["up"][:n], _CACHED["down"][:n]
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text number of every word, in order; words are lower-cased in A-Z."""
-    data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
-    ends_of_texts = np.cumsum([len(t) + 1 for t in texts])
-    space = _SPACE[data]
-    edge = np.flatnonzero(np.diff(space, prepend=True))
-    starts, ends = edge[::2], edge[1::2]
-    up, down = powers(len(data))
-    total = np.zeros(len(data) + 1, dtype=U)
-    np.cumsum((_LOWER[data].astype(U) + U(1)) * up, out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * down[starts] ^ ((ends - starts).astype(U) << U(48)))
-    return hashes, np.searchsorted(ends_of_texts, starts, side="right")
+def words_of(text: str) -> list[bytes]:
+    """Runs without ASCII white space, lower-cased in A-Z."""
+    return text.encode().lower().split()
 
 
-def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
-    """For each text the sorted distinct hashes of its k-word shingles.
+class _Numbers(dict):
+    """A number for each distinct word, and its 128-bit keyed digest."""
 
-    A text of fewer words, but one at least, has its whole sequence as its only
-    shingle; a text without words has none.
-    """
-    words, owner = word_hashes(texts)
-    n = np.bincount(owner, minlength=len(texts)) if len(words) else np.zeros(len(texts), dtype=np.int64)
-    first = np.concatenate([[0], np.cumsum(n)])
-    m = max(0, len(words) - k + 1)
-    rolled = np.zeros(m, dtype=U)
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[bytes] = []
+        self.digests = np.zeros((0, 2), dtype=U)
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.fresh.append(hashlib.blake2b(word, digest_size=16, key=_KEY).digest())
+        return n
+
+    def table(self) -> np.ndarray:
+        if self.fresh:
+            self.digests = np.concatenate([self.digests, np.frombuffer(b"".join(self.fresh), dtype="<u8").reshape(-1, 2)])
+            self.fresh = []
+        return self.digests
+
+
+_NUMBERS = [_Numbers()]
+
+
+def _rolled(words: np.ndarray, k: int, last: int) -> np.ndarray:
+    """The hash of each k words from the first to the last-th."""
+    h = np.full(last, U(k), dtype=U)
     for j in range(k):
-        rolled = mix(rolled * U(0xD6E8FEB86659FD93) + words[j : j + m] + U(k))
-    out = []
-    for i in range(len(texts)):
-        a, b = int(first[i]), int(first[i + 1])
-        if b - a >= k:
-            out.append(np.unique(rolled[a : b - k + 1]))
-        elif b > a:
-            h = np.zeros(1, dtype=U)
-            for w in words[a:b]:
-                h = mix(h * U(0xD6E8FEB86659FD93) + w + U(1 << 32) + U(b - a))
-            out.append(h)
-        else:
-            out.append(np.zeros(0, dtype=U))
-    return out
+        h = mix(h * U(0xD6E8FEB86659FD93) + words[j : j + last])
+    return h
+
+
+def shingle_sets(texts: list[str], k: int) -> tuple[list[np.ndarray], list[bytes | None]]:
+    """For each text the sorted distinct hashes of its k-word shingles, and a 128-bit digest of the set.
+
+    Words are hashed with a key, so that no text can be made to collide without
+    it; the digest sees 128 bits of every shingle. A text of fewer words, but one
+    at least, has its whole sequence as its only shingle; one without words has
+    none, and no digest.
+    """
+    if len(_NUMBERS[0]) > REMEMBERED:
+        _NUMBERS[0] = _Numbers()
+    number = _NUMBERS[0]
+    numbered = [[number[w] for w in words_of(t)] for t in texts]
+    digests = number.table()
+    sets, keys = [], []
+    for own in numbered:
+        n = len(own)
+        if not n:
+            sets.append(np.zeros(0, dtype=U))
+            keys.append(None)
+            continue
+        words = digests[np.array(own)]
+        size = min(k, n)
+        first, second = (_rolled(words[:, i], size, n - size + 1) for i in (0, 1))
+        first, at = np.unique(first, return_index=True)
+        sets.append(first)
+        keys.append(hashlib.blake2b(first.tobytes() + second[at].tobytes(), digest_size=16).digest())
+    return sets, keys
+
+
+def real_set(text: str, k: int) -> set[tuple[bytes, ...]]:
+    words = words_of(text)
+    return set(zip(*(words[i:] for i in range(k)), strict=False)) if len(words) >= k else {tuple(words)} if words else set()
+
+
+def really_linked(a: set, b: set, percent: int) -> bool:
+    """As ``linked``, of the shingles themselves."""
+    common = len(a & b)
+    return bool(a and b) and 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def prefixes(size: int, percent: int) -> tuple[int, int]:
+    """How many of a set's first elements, in an order that all sets share, must meet another's.
+
+    Of two linked sets, the first common element is among the first p of the larger
+    and among the first q of the smaller one; (p, q) is returned.
+    """
+    return size - math.ceil(percent * size / 100) + 1, size - math.ceil(2 * percent * size / (100 + percent)) + 1
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:

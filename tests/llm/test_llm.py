@@ -266,6 +266,47 @@ def test_near_duplicates(spark, awkward, k):
             assert (r["n_shingles"], r["component_id"]) == expected[r["doc_id"]] and r["kept"] == (r["doc_id"] == r["component_id"])
 
 
+def test_words_that_hash_alike_are_not_linked(spark):
+    a = "a"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, a, "en", "s"), (2, b, "en", "s"), (3, "other words here", "en", "s")]
+    assert {r["doc_id"]: r["component_id"] for r in near_components(frame(spark, rows)).collect()} == {1: 1, 2: 2, 3: 3}
+
+
+def test_near_duplicates_with_repeated_ids(spark):
+    prose = lambda seed: " ".join(random.Random(seed).choice("abcdefgh") * random.Random(seed * 99 + i).randint(1, 9) + str(i) for i in range(40))
+    rows = [(9, prose(1), "en", "s"), (9, prose(2), "en", "s"), (5, prose(1) + " end", "en", "s"), (12, prose(2) + " end", "en", "s"), (12, prose(2) + " end", "en", "s"), (7, prose(3), "en", "s")]
+    out = counted((r["doc_id"], r["component_id"], r["kept"]) for r in near_components(frame(spark, rows)).collect())
+    assert out == collections.Counter({(9, 5, False): 1, (5, 5, True): 1, (9, 9, True): 1, (12, 9, False): 2, (7, 7, True): 1})
+
+
+def test_one_of_each_group(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(4, text, "en", "s"), (4, text, "en", "s"), (4, text + " x", "fr", "s"), (6, text, "en", "s"), (None, text, "en", "s"), (7, " ", "en", "s"), (7, None, "en", "s"), (8, "alone", "en", "s")]
+    df = frame(spark, rows)
+    out = minhash.without_near_copies(df)
+    assert out.columns == df.columns
+    assert sorted((r["doc_id"] or 0) for r in out.collect()) == [0, 4, 7, 7, 8]
+
+
+def test_templates_below_the_threshold(spark, monkeypatch):
+    """Many texts that share most words without being linked, and a few pairs among them that are."""
+    monkeypatch.setattr(common, "HOT_SHARE", 8)
+    rng = random.Random(8)
+    word = lambda: "w" + str(rng.randrange(10**6))
+    base = [word() for _ in range(80)]
+    texts = {}
+    for i in range(60):
+        own = [word() for _ in range(18)]
+        texts[i] = " ".join(base + own)
+        if i % 7 == 0:
+            texts[1000 + i] = " ".join(base + own[:-2] + [word(), word()])
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_components(frame(spark, [(i, t, "en", "s") for i, t in texts.items()])).collect()}
+    assert out == brute_components(texts, 2, 80)
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(1, 2**63, 900, dtype=np.uint64)
