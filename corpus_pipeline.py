@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lexmill.llm.common import settle, table
 from lexmill.llm.langid import UNDETERMINED, identify, train
 from lexmill.llm.line_dedup import line_dedup
-from lexmill.llm.minhash import near_components
+from lexmill.llm.minhash import without_near_copies
 from lexmill.llm.packing import pack
 from lexmill.llm.substring_dedup import without_repeats
 
@@ -42,8 +42,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: five words, similarity 0.8."""
-    kept = near_components(docs, k=5, percent=80).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id IS NULL"))
+    return without_near_copies(docs, k=5, percent=80)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
