@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import settle
+from lexmill.llm.common import join_counted, settle
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -17,8 +17,9 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     ends = edges.select("u", "v")
     if large:
         ends = ends.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = ends.groupBy("u").agg(F.min("v").alias("w")).withColumn("w", F.least("w", "u"))
-    joined = ends.join(least, "u")
+    least = ends.groupBy("u").agg(F.min("v").alias("w"), F.count(F.lit(1)).alias("n")).withColumn("w", F.least("w", "u"))
+    # A large star's centre has all its leaves as neighbours; below a node there are few.
+    joined = join_counted(ends, settle(least, "centres"), ["u"], "n", ["v"]) if large else ends.join(least, "u")
     if large:
         out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("w").alias("v"))
     else:

@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.common import blocks, in_batches, join_counted, settle
 from lexmill.llm.components import connected_components
-from lexmill.llm.shingles import U, linked, mix, prefixes, real_set, really_linked, shingle_sets
+from lexmill.llm.shingles import U, linked, mix, real_set, really_linked, shingle_sets
 
 #: Bands, and coordinates in each: a pair at 0.8 shares a band with probability 1 - 3e-6.
 BANDS = 32
 ROWS = 5
 #: Members that one leader meets in one group of a task.
 GROUP = 64
+#: Members of one leader, and open ones, that meet in one cell at most.
+CELL = 16384
 
 
 def sketches(sets: list[np.ndarray], t: int) -> np.ndarray:
@@ -106,27 +108,17 @@ def _compared(k: int, percent: int):
     return run
 
 
-def _prefixed(k: int, percent: int):
-    """As _compared, but a row for every member: its size, and its first elements.
-
-    The order of elements, the same for all members of a leader: those that the
-    leader lacks come first, then by hash. What nearly all members share, the
-    leader has too, so it is last in the order and in hardly any prefix.
-    """
+def _differences(k: int, percent: int):
+    """As _compared, but a row for every member: its size, and what tells its set from the leader's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _met(k, batches):
-            parts, counts = [], []
-            for _, _, _, _, theirs, own in rows:
-                shared = np.isin(own, theirs, assume_unique=True)
-                probe, index = prefixes(len(own), percent)
-                parts.append(np.concatenate([own[~shared], own[shared]])[:probe].view(np.int64))
-                counts.append(index)
-            offsets = np.cumsum([0, *(len(x) for x in parts)], dtype=np.int32)
-            values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.zeros(0, dtype=np.int64)])))
+            deltas = [np.setxor1d(r[4], r[5], assume_unique=True).view(np.int64) for r in rows]
+            offsets = np.cumsum([0, *(len(d) for d in deltas)], dtype=np.int32)
+            values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*deltas, np.zeros(0, dtype=np.int64)])))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([len(r[5]) for r in rows], pa.int64()), pa.array(_links(rows, k, percent), pa.bool_()), values, pa.array(counts, pa.int32())],
-                ["a", "b", "size", "near", "prefix", "n_index"],
+                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([len(r[5]) for r in rows], pa.int64()), pa.array(_links(rows, k, percent), pa.bool_()), values],
+                ["a", "b", "size", "near", "delta"],
             )
 
     return run
@@ -147,21 +139,78 @@ def meet(pairs: DataFrame, texts: DataFrame, run, ddl: str) -> DataFrame:
     return dealt.transform(in_batches, run, ddl)
 
 
+def _linked_apart(percent: int):
+    """Rows (a, cell, open, b, component, size, delta), sorted by the first three -> links to other components.
+
+    Sets x and y whose differences from the same leader are X and Y differ in
+    |X| + |Y| - 2 |X and Y| shingles, and are linked if that is at most (100 -
+    percent) / (100 + percent) of the sum of their sizes. So only differences are
+    looked at, by an index of those of the cell's members; of its links to one
+    component an open member reports one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, index = None, [], None
+
+        def build() -> tuple:
+            ids, parts, sizes = (np.array([h[i] for h in held], dtype=np.int64) for i in range(3))
+            deltas = [np.array(h[3], dtype=np.int64) for h in held]
+            tokens = np.concatenate([*deltas, np.zeros(0, dtype=np.int64)])
+            owner = np.repeat(np.arange(len(held)), [len(d) for d in deltas])
+            order = np.argsort(tokens, kind="stable")
+            return ids, parts, sizes, np.array([len(d) for d in deltas]), tokens[order], owner[order]
+
+        for block in blocks(batches):
+            found: list[tuple[int, int]] = []
+            for a, cell, open_, b, part, size, delta in zip(*(block.column(i).to_pylist() for i in range(7)), strict=True):
+                if group != (a, cell):
+                    group, held, index = (a, cell), [], None
+                if not open_:
+                    held.append((b, part, size, delta))
+                    continue
+                if not held:
+                    continue
+                if index is None:
+                    index = build()
+                ids, parts, sizes, counts, tokens, owner = index
+                mine = np.array(delta, dtype=np.int64)
+                lo, hi = np.searchsorted(tokens, mine, "left"), np.searchsorted(tokens, mine, "right")
+                n = hi - lo
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+                shared = np.bincount(owner[at], minlength=len(ids))
+                apart = counts + len(mine) - 2 * shared
+                # x and y are linked if 100 * common >= percent * union, with union - common = apart.
+                union = (sizes + size + apart) // 2
+                ok = (100 * (union - apart) >= percent * union) & (parts != part)
+                if ok.any():
+                    first = np.unique(parts[ok], return_index=True)[1]
+                    found += [(b, int(y)) for y in ids[ok][first]]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    return run
+
+
 def _across(group: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of one leader in different components that may be linked.
+    """Links (a, b) between members of one leader that are in different components.
 
-    ``group``: a, b, size, component, prefix, n_index. Two linked sets share an
-    element of their prefixes; elements that only one component has are left out
-    before the join, and so are pairs whose sizes differ too much.
+    ``group``: a, b, component, size, delta. The members outside a leader's
+    largest component are its open ones; they are held against all members in a
+    grid of cells, each of a block of members and a block of open ones. The blocks
+    grow with the leader's members up to CELL, so that no task holds more.
     """
-    columns = ["a", "b", "size", "component"]
-    probe = group.select(*columns, F.explode("prefix").alias("element"))
-    index = group.select(*columns, F.explode(F.slice("prefix", F.lit(1), F.col("n_index"))).alias("element"))
-    mixed = probe.groupBy("a", "element").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("a", "element")
-    probe = probe.join(mixed, ["a", "element"], "left_semi").select(*columns, "element")
-    index = index.join(mixed, ["a", "element"], "left_semi").select("a", "element", F.col("b").alias("y"), F.col("size").alias("y_size"), F.col("component").alias("y_component"))
-    near = (F.col("y_size") <= F.col("size")) & (100 * F.col("y_size") >= percent * F.col("size")) & (F.col("component") != F.col("y_component"))
-    return probe.join(index, ["a", "element"]).where(near).select(F.least("b", "y").alias("a"), F.greatest("b", "y").alias("b")).distinct()
+    tally = group.groupBy("a", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("a")
+    tally = tally.agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most")).where("n > most")
+    block = F.least(F.lit(CELL), F.greatest(F.lit(512), F.ceil(F.sqrt(F.col("n") * (F.col("n") - F.col("most")) / 256)).cast("int")))
+    tally = tally.withColumns({"rows": F.ceil(F.col("n") / block).cast("int"), "columns": F.ceil((F.col("n") - F.col("most")) / block).cast("int")})
+    group = join_counted(group, settle(tally, "tally"), ["a"], "n", ["b"])
+    columns = ["b", "component", "size", "delta"]
+    row, column = F.pmod(F.xxhash64("b"), F.col("rows")).cast("int"), F.pmod(F.xxhash64("b", F.lit(1)), F.col("columns")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = group.withColumn("x", row).select("a", "x", every("columns").alias("y"), F.lit(False).alias("open"), *columns)
+    unsure = group.where(F.col("component") != F.col("largest")).withColumn("y", column).select("a", every("rows").alias("x"), "y", F.lit(True).alias("open"), *columns)
+    dealt = held.union(unsure).select("a", (F.col("x") * F.lit(1 << 31) + F.col("y")).alias("cell"), "open", *columns)
+    dealt = dealt.repartition("a", "cell").sortWithinPartitions("a", "cell", "open")
+    return dealt.transform(in_batches, _linked_apart(percent), "a long, b long").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 2, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -182,11 +231,15 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
        band are candidates. No bucket is capped.
     3. In each bucket all members are compared with its first. Buckets whose
        members are in one component then are done.
-    4. In the others all members meet the one that has most links so far. Members
-       of different components share a shingle of their prefixes if they are
-       linked (see ``_across``); those that do are compared.
-    So each pair that shares a bucket is compared or already connected, or can't
-    be linked. Pairs are linked by the shingles themselves, not by their hashes.
+    4. In the others all members meet the one that has most links so far, and what
+       tells their sets from its set is kept. From these differences the similarity
+       of any two members follows exactly; the members outside the largest
+       component are held against all others (see ``_across``). Pairs are not
+       emitted, only links between components.
+    So each pair that shares a bucket is compared or already connected. All links
+    are confirmed on the shingles themselves, not on their hashes. The work of the
+    last step grows with (members outside the largest component) x (members) of a
+    leader: texts of one template that are almost, but not, near-duplicates.
     """
     return near_rows(df, id_col, text_col, k, percent, bands, rows).drop("fp")
 
@@ -221,7 +274,7 @@ def near_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     undone = settle(undone.where("lo < hi").select("bucket", "a", "n"), "undone")
     pairs = join_counted(at.select("bucket", "node"), undone, ["bucket"], "n", ["node"])
     pairs = settle(pairs.where("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
-    met = settle(meet(pairs, texts, _prefixed(k, percent), "a long, b long, size long, near boolean, prefix array<long>, n_index int"), "met")
+    met = settle(meet(pairs, texts, _differences(k, percent), "a long, b long, size long, near boolean, delta array<long>"), "met")
     links = links.union(met.where("near").select("a", "b"))
 
     group, component = placed(met, "b", links)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 
@@ -116,15 +115,6 @@ def really_linked(a: set, b: set, percent: int) -> bool:
     return bool(a and b) and 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def prefixes(size: int, percent: int) -> tuple[int, int]:
-    """How many of a set's first elements, in an order that all sets share, must meet another's.
-
-    Of two linked sets, the first common element is among the first p of the larger
-    and among the first q of the smaller one; (p, q) is returned.
-    """
-    return size - math.ceil(percent * size / 100) + 1, size - math.ceil(2 * percent * size / (100 + percent)) + 1
-
-
 def common(a: np.ndarray, b: np.ndarray) -> int:
     """How many values two sorted arrays of distinct values share."""
     both = np.concatenate([a, b])
