@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import blocks, in_batches, settle
+from lexmill.llm.common import blocks, in_batches, join_counted, settle
 from lexmill.llm.shingles import U, mix, powers
 
 #: Bytes of a string that counts as repeated, and of the grams at which suffixes are anchored.
@@ -18,10 +19,12 @@ WINDOW = 200
 GRAM = 100
 #: Bytes of context on either side of a gram that a window over it can reach.
 SIDE = WINDOW - GRAM
-#: Contexts of one gram that a task sorts at once; those of commoner grams are dealt out window by window.
-SORTED_AT_ONCE = 16384
+#: Contexts of one core that a task sorts; larger groups are split by further passes first.
+AT_ONCE = 2048
 #: Bytes of a digit of the radix sort.
-DIGIT = 40
+DIGIT = 8
+#: Bytes of a text whose anchors are sought at once: a longer text is cut into pieces that overlap by a window.
+PIECE = 1 << 20
 _NONE = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -74,70 +77,58 @@ class Texts:
         at, owner = at[ok], owner[ok]
         return owner, at - self.starts[owner]
 
-    def around(self, owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of grams: their hash, that of their context, and its bytes to the left and to the right."""
-        at = place + self.starts[owner]
-        left = np.minimum(SIDE, place)
-        right = np.minimum(SIDE, self.ends[owner] - at - GRAM)
-        gram = self.hashes(at, at + GRAM)
-        context = mix(self.hashes(at - left, at + GRAM + right) + left.astype(U) * U(257) + right.astype(U))
-        return gram, context, left, right
 
+def _passes(values: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows whose bytes are those of another row of their group, and their new groups.
 
-def _longest_shared(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """How many leading bytes each row shares with any other of its group (-1: it is alone).
-
-    Rows are sorted by group and then by digits of 8 bytes; neighbours share most.
+    Most-significant-digit passes: each sorts what is left by group and the next
+    digit of DIGIT bytes, splits the groups by it, and what stands alone leaves.
     """
-    m, width = rows.shape
-    digits = np.zeros((m, -(-width // 8) * 8), dtype=np.uint8)
-    digits[:, :width] = rows
-    order = np.lexsort((*digits.view(">u8").astype(U).T[::-1], group))
-    a, g = rows[order], group[order]
-    same = a[1:] == a[:-1]
-    shared = np.where(same.all(axis=1), width, same.argmin(axis=1))
-    shared[g[1:] != g[:-1]] = -1
-    best = np.full(m, -1, dtype=np.int64)
-    best[order[1:]] = shared
-    best[order[:-1]] = np.maximum(best[order[:-1]], shared)
-    return best
+    rows = np.arange(len(values))
+    for at in range(0, values.shape[1], DIGIT):
+        part = np.zeros((len(rows), DIGIT), dtype=np.uint8)
+        digit = values[rows, at : at + DIGIT]
+        part[:, : digit.shape[1]] = digit
+        value = part.view(">u8").astype(U).reshape(-1)
+        order = np.lexsort((value, group))
+        rows, group, value = rows[order], group[order], value[order]
+        new = np.ones(len(rows), dtype=bool)
+        new[1:] = (group[1:] != group[:-1]) | (value[1:] != value[:-1])
+        group = np.cumsum(new) - 1
+        many = np.bincount(group, minlength=1)[group] > 1 if len(group) else np.zeros(0, dtype=bool)
+        rows, group = rows[many], group[many]
+        if not len(rows):
+            break
+    return rows, group
 
 
 def repeated_windows(contexts: np.ndarray, left: np.ndarray, right: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each context, from where to where repeated windows cover it (-1, -1: nowhere).
 
-    ``contexts``: rows of SIDE + GRAM + SIDE bytes around grams; ``group``: equal
-    for equal grams. First the sides are sorted outwards from the gram: a window that
-    reaches farther than any other context agrees can't repeat. The other windows of
-    a group that lie at the same place relative to the gram are sorted by most-significant-digit passes of 8 bytes, no deeper
-    than WINDOW bytes: a pass splits each group by its next digit and windows that
-    are alone leave. What is left after the last pass are the repeated windows.
+    ``contexts``: rows of SIDE + GRAM + SIDE bytes around grams, of which ``left``
+    and ``right`` bytes beside the gram are there; ``group``: equal for equal
+    grams. A window that begins o bytes before the gram needs equal o bytes to the
+    left and SIDE - o to the right. So what all windows of a range of o need is the
+    range's core; from range to half range cores grow by the next bytes, passes
+    over these split the groups, and what stands alone leaves. The core of a single
+    o is a window: its groups are exactly the repeated windows.
     """
     m = len(contexts)
-    left = np.minimum(left, _longest_shared(contexts[:, :SIDE][:, ::-1], group))
-    right = np.minimum(right, _longest_shared(contexts[:, SIDE + GRAM :], group))
-    first = SIDE - left
-    count = np.where((left >= 0) & (right >= first), np.minimum(SIDE, right) - first + 1, 0)
-    row = np.repeat(np.arange(m), count)
-    start = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[row]
-    same = group[row] * (SIDE + 1) + start
-    text = Texts([contexts.tobytes()])
-    at = row * contexts.shape[1] + start
-    for digit in range(0, WINDOW, DIGIT):
-        value = text.hashes(at + digit, at + digit + DIGIT)
-        order = np.lexsort((value, same))
-        at, same, value = at[order], same[order], value[order]
-        new = np.ones(len(at), dtype=bool)
-        new[1:] = (same[1:] != same[:-1]) | (value[1:] != value[:-1])
-        same = np.cumsum(new) - 1
-        many = np.bincount(same, minlength=1)[same] > 1 if len(same) else np.zeros(0, dtype=bool)
-        at, same = at[many], same[many]
-        if not len(at):
-            break
-    row, start = np.divmod(at, contexts.shape[1])
     lo, hi = np.full(m, WINDOW + SIDE, dtype=np.int64), np.full(m, -1, dtype=np.int64)
-    np.minimum.at(lo, row, start)
-    np.maximum.at(hi, row, start + WINDOW)
+    todo = [(0, SIDE, np.arange(m), group)]
+    while todo:
+        first, last, rows, own = todo.pop()
+        if first == last:
+            lo[rows] = np.minimum(lo[rows], SIDE - first)
+            hi[rows] = np.maximum(hi[rows], SIDE - first + WINDOW)
+            continue
+        middle, end = (first + last) // 2, SIDE + GRAM + SIDE
+        for c, d, x, y in ((first, middle, end - last, end - middle), (middle + 1, last, SIDE - middle - 1, SIDE - first)):
+            there = (left[rows] >= c) & (right[rows] >= SIDE - d)
+            near, of = rows[there], own[there]
+            found, split = _passes(contexts[near, x:y], of)
+            if len(found):
+                todo.append((c, d, near[found], split))
     lo[hi < 0] = -1
     return lo, hi
 
@@ -146,71 +137,110 @@ def _columns(block: pa.RecordBatch, at: int) -> list[bytes]:
     return [t.encode() for t in block.column(at).to_pylist()]
 
 
-def _anchored(places: bool):
+def _pieces(texts: list[bytes], most: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """(text number, where it begins, bytes) of each text or of its overlapping pieces, about ``most`` bytes at once."""
+    held: list[tuple[int, int, bytes]] = []
+    size = 0
+    for i, text in enumerate(texts):
+        for at in range(0, max(1, len(text) - WINDOW + 1), most - WINDOW + 1):
+            piece = text[at : at + most]
+            if held and size + len(piece) > most:
+                yield held
+                held, size = [], 0
+            held.append((i, at, piece))
+            size += len(piece)
+    if held:
+        yield held
+
+
+def _anchored(places: bool, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, rows=1024, max_bytes=1 << 20):
-            texts = Texts(_columns(block, 2))
-            owner, place = texts.anchors()
-            at = place + texts.starts[owner] if len(owner) else place
-            gram = pa.array(texts.hashes(at, at + GRAM).view(np.int64))
-            if places:
-                ids, fps = (block.column(i).to_numpy(zero_copy_only=False)[owner] for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([gram, pa.array(ids, pa.int64()), pa.array(fps, pa.int64()), pa.array(place.astype(np.int64))], ["gram", "doc", "fp", "place"])
-            else:
-                yield pa.RecordBatch.from_arrays([gram], ["gram"])
+            for pieces in _pieces(_columns(block, 2), most):
+                texts = Texts([p for _, _, p in pieces])
+                owner, place = texts.anchors()
+                at = place + texts.starts[owner] if len(owner) else place
+                gram = pa.array(texts.hashes(at, at + GRAM).view(np.int64))
+                if places:
+                    row, begin = (np.array([p[i] for p in pieces], dtype=np.int64)[owner] for i in (0, 1))
+                    ids, fps = (block.column(i).to_numpy(zero_copy_only=False)[row] for i in (0, 1))
+                    yield pa.RecordBatch.from_arrays([gram, pa.array(ids, pa.int64()), pa.array(fps, pa.int64()), pa.array(place + begin)], ["gram", "doc", "fp", "place"])
+                else:
+                    yield pa.RecordBatch.from_arrays([gram], ["gram"])
 
     return run
 
 
+MEMBERS_DDL = "gram long, c1 long, c2 long, doc long, fp long, copies long, place long, left long, right long"
+
+
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, fp, text, places) -> a row for each place."""
+    """Rows (doc, fp, text, places, copies) -> a row for each place: digests of the gram and of the bytes around it."""
     for block in blocks(batches, rows=1024, max_bytes=1 << 20):
-        texts = Texts(_columns(block, 2))
-        places = [np.unique(np.array(x, dtype=np.int64)) for x in block.column(3).to_pylist()]
-        owner = np.repeat(np.arange(len(places)), [len(x) for x in places])
-        place = np.concatenate([*places, np.zeros(0, dtype=np.int64)])
-        gram, context, left, right = texts.around(owner, place)
-        ids, fps = (block.column(i).to_numpy(zero_copy_only=False)[owner] for i in (0, 1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(x, pa.int64()) for x in (gram.view(np.int64), context.view(np.int64), ids, fps, place, left, right)],
-            ["gram", "context", "doc", "fp", "place", "left", "right"],
-        )
+        digests, rows = [], []
+        for i, (text, places) in enumerate(zip(_columns(block, 2), block.column(3).to_pylist(), strict=True)):
+            for p in places:
+                left, right = min(SIDE, p), min(SIDE, len(text) - p - GRAM)
+                digests.append(hashlib.blake2b(text[p : p + GRAM], digest_size=8).digest())
+                digests.append(hashlib.blake2b(text[p - left : p + GRAM + right], digest_size=16, person=bytes([left, right])).digest())
+                rows.append((i, p, left, right))
+        hashes = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 3)
+        at = np.array(rows, dtype=np.int64).reshape(-1, 4)
+        ids, fps, copies = (block.column(i).to_numpy(zero_copy_only=False)[at[:, 0]] for i in (0, 1, 4))
+        columns = [hashes[:, 0], hashes[:, 1], hashes[:, 2], ids, fps, copies, at[:, 1], at[:, 2], at[:, 3]]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], [f.split()[0] for f in MEMBERS_DDL.split(", ")])
+
+
+CONTEXTS_DDL = "gram long, c1 long, c2 long, n long, m long, left long, right long, bytes binary"
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, wanted: array of place, gram, context, one, hot) -> the bytes around each."""
+    """Rows (text, wanted: array of gram, c1, c2, n, m, place) -> the bytes around each place."""
     for block in blocks(batches, rows=1024, max_bytes=1 << 20):
         rows = []
         for text, wanted in zip(_columns(block, 0), block.column(1).to_pylist(), strict=True):
             for w in wanted:
                 p = w["place"]
                 a, b = max(0, p - SIDE), min(len(text), p + GRAM + SIDE)
-                rows.append((w["gram"], w["context"], w["one"], w["hot"], p - a, b - p - GRAM, bytes(SIDE - p + a) + text[a:b] + bytes(p + GRAM + SIDE - b)))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["gram", "context", "one", "hot", "left", "right", "bytes"])
+                rows.append((w["gram"], w["c1"], w["c2"], w["n"], w["m"], p - a, b - p - GRAM, bytes(SIDE - p + a) + text[a:b] + bytes(p + GRAM + SIDE - b)))
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 7 + [pa.binary()], strict=True)], [f.split()[0] for f in CONTEXTS_DDL.split(", ")])
 
 
 def _matrix(values: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(values.to_pylist()), dtype=np.uint8).reshape(-1, GRAM + 2 * SIDE)
 
 
+COVERED_DDL = "gram long, c1 long, c2 long, n long, lo long, hi long"
+
+
 def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by gram -> (gram, context, lo, hi) of contexts of one place that repeat in part."""
+    """Rows (key, gram, c1, c2, n, left, right, bytes), sorted by key and c1 -> what repeated windows cover of each."""
     held: list[pa.RecordBatch] = []
 
     def flush(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
-        gram = table["gram"].to_numpy()
-        lo, hi = repeated_windows(_matrix(table["bytes"]), table["left"].to_numpy(), table["right"].to_numpy(), np.unique(gram, return_inverse=True)[1])
-        take = (hi >= 0) & table["one"].to_numpy(zero_copy_only=False).astype(bool)
-        return pa.RecordBatch.from_arrays([pa.array(x[take]) for x in (gram, table["context"].to_numpy(), lo, hi)], ["gram", "context", "lo", "hi"])
+        key, gram, c1, c2, n, left, right = (table[c].to_numpy() for c in ("key", "gram", "c1", "c2", "n", "left", "right"))
+        contexts = _matrix(table["bytes"])
+        # The second of two that agree in all bytes is told by the first; both are covered as far as they reach.
+        same = np.zeros(len(key), dtype=bool)
+        same[1:] = (key[1:] == key[:-1]) & (left[1:] == left[:-1]) & (right[1:] == right[:-1]) & (contexts[1:] == contexts[:-1]).all(axis=1)
+        alone = ~same
+        own = np.flatnonzero(alone)
+        lo, hi = repeated_windows(contexts[own], left[own], right[own], np.unique(key[own], return_inverse=True)[1])
+        twice = np.flatnonzero(same[1:])
+        whole = twice[alone[twice]]
+        at = np.searchsorted(own, whole)
+        lo[at], hi[at] = SIDE - left[whole], SIDE + GRAM + right[whole]
+        ok = hi >= 0
+        columns = [gram[own][ok], c1[own][ok], c2[own][ok], n[own][ok], lo[ok], hi[ok]]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], [f.split()[0] for f in COVERED_DDL.split(", ")])
 
     for block in blocks(batches, rows=4000):
         held.append(block)
         table = pa.Table.from_batches(held)
-        gram = table["gram"].to_numpy()
-        cut = int(np.flatnonzero(gram != gram[-1])[-1]) + 1 if (gram != gram[-1]).any() else 0
+        key = table["key"].to_numpy()
+        cut = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0
         if cut:
             yield flush(table.slice(0, cut))
             held = table.slice(cut).combine_chunks().to_batches()
@@ -218,20 +248,38 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield flush(pa.Table.from_batches(held))
 
 
-def _dealt_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row with a hash for each window of each context."""
-    for block in blocks(batches, rows=1024):
-        contexts = Texts([r for r in block.column(6).to_pylist()])
-        left, right = (block.column(i).to_numpy() for i in (4, 5))
-        first = SIDE - left
-        count = np.minimum(SIDE, right) - first + 1
-        row = np.repeat(np.arange(block.num_rows), count)
-        start = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[row]
-        at = contexts.starts[row] + start if len(row) else start
-        h = contexts.hashes(at, at + WINDOW).view(np.int64)
-        gram, context = (block.column(i).to_numpy()[row] for i in (0, 1))
-        one = block.column(2).to_numpy(zero_copy_only=False).astype(bool)[row]
-        yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(start), pa.array(h), pa.array(context), pa.array(one)], ["gram", "start", "hash", "context", "one"])
+def _covered(contexts: DataFrame) -> DataFrame:
+    """``gram, c1, c2, n, lo, hi``: what repeated windows cover of each context.
+
+    Groups of equal grams that fit a task are sorted in one. Those that don't are
+    split by passes over all of them first: from a range of window starts to its
+    halves, by the cores of these (see ``repeated_windows``), until they fit or the
+    core is a whole window. Equal cores are counted, combined on the map side;
+    they never gather in one task.
+    """
+    columns = ["gram", "c1", "c2", "n", "left", "right", "bytes"]
+    small = [contexts.where(F.col("m") <= AT_ONCE).select(F.col("gram").alias("key"), *columns)]
+    whole = []
+    large = contexts.where(F.col("m") > AT_ONCE).select(*columns, F.lit(0).alias("first"), F.lit(SIDE).alias("last"))
+    while not large.isEmpty():
+        middle = F.floor((F.col("first") + F.col("last")) / 2).cast("int")
+        halves = F.explode(F.array(F.struct(F.col("first").alias("first"), middle.alias("last")), F.struct((middle + 1).alias("first"), F.col("last").alias("last"))))
+        split = large.withColumn("half", halves).select(*columns, "half.*")
+        split = split.where((F.col("left") >= F.col("first")) & (F.col("right") >= F.lit(SIDE) - F.col("last")))
+        core = F.substr("bytes", F.lit(SIDE + 1) - F.col("first"), F.lit(GRAM + SIDE) + F.col("first") - F.col("last"))
+        split = settle(split.withColumn("core", core), "split")
+        groups = settle(split.groupBy("first", "core").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "cores")
+        split = settle(join_counted(split, groups, ["first", "core"], "m", ["c1", "c2"]), "split")
+        windows = split.where("first = last")
+        whole.append(windows.select("gram", "c1", "c2", "n", (F.lit(SIDE) - F.col("first")).cast("long").alias("lo"), (F.lit(SIDE + WINDOW) - F.col("first")).cast("long").alias("hi")))
+        # A part of the windows is left to sort: so the context reaches only as far as these.
+        reach = {"left": F.least("left", F.col("last").cast("long")), "right": F.least("right", (F.lit(SIDE) - F.col("first")).cast("long"))}
+        fits = (F.col("m") <= AT_ONCE) & (F.col("first") < F.col("last"))
+        small.append(split.where(fits).withColumns(reach).select(F.xxhash64("first", "core").alias("key"), *columns))
+        large = split.where((F.col("m") > AT_ONCE) & (F.col("first") < F.col("last"))).drop("core", "m")
+    rows = reduce(DataFrame.unionByName, small)
+    found = rows.repartition("key").sortWithinPartitions("key", "left", "right", "c1", "c2").transform(in_batches, _sorted_groups, COVERED_DDL)
+    return reduce(DataFrame.unionByName, whole, found).groupBy("gram", "c1", "c2").agg(F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
 def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -278,9 +326,10 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc", "fp", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
 
-def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text).alias("fp"), text.alias("text"))
+def _name(id_col: str, text_col: str) -> dict[str, Column]:
+    """``doc`` and ``fp``, which name a text and its id, a null id too."""
+    own = F.col(id_col).cast("long")
+    return {"doc": F.coalesce(own, F.lit(0)).cast("long"), "fp": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), own.isNull())}
 
 
 def cut_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -289,43 +338,41 @@ def cut_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ``doc`` and ``fp`` (a hash of the text) name a text, so that rows that repeat
     an id stay apart unless they are equal.
 
-    1. The least gram of each window is an anchor, about every 50 bytes. Grams
-       are counted, combined on the map side; those of one place are forgotten.
-    2. The others go to their texts, which then are read once more: every anchor
-       gets a hash of its gram with all the context that a window can reach.
-       Anchors that agree in it are repeated with all of that context.
-    3. Contexts that stand alone, but share their gram, are compared byte by byte
-       in a depth-limited radix sort, one context for each that repeats. Grams of
-       over SORTED_AT_ONCE contexts are dealt out by the windows' hashes instead.
+    1. The least gram of each window is an anchor, about every 50 bytes: equal
+       windows have the same anchor at the same place, so only suffixes there are
+       ordered. Anchors whose gram's hash is seen once are forgotten.
+    2. The others go to their texts, which then are read once more. Anchors with
+       the same bytes around them, as far as a window can reach, are counted
+       together by a 128-bit digest; two of them stand for all.
+    3. The bytes around these are sorted in depth-limited radix passes, on the
+       bytes themselves (see ``_covered`` and ``repeated_windows``).
     4. The spans of each text are merged and cut out.
     """
-    docs = _keyed(df, id_col, text_col)
+    names = _name(id_col, text_col)
+    docs = df.select(*[c.alias(n) for n, c in names.items()], F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     long = docs.where(F.octet_length("text") >= WINDOW)
-    grams = long.transform(in_batches, _anchored(False), "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    grams = settle(grams, "grams")
-    anchors = long.transform(in_batches, _anchored(True), "gram long, doc long, fp long, place long").join(grams, "gram", "left_semi")
-    places = anchors.groupBy("doc", "fp").agg(F.collect_list("place").alias("places"))
-    touched = settle(long.join(places, ["doc", "fp"]).select("doc", "fp", "text", "places"), "touched")
-    members = settle(touched.transform(in_batches, _members, "gram long, context long, doc long, fp long, place long, left long, right long"), "members")
-
-    classes = members.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "fp", "place")).alias("at"))
-    classes = settle(classes, "contexts")
-    kinds = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("n") == 1).alias("ones")).where("kinds > 1 AND ones > 0")
-    unsure = classes.join(kinds, "gram").select("at.doc", "at.fp", F.struct(F.col("at.place").alias("place"), "gram", "context", (F.col("n") == 1).alias("one"), (F.col("kinds") > SORTED_AT_ONCE).alias("hot")).alias("w"))
-    wanted = unsure.groupBy("doc", "fp").agg(F.collect_list("w").alias("wanted"))
-    once = touched.select("doc", "fp", "text").dropDuplicates(["doc", "fp"])
-    contexts = settle(once.join(wanted, ["doc", "fp"]).select("text", "wanted").transform(in_batches, _contexts, "gram long, context long, one boolean, hot boolean, left long, right long, bytes binary"), "unsure")
-
-    part = contexts.where("NOT hot").repartition("gram").sortWithinPartitions("gram").transform(in_batches, _sorted_groups, "gram long, context long, lo long, hi long")
-    windows = contexts.where("hot").transform(in_batches, _dealt_windows, "gram long, start long, hash long, context long, one boolean")
-    again = windows.groupBy("gram", "start", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    hot = windows.where("one").join(again, ["gram", "start", "hash"], "left_semi").groupBy("gram", "context").agg(F.min("start").alias("lo"), (F.max("start") + WINDOW).alias("hi"))
-    covered = classes.where("n > 1").select("gram", "context", F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi")).union(part).union(hot)
-
-    lo, hi = F.coalesce("lo", F.lit(SIDE) - F.col("left")), F.coalesce("hi", F.lit(SIDE + GRAM) + F.col("right"))
-    spans = members.join(covered, ["gram", "context"]).select("doc", "fp", F.struct((F.col("place") - SIDE + lo).alias("a"), (F.col("place") - SIDE + hi).alias("b")).alias("span"))
-    spans = spans.groupBy("doc", "fp").agg(F.collect_set("span").alias("spans"))
-    return once.join(spans, ["doc", "fp"]).select("doc", "fp", "text", "spans").transform(in_batches, _removed, "doc long, fp long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    grams = long.transform(in_batches, _anchored(False, PIECE), "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1")
+    anchors = join_counted(long.transform(in_batches, _anchored(True, PIECE), "gram long, doc long, fp long, place long"), settle(grams, "grams"), ["gram"], "seen", ["doc", "fp", "place"])
+    places = anchors.groupBy("doc", "fp").agg(F.collect_set("place").alias("places"))
+    touched = long.join(places, ["doc", "fp"]).groupBy("doc", "fp").agg(F.first("text").alias("text"), F.first("places").alias("places"), F.count(F.lit(1)).alias("copies"))
+    touched = settle(touched, "touched")
+    members = settle(touched.transform(in_batches, _members, MEMBERS_DDL), "members")
+
+    here = F.struct("doc", "fp", "place")
+    classes = members.groupBy("gram", "c1", "c2").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("places"), F.min(here).alias("first"), F.max(here).alias("last"))
+    classes = settle(classes.withColumn("two", F.when(F.col("places") > 1, F.array("first", "last")).otherwise(F.array("first"))), "contexts")
+    kinds = settle(classes.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.size("two")).alias("m")).where("m > 1"), "kinds")
+    sought = join_counted(classes, kinds, ["gram"], "kinds", ["c1", "c2"]).select("gram", "c1", "c2", "n", "m", F.explode("two").alias("at"))
+    wanted = sought.groupBy("at.doc", "at.fp").agg(F.collect_list(F.struct("gram", "c1", "c2", "n", "m", F.col("at.place").alias("place"))).alias("wanted"))
+    contexts = settle(touched.select("doc", "fp", "text").join(wanted, ["doc", "fp"]).select("text", "wanted").transform(in_batches, _contexts, CONTEXTS_DDL), "bytes")
+
+    covered = settle(_covered(contexts), "covered")
+    a, b = F.col("place") - SIDE + F.col("lo"), F.col("place") - SIDE + F.col("hi")
+    spans = join_counted(members, covered, ["gram", "c1", "c2"], "n", ["doc", "fp", "place"]).select("doc", "fp", F.struct(a.alias("a"), b.alias("b")).alias("span"))
+    # A text that stands in several rows of one id repeats as a whole.
+    repeated = touched.where("copies > 1").select("doc", "fp", F.struct(F.lit(0).cast("long").alias("a"), F.octet_length("text").cast("long").alias("b")).alias("span"))
+    spans = spans.union(repeated).groupBy("doc", "fp").agg(F.collect_set("span").alias("spans"))
+    return touched.select("doc", "fp", "text").join(spans, ["doc", "fp"]).select("doc", "fp", "text", "spans").transform(in_batches, _removed, "doc long, fp long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -336,12 +383,15 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     and never cross documents. A null text is empty; texts under WINDOW bytes lose
     nothing; an empty table gives an empty result; other columns are ignored.
     Rows that repeat an id and a text are documents of their own, copies of each
-    other; rows that repeat an id with other texts are different documents.
+    other; rows that repeat an id with other texts are different documents; so are
+    rows without an id. Long texts are anchored in overlapping pieces.
     """
-    docs = _keyed(df, id_col, text_col).select("doc", "fp", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
+    names = _name(id_col, text_col)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), *[c.alias(n) for n, c in names.items()], F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"))
     cut = cut_texts(df, id_col, text_col).drop("kept_text")
     return docs.join(cut, ["doc", "fp"], "left").select(
-        F.when(F.col("doc") != -(1 << 63), F.col("doc")).alias("doc_id"),
+        "doc_id",
         "n_bytes",
         F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
@@ -356,7 +406,6 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     some bytes stays, so that the text stays valid. Null texts stay null.
     """
     cut = settle(cut_texts(df, id_col, text_col).select(F.col("doc").alias("_sd_doc"), F.col("fp").alias("_sd_fp"), F.col("kept_text").alias("_sd_text")), "cut")
-    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    fp = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    joined = df.withColumns({"_sd_own": doc, "_sd_own_fp": fp}).join(cut, (F.col("_sd_own") == F.col("_sd_doc")) & (F.col("_sd_own_fp") == F.col("_sd_fp")), "left")
+    names = _name(id_col, text_col)
+    joined = df.withColumns({"_sd_own": names["doc"], "_sd_own_fp": names["fp"]}).join(cut, (F.col("_sd_own") == F.col("_sd_doc")) & (F.col("_sd_own_fp") == F.col("_sd_fp")), "left")
     return joined.withColumn(text_col, F.coalesce("_sd_text", F.col(text_col))).select(*df.columns)

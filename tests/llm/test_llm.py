@@ -191,13 +191,15 @@ def brute_repeats(texts):
     return out
 
 
-@pytest.mark.parametrize("at_once", [16384, 2])
-def test_repeated_substrings(spark, awkward, monkeypatch, at_once):
-    monkeypatch.setattr(repeats, "SORTED_AT_ONCE", at_once)
+@pytest.mark.parametrize(("at_once", "piece"), [(2048, 1 << 20), (2, 5000)])
+def test_repeated_substrings(spark, awkward, monkeypatch, at_once, piece):
+    monkeypatch.setattr(repeats, "AT_ONCE", at_once)
+    monkeypatch.setattr(repeats, "PIECE", piece)
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcé") for _ in range(rng.randint(1, 5)))
     shared = [" ".join(word() for _ in range(n)) for n in (60, 90, 300)]
-    rows = [r for r in awkward[0] if len(text_of(r)) < 20_000]
+    rows = [*awkward[0], (-(1 << 63), awkward[0][3][1], None, None), (0, awkward[0][3][1], None, None)]
+    rows += [(500, " ".join(word() for _ in range(40_000)) + shared[1] + "x" * 90_000, "en", "s")] * 2
     for i in range(40):
         middle = rng.choice(shared)
         if rng.random() < 0.5:
