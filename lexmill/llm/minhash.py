@@ -226,7 +226,7 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``component_id``. A row with a null id takes no part: its component is null
     and it is kept. Other columns are ignored; an empty table gives an empty result.
 
-    1. Equal sets are grouped by a 128-bit keyed digest; one row stands for them.
+    1. Equal sets are grouped by a 128-bit digest; one row stands for them.
     2. The sketch of each representative is cut into bands. Texts that share a
        band are candidates. No bucket is capped.
     3. In each bucket all members are compared with its first. Buckets whose

@@ -1,4 +1,4 @@
-"""Word shingles of texts: as sets of keyed 64-bit hashes, and as the words themselves."""
+"""Word shingles of texts: as sets of 64-bit hashes, and as the words themselves."""
 
 from __future__ import annotations
 
@@ -9,9 +9,14 @@ import numpy as np
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C55)
 _INVERSE = U(pow(0x9E3779B97F4A7C55, -1, 1 << 64))
-_KEY = b"lexmill word shingles"
-#: Distinct words whose digests are remembered.
-REMEMBERED = 1 << 18
+#: Keys of the two lanes of a word's hash.
+_LANES = (U(0x9E3779B97F4A7C55), U(0xD1342543DE82EF95))
+#: Bytes of a word that are hashed side by side with others; longer words are hashed one by one.
+_LONG = 256
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -44,60 +49,64 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-class _Numbers(dict):
-    """A number for each distinct word, and its 128-bit keyed digest."""
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash, in two lanes of 64 bits, and text number of every word, in order; words are lower-cased in A-Z.
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.fresh: list[bytes] = []
-        self.digests = np.zeros((0, 2), dtype=U)
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        self.fresh.append(hashlib.blake2b(word, digest_size=16, key=_KEY).digest())
-        return n
-
-    def table(self) -> np.ndarray:
-        if self.fresh:
-            self.digests = np.concatenate([self.digests, np.frombuffer(b"".join(self.fresh), dtype="<u8").reshape(-1, 2)])
-            self.fresh = []
-        return self.digests
-
-
-_NUMBERS = [_Numbers()]
-
-
-def _rolled(words: np.ndarray, k: int, last: int) -> np.ndarray:
-    """The hash of each k words from the first to the last-th."""
-    h = np.full(last, U(k), dtype=U)
+    Each eight bytes go through a mixing of their own, so no pattern of a text
+    carries over to its hash.
+    """
+    data = _LOWER[np.frombuffer(b" ".join(texts) + b" " * 9, dtype=np.uint8)]
+    ends_of_texts = np.cumsum([len(t) + 1 for t in texts])
+    edge = np.flatnonzero(np.diff(_SPACE[data], prepend=True))
+    starts, ends = edge[::2], edge[1::2]
+    size = ends - starts
+    eight = np.ndarray(len(data) - 7, dtype="<u8", buffer=data, strides=(1,))
+    lanes = np.empty((len(starts), 2), dtype=U)
+    for i, key in enumerate(_LANES):
+        lanes[:, i] = mix(size.astype(U) + key)
+    live = np.flatnonzero(size <= _LONG)
+    for at in range(0, _LONG, 8):
+        live = live[size[live] > at]
+        if not len(live):
+            break
+        value = eight[starts[live] + at].astype(U)
+        left = size[live] - at
+        short = left < 8
+        value[short] &= (U(1) << (left[short].astype(U) << U(3))) - U(1)
+        for i, key in enumerate(_LANES):
+            lanes[live, i] = mix(lanes[live, i] * key + value)
+    for w in np.flatnonzero(size > _LONG).tolist():
+        lanes[w] = np.frombuffer(hashlib.blake2b(data[starts[w] : ends[w]].tobytes(), digest_size=16).digest(), dtype="<u8")
+    return lanes, np.searchsorted(ends_of_texts, starts, side="right")
+
+
+def _rolled(words: np.ndarray, k: int) -> np.ndarray:
+    """The hash of each k words that follow each other."""
+    n = max(0, len(words) - k + 1)
+    h = np.full(n, U(k), dtype=U)
     for j in range(k):
-        h = mix(h * U(0xD6E8FEB86659FD93) + words[j : j + last])
+        h = mix(h * U(0xD6E8FEB86659FD93) + words[j : j + n])
     return h
 
 
 def shingle_sets(texts: list[str], k: int) -> tuple[list[np.ndarray], list[bytes | None]]:
     """For each text the sorted distinct hashes of its k-word shingles, and a 128-bit digest of the set.
 
-    Words are hashed with a key, so that no text can be made to collide without
-    it; the digest sees 128 bits of every shingle. A text of fewer words, but one
-    at least, has its whole sequence as its only shingle; one without words has
-    none, and no digest.
+    The digest sees 128 bits of every shingle. A text of fewer words, but one at
+    least, has its whole sequence as its only shingle; one without words has none,
+    and no digest.
     """
-    if len(_NUMBERS[0]) > REMEMBERED:
-        _NUMBERS[0] = _Numbers()
-    number = _NUMBERS[0]
-    numbered = [[number[w] for w in words_of(t)] for t in texts]
-    digests = number.table()
+    words, owner = word_hashes([t.encode() for t in texts])
+    n = np.bincount(owner, minlength=len(texts)) if len(words) else np.zeros(len(texts), dtype=np.int64)
+    begin = np.concatenate([[0], np.cumsum(n)]).tolist()
+    rolled = [_rolled(words[:, i], k) for i in (0, 1)]
     sets, keys = [], []
-    for own in numbered:
-        n = len(own)
-        if not n:
+    for a, b in zip(begin, begin[1:], strict=False):
+        if a == b:
             sets.append(np.zeros(0, dtype=U))
             keys.append(None)
             continue
-        words = digests[np.array(own)]
-        size = min(k, n)
-        first, second = (_rolled(words[:, i], size, n - size + 1) for i in (0, 1))
+        first, second = (r[a : b - k + 1] for r in rolled) if b - a >= k else (_rolled(words[a:b, i], b - a) for i in (0, 1))
         first, at = np.unique(first, return_index=True)
         sets.append(first)
         keys.append(hashlib.blake2b(first.tobytes() + second[at].tobytes(), digest_size=16).digest())
