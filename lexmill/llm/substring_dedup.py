@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_digest
 
 from lexmill.llm.common import blocks, in_batches, join_counted, settle
 from lexmill.llm.shingles import U, mix, powers
@@ -20,7 +22,7 @@ GRAM = 100
 #: Bytes of context on either side of a gram that a window over it can reach.
 SIDE = WINDOW - GRAM
 #: Contexts of one core that a task sorts; larger groups are split by further passes first.
-AT_ONCE = 2048
+AT_ONCE = 16384
 #: Bytes of a digit of the radix sort.
 DIGIT = 8
 #: Bytes of a text whose anchors are sought at once: a longer text is cut into pieces that overlap by a window.
@@ -107,7 +109,7 @@ def repeated_windows(contexts: np.ndarray, left: np.ndarray, right: np.ndarray,
 
     ``contexts``: rows of SIDE + GRAM + SIDE bytes around grams, of which ``left``
     and ``right`` bytes beside the gram are there; ``group``: equal for equal
-    grams. A window that begins o bytes before the gram needs equal o bytes to the
+    grams, which are told apart by the first passes. A window that begins o bytes before the gram needs equal o bytes to the
     left and SIDE - o to the right. So what all windows of a range of o need is the
     range's core; from range to half range cores grow by the next bytes, passes
     over these split the groups, and what stands alone leaves. The core of a single
@@ -115,7 +117,7 @@ def repeated_windows(contexts: np.ndarray, left: np.ndarray, right: np.ndarray,
     """
     m = len(contexts)
     lo, hi = np.full(m, WINDOW + SIDE, dtype=np.int64), np.full(m, -1, dtype=np.int64)
-    todo = [(0, SIDE, np.arange(m), group)]
+    todo = [(0, SIDE, *_passes(contexts[:, SIDE : SIDE + GRAM], group))]
     while todo:
         first, last, rows, own = todo.pop()
         if first == last:
@@ -177,20 +179,32 @@ MEMBERS_DDL = "gram long, c1 long, c2 long, doc long, fp long, copies long, plac
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc, fp, text, places, copies) -> a row for each place: digests of the gram and of the bytes around it."""
     for block in blocks(batches, rows=1024, max_bytes=1 << 20):
-        digests, rows = [], []
-        for i, (text, places) in enumerate(zip(_columns(block, 2), block.column(3).to_pylist(), strict=True)):
-            for p in places:
-                left, right = min(SIDE, p), min(SIDE, len(text) - p - GRAM)
-                digests.append(hashlib.blake2b(text[p : p + GRAM], digest_size=8).digest())
-                digests.append(hashlib.blake2b(text[p - left : p + GRAM + right], digest_size=16, person=bytes([left, right])).digest())
-                rows.append((i, p, left, right))
-        hashes = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 3)
-        at = np.array(rows, dtype=np.int64).reshape(-1, 4)
-        ids, fps, copies = (block.column(i).to_numpy(zero_copy_only=False)[at[:, 0]] for i in (0, 1, 4))
-        columns = [hashes[:, 0], hashes[:, 1], hashes[:, 2], ids, fps, copies, at[:, 1], at[:, 2], at[:, 3]]
+        grams, digests, places, sizes = [], [], [], []
+        for text, own in zip(_columns(block, 2), block.column(3).to_pylist(), strict=True):
+            grams += [xxh3_64_digest(text[p : p + GRAM]) for p in own]
+            inner = len(text) - GRAM - SIDE
+            digests += [_digest(text, p) if SIDE <= p <= inner else _digest_at_edge(text, p) for p in own]
+            places += own
+            sizes.append((len(own), len(text)))
+        count, size = np.array(sizes, dtype=np.int64).reshape(-1, 2).T
+        row, place = np.repeat(np.arange(len(count)), count), np.array(places, dtype=np.int64)
+        gram, context = np.frombuffer(b"".join(grams), dtype="<i8"), np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+        ids, fps, copies = (block.column(i).to_numpy(zero_copy_only=False)[row] for i in (0, 1, 4))
+        columns = [gram, context[:, 0], context[:, 1], ids, fps, copies, place, np.minimum(SIDE, place), np.minimum(SIDE, size[row] - place - GRAM)]
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], [f.split()[0] for f in MEMBERS_DDL.split(", ")])
 
 
+def _digest(text: bytes, p: int) -> bytes:
+    """Of the bytes around the gram at ``p``."""
+    return blake2b(text[p - SIDE : p + GRAM + SIDE], digest_size=16).digest()
+
+
+def _digest_at_edge(text: bytes, p: int) -> bytes:
+    """As _digest, where the text begins or ends sooner."""
+    left, right = min(SIDE, p), min(SIDE, len(text) - p - GRAM)
+    return blake2b(text[p - left : p + GRAM + right], digest_size=16, person=bytes([left, right])).digest()
+
+
 CONTEXTS_DDL = "gram long, c1 long, c2 long, n long, m long, left long, right long, bytes binary"
 
 
