@@ -5,8 +5,9 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,213 +26,297 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 #: What lies between these tags is not text of the page.
 _RAW = frozenset("script style noscript template iframe object svg math textarea title xmp noembed noframes audio video canvas".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var br wbr img".split())
-#: Parts of a page that are never its main text, by tag and by role.
-_ASIDE = frozenset("nav footer aside form head button select option dialog menu fieldset input".split())
+#: Menus and what only forms hold never are text of the page.
+_NEVER = frozenset("nav head button select option datalist legend".split())
+#: Parts that seldom are its main text, by tag, by role, and by name in class or id: their ratios weigh less.
+_TAGS = frozenset("header footer aside form dialog menu".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-#: And by words in class or id.
-_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promotion nav navbar navigation menu menus breadcrumb breadcrumbs footer sidebar sidebars aside widget widgets comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations pagination pager toolbar login skip discussion".split())
-#: Outside the main part.
-_HEADER_WORDS = frozenset("header masthead topbar".split())
+_NAMES = frozenset("menu nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer sidebar aside widget notice notices cookie cookies consent banner ad ads advert adverts advertisement sponsor sponsored promo form search login newsletter subscribe share social related comment comments replies disqus".split())
+#: Such a name beside one of these says how a page is made, not what the element is.
+_STATES = frozenset("has no not with without is open closed enabled disabled active".split())
+_HEADS = frozenset("header masthead topbar banner".split())
 _MAIN = frozenset(["article", "main"])
+#: What a part that seldom is main text weighs, and the share of a page's text over which an element is no part but a wrapper.
+PART_WEIGHT, WRAPPER = 0.02, 0.8
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_KEEPS_P = _INLINE | {"p"}
+_HOLDS_ITEMS = frozenset("ul ol dl table tbody thead select".split())
+_TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table tbody thead tr td th figure figcaption".split())
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
-def _kind(tag: str, attributes: str, main: bool) -> tuple[str, bool, bool]:
-    """Path step of an element, whether it is aside, and whether it is a main part."""
+def _named(value: str, heads: bool) -> bool:
+    """Whether a class or id names a part that seldom is main text; names of headers count if ``heads`` is set."""
+    for name in value.split():
+        words = {w.lower() for w in _NAME_PART.findall(_CAMEL.sub(" ", name))}
+        if words & _NAMES and not words & _STATES and (heads or words & (_NAMES - _HEADS)):
+            return True
+    return False
+
+
+def _kind(tag: str, attributes: str, in_main: bool) -> tuple[str, bool, bool, bool]:
+    """Path step of an element; whether it is never shown as text, is a part that seldom is main text, and is a main part."""
+    never, part, main, label = tag in _NEVER, tag in _TAGS and not (tag == "header" and in_main), tag in _MAIN, ""
     if tag == "a" or not attributes.strip():
-        return tag, tag in _ASIDE or (tag == "header" and not main), tag in _MAIN
-    words: list[str] = []
-    aside, is_main, label = tag in _ASIDE or (tag == "header" and not main), tag in _MAIN, ""
+        return tag, never, part, main
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            words += [w.lower() for w in _NAME_PART.findall(_CAMEL.sub(" ", value))]
+            part |= tag not in ("html", "body") and _named(value, not in_main)
             label = label or (value if name == "class" else "")
         elif name == "role":
-            aside |= value.lower() in _ROLES
-            is_main |= value.lower() in ("main", "article")
+            part |= value.lower() in _ROLES
+            main |= value.lower() in ("main", "article")
         elif name == "itemprop":
-            is_main |= value.lower() == "articlebody"
+            main |= value.lower() == "articlebody"
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            aside = True
-    if tag not in ("html", "body", "article", "main"):
-        aside |= not _WORDS.isdisjoint(words) or not main and not _HEADER_WORDS.isdisjoint(words)
-    return f"{tag}.{label}" if label else tag, aside, is_main
+            never = True
+    return f"{tag}.{label}" if label else tag, never, part, main
+
+
+class Page:
+    """Blocks of text in page order, the tree of their tag paths, and which blocks parts and main parts hold.
+
+    A tag path is a node: ``parent`` and ``step`` by number, parents before their
+    children. ``parts`` and ``mains`` are ranges of blocks.
+    """
+
+    def __init__(self) -> None:
+        self.parent, self.step = [-1], [""]
+        self._child: dict[tuple[int, str], int] = {}
+        self.texts: list[str] = []
+        self.node: list[int] = []
+        self.linked: list[int] = []
+        self.parts: list[tuple[int, int]] = []
+        self.mains: list[tuple[int, int]] = []
+
+    def child(self, node: int, step: str) -> int:
+        key = (node, step)
+        if key not in self._child:
+            self._child[key] = len(self.parent)
+            self.parent.append(node)
+            self.step.append(step)
+        return self._child[key]
 
 
-class Block:
-    __slots__ = ("linked", "main", "path", "text")
+class _Element:
+    __slots__ = ("main", "never", "node", "part", "tag", "begin")
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: int, main: int) -> None:
-        self.path, self.text, self.linked, self.main = path, text, linked, main
+    def __init__(self, tag: str, node: int, never: bool, part: bool, main: bool, begin: int) -> None:
+        self.tag, self.node, self.never, self.part, self.main, self.begin = tag, node, never, part, main, begin
 
 
-def text_blocks(page: str) -> list[Block]:
-    """The page's blocks of text in order, but for those in parts that are never main text."""
-    out: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, step, aside, main
+def parse(html_text: str) -> Page:
+    """Time is linear in the page: nothing but the elements that a tag closes is looked at twice."""
+    page = Page()
+    stack: list[_Element] = []
+    open_: Counter[str] = Counter()
     texts: list[str] = []
-    linked = in_link = aside = 0
-    mains = 0
+    linked = never = mains = 0
 
     def flush() -> None:
         nonlocal linked
         if texts:
             text = _SPACE.sub(" ", html.unescape("".join(texts))).strip()
             if text:
-                out.append(Block(tuple(s for t, s, _, _ in stack if t not in _INLINE), text, min(linked, len(text)), mains))
+                page.texts.append(text)
+                page.node.append(stack[-1].node if stack else 0)
+                page.linked.append(min(linked, len(text)))
             texts.clear()
         linked = 0
 
     def pop() -> None:
-        nonlocal in_link, aside, mains
-        tag, _, was_aside, was_main = stack.pop()
-        in_link -= tag == "a"
-        aside -= was_aside
-        mains -= was_main
+        nonlocal never, mains
+        e = stack.pop()
+        open_[e.tag] -= 1
+        never -= e.never
+        mains -= e.main
+        if e.part:
+            page.parts.append((e.begin, len(page.texts)))
+        if e.main:
+            page.mains.append((e.begin, len(page.texts)))
+
+    def close(tag: str) -> None:
+        while stack and stack[-1].tag != tag:
+            pop()
+        if stack:
+            pop()
 
     def add(text: str) -> None:
         nonlocal linked
-        if text and not aside:
+        if text and not never:
             texts.append(text)
-            if in_link:
+            if open_["a"]:
                 linked += len(text.strip())
 
-    at, raw = 0, ""
+    at = 0
     # Behind the last ">" no tag can end; so no tag is sought there.
-    for m in _TOKEN.finditer(page, 0, page.rfind(">") + 1):
+    for m in _TOKEN.finditer(html_text, 0, html_text.rfind(">") + 1):
         if m.start() < at:
             continue
-        if raw:
-            if not (m[2] and m[1] and m[2].lower() == raw):
-                continue
-            raw, at = "", m.end()
-            continue
-        add(page[at : m.start()])
+        add(html_text[at : m.start()])
         at = m.end()
         if not m[2]:
             if m[0].startswith("<!--") and not m[0].endswith("-->"):
-                at = len(page)
+                at = len(html_text)
             continue
         tag, closing = m[2].lower(), bool(m[1])
         if closing:
             if tag == "br":
                 add(" ")
-            elif tag == "p" and not any(t == "p" for t, *_ in stack):
+            elif tag in _INLINE:
+                i = len(stack) - 1
+                while i >= 0 and stack[i].tag != tag and stack[i].tag in _INLINE:
+                    i -= 1
+                if i >= 0 and stack[i].tag == tag:  # an inline end tag doesn't close blocks
+                    close(tag)
+            elif open_[tag] or tag == "p":
                 flush()
-            elif any(t == tag for t, *_ in stack):
-                if tag not in _INLINE:
-                    flush()
-                elif any(t not in _INLINE for t, *_ in stack[max(i for i, s in enumerate(stack) if s[0] == tag) :]):
-                    continue  # an inline end tag doesn't close blocks
-                while stack:
-                    done = stack[-1][0] == tag
-                    pop()
-                    if done:
-                        break
+                if open_[tag]:
+                    close(tag)
             continue
         if tag in _RAW:
-            if tag not in _INLINE and tag != "svg" and tag != "math":
+            if tag != "svg" and tag != "math":
                 flush()
             if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html_text, at)
+                at = end.end() if end else len(html_text)
             continue
         if tag == "br":
             add(" ")
             continue
         if tag not in _INLINE:
             flush()
-            if tag not in _KEEPS_P or tag == "p":
-                if any(t == "p" for t, *_ in stack):
-                    while stack[-1][0] != "p":
-                        pop()
-                    pop()
-            if tag in _CLOSED_BY:
-                closes = _CLOSED_BY[tag]
+            if open_["p"]:
+                close("p")
+            closes = _CLOSED_BY.get(tag)
+            if closes and any(open_[c] for c in closes):
                 for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in ("ul", "ol", "dl", "table", "tbody", "thead", "select"):
+                    if stack[i].tag in _HOLDS_ITEMS:
                         break
-                    if stack[i][0] in closes:
+                    if stack[i].tag in closes:
                         while len(stack) > i:
                             pop()
                         break
-        if tag in _VOID or m[3].rstrip().endswith("/") and tag in _VOID:
+        if tag in _VOID:
             continue
-        step, is_aside, is_main = _kind(tag, m[3], mains > 0)
-        stack.append((tag, step, is_aside, is_main))
-        aside += is_aside
+        step, is_never, is_part, is_main = _kind(tag, m[3], mains > 0)
+        above = stack[-1].node if stack else 0
+        inline = tag in _INLINE
+        stack.append(_Element(tag, above if inline else page.child(above, step), is_never, is_part and not inline, is_main, len(page.texts)))
+        open_[tag] += 1
+        never += is_never
         mains += is_main
-        in_link += tag == "a"
-    if not raw and at < len(page):
-        add(_UNENDED.split(page[at:], maxsplit=1)[0])
+    if at < len(html_text):
+        add(_UNENDED.split(html_text[at:], maxsplit=1)[0])
     flush()
-    return out
+    while stack:
+        pop()
+    return page
+
+
+def _held(ranges: list[tuple[int, int]], n: int) -> list[int]:
+    """How many of the ranges hold each of n blocks."""
+    change = [0] * (n + 1)
+    for a, b in ranges:
+        change[a] += 1
+        change[b] -= 1
+    return list(accumulate(change))[:n]
+
+
+def ratio(length: int, marks: int, blocks_: int) -> float:
+    """Text a block, weighted by the punctuation a block."""
+    return length / blocks_ * (1 + math.log1p(marks / blocks_)) if blocks_ else 0.0
 
 
-def _ratio(length: int, marks: int, nodes: int) -> float:
-    """Text a node, weighted by the punctuation a node."""
-    return length / nodes * (1 + math.log1p(marks / nodes))
+def path_ratios(page: Page, among: list[int]) -> list[float]:
+    """The ratio of each tag path: of the text outside links and the punctuation of the blocks on it and below it."""
+    n = len(page.parent)
+    length, marks, count = [0] * n, [0] * n, [0] * n
+    for i in among:
+        node = page.node[i]
+        length[node] += len(page.texts[i]) - page.linked[i]
+        marks[node] += len(_PUNCTUATION.findall(page.texts[i]))
+        count[node] += 1
+    for node in range(n - 1, 0, -1):
+        up = page.parent[node]
+        length[up] += length[node]
+        marks[up] += marks[node]
+        count[up] += count[node]
+    return [ratio(*x) for x in zip(length, marks, count, strict=True)]
 
 
-def main_blocks(found: list[Block], threshold: float = 0.25) -> list[Block]:
-    """The blocks whose tag paths hold the page's text.
+def main_blocks(page: Page, threshold: float = 0.25) -> list[int]:
+    """The blocks whose tag paths hold the page's text, by number.
 
-    1. Text outside links, punctuation and nodes are summed by root-to-leaf path
-       and by each of its beginnings. A path's ratio is text a node, weighted by
-       punctuation a node.
+    1. Text outside links, punctuation and blocks are summed by root-to-leaf path,
+       and so for each of its beginnings. A path's ratio is text a block, weighted
+       by punctuation a block.
     2. The ratios of neighbouring blocks are smoothed in page order, and fused with
-       the ratio of the path's parent by their geometric mean.
-    3. Blocks over ``threshold`` of the length-weighted mean are content. The
-       deepest path that holds nine tenths of their text is the content's
-       container, and its other blocks join them unless they are mostly links.
+       the ratio of the path's parent by their geometric mean. In parts that seldom
+       are main text they weigh PART_WEIGHT; an element that holds more than
+       WRAPPER of the page's text is no such part, whatever its name.
+    3. Blocks over ``threshold`` of the length-weighted mean, and not mostly links,
+       are content. As the mean is relative, a page all of whose text is in such
+       parts keeps it. The deepest path that holds nine tenths of the content is
+       its container: other blocks in it join, from elements of text or from
+       branches that hold content, if they are no links and in no part.
     If the page marks articles or main parts that hold half of its text, only
     blocks in them are considered.
     """
-    marked = [b for b in found if b.main]
-    if marked and 2 * sum(len(b.text) - b.linked for b in marked) >= sum(len(b.text) - b.linked for b in found):
-        found = marked
-    if len(found) < 2:
-        return found
-    sums: dict[tuple[str, ...], list[int]] = defaultdict(lambda: [0, 0, 0])
-    for b in found:
-        marks = len(_PUNCTUATION.findall(b.text))
-        for depth in range(len(b.path) + 1):
-            s = sums[b.path[:depth]]
-            s[0] += len(b.text) - b.linked
-            s[1] += marks
-            s[2] += 1
-    own = [_ratio(*sums[b.path]) for b in found]
-    smooth = [0.25 * own[max(i - 1, 0)] + 0.5 * own[i] + 0.25 * own[min(i + 1, len(own) - 1)] for i in range(len(own))]
-    fused = [math.sqrt(s * _ratio(*sums[b.path[:-1]])) for s, b in zip(smooth, found, strict=True)]
-    weight = sum(len(b.text) for b in found)
-    least = threshold * sum(f * len(b.text) for f, b in zip(fused, found, strict=True)) / weight
-    chosen = [f >= least and 2 * b.linked <= len(b.text) for f, b in zip(fused, found, strict=True)]
-    total = sum(len(b.text) for b, c in zip(found, chosen, strict=True) if c)
-    inside: dict[tuple[str, ...], int] = defaultdict(int)
-    for b, c in zip(found, chosen, strict=True):
-        if c:
-            for depth in range(len(b.path) + 1):
-                inside[b.path[:depth]] += len(b.text)
-    home = max((p for p, n in inside.items() if 10 * n >= 9 * total), key=len, default=())
-    while home and home[-1].split(".")[0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "ul", "ol", "li", "table", "tbody", "tr", "td"):
-        home = home[:-1]
-    return [b for b, c in zip(found, chosen, strict=True) if c or (b.path[: len(home)] == home and 2 * b.linked <= len(b.text))]
-
-
-def main_text(page: str) -> str:
-    return "\n".join(b.text for b in main_blocks(text_blocks(page)))
+    n = len(page.texts)
+    own_length = [len(t) - k for t, k in zip(page.texts, page.linked, strict=True)]
+    before = list(accumulate(own_length, initial=0))
+    total = before[-1]
+    parts = [(a, b) for a, b in page.parts if before[b] - before[a] <= WRAPPER * total]
+    weight = [PART_WEIGHT if h else 1.0 for h in _held(parts, n)]
+    in_main = _held(page.mains, n)
+    among = [i for i in range(n) if in_main[i]]
+    if not among or 2 * sum(own_length[i] for i in among) < sum(k for k, w in zip(own_length, weight, strict=True) if w == 1):
+        among = list(range(n))
+    if len(among) < 2:
+        return among
+    ratios = path_ratios(page, among)
+    own = [ratios[page.node[i]] for i in among]
+    smooth = [0.25 * own[max(j - 1, 0)] + 0.5 * own[j] + 0.25 * own[min(j + 1, len(own) - 1)] for j in range(len(own))]
+    fused = [weight[i] * math.sqrt(s * ratios[max(page.parent[page.node[i]], 0)]) for s, i in zip(smooth, among, strict=True)]
+    size = [len(page.texts[i]) for i in among]
+    least = threshold * sum(f * k for f, k in zip(fused, size, strict=True)) / sum(size)
+    plain = {i for i in among if 2 * page.linked[i] <= len(page.texts[i])}
+    chosen = {i for i, f in zip(among, fused, strict=True) if f >= least and i in plain}
+    inside = [0] * len(page.parent)
+    for i in chosen:
+        inside[page.node[i]] += len(page.texts[i])
+    for node in range(len(inside) - 1, 0, -1):
+        inside[page.parent[node]] += inside[node]
+    home = max((node for node, k in enumerate(inside) if 10 * k >= 9 * inside[0]), default=0)
+    while home and page.step[home].split(".")[0] in _TEXT_TAGS:
+        home = page.parent[home]
+    # The branch below the container that each path is on; -1: none.
+    branch = [-1] * len(page.parent)
+    for node in range(1, len(branch)):
+        branch[node] = node if page.parent[node] == home else branch[page.parent[node]]
+
+    def joins(i: int) -> bool:
+        at = page.node[i]
+        if i not in plain or weight[i] < 1:
+            return False
+        return at == home or branch[at] >= 0 and (page.step[branch[at]].split(".")[0] in _TEXT_TAGS or inside[branch[at]] > 0)
+
+    return [i for i in among if i in chosen or joins(i)]
+
+
+def main_text(html_text: str) -> str:
+    page = parse(html_text)
+    return "\n".join(page.texts[i] for i in main_blocks(page))
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: ``page_id, url, text, n_chars`` (code points).
 
-    A null or empty page has the empty text. Scripts, styles, comments, menus,
-    headers, footers, sidebars, notices, adverts, forms and reader comments are
-    left out by tag, role or the words of class and id; among the rest the tag-path
-    ratios decide (see ``main_blocks``). Character references are decoded, white
+    A null or empty page has the empty text. Scripts, styles, markup, menus by tag,
+    fields of forms and hidden elements are no text; of the rest the tag-path
+    ratios decide (see ``main_blocks``), in which headers, footers, sidebars,
+    notices, adverts, forms and reader comments weigh less. Character references are decoded, white
     space in a block (line breaks too) is one space, blocks are joined by ``\\n``.
     Rows that repeat an id stay; other columns are ignored; an empty table gives
     an empty result. Each row alone, no shuffle; time is linear in the page.

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lexmill.llm import common, langid, media, minhash
+from lexmill.llm import common, html_extract, langid, media, minhash
 from lexmill.llm import substring_dedup as repeats
 from lexmill.llm.bpe import OwnRunCache, WordBpe, _decoded, digest, encode_decode
 from lexmill.llm.components import connected_components
@@ -426,6 +426,47 @@ def test_html(spark):
     assert [r["n_chars"] for r in out] == [len(r["text"]) for r in out] and out[0]["text"] == "" and len(out[3]["text"]) == 50_000 * 5 - 1
 
 
+PROSE = "Some text of the article, which goes on for a while. It has commas, full stops; and more than one sentence."
+
+
+def test_html_parts_and_wrappers():
+    article, text = f"<h1>Title</h1><p>{PROSE}</p><p>{PROSE}</p>", f"Title\n{PROSE}\n{PROSE}"
+    for page in (
+        f'<form id="aspnetForm"><div class="content">{article}</div></form>',
+        f'<div id="content" class="has-sidebar">{article}</div><div id="sidebar"><p>Side text.</p></div>',
+        f'<div class="post comments-open">{article}</div>',
+        f'<div class="other"><p>Other</p></div><div class="content no-sidebar">{article}</div>',
+        f'<div class="text">{article}</div><div class="comments">{f"<p>{PROSE}</p>" * 5}</div>',
+        f'<body><div class=menu><a href=x>Home</a></div><div>{article}</div><div class="cookie-notice">We use cookies, yes.</div><footer><p>{PROSE}</p></footer></body>',
+        f'<div class=wrap><div class=x1><span>Home</span></div><div class=x2><div>Now</div><div>Then</div></div><div class=x3>{article}</div></div>',
+    ):
+        assert main_text(page) == text, page
+    # No name tells the last page's other blocks from the article: their ratios do.
+    assert len(html_extract.parse(page).texts) == 6
+
+
+def test_html_ratios_equal_brute_force():
+    for page in (PAGE, PAGE * 3, "<div><ul><li>a, b.<li><a>c</a></ul><div>x<div>y. <a>z</a></div></div>tail</div>"):
+        parsed = html_extract.parse(page)
+
+        def path(node, of=parsed):
+            return () if node <= 0 else (*path(of.parent[node]), of.step[node])
+
+        found = html_extract.path_ratios(parsed, list(range(len(parsed.texts))))
+        for node, value in enumerate(found):
+            own = [i for i in range(len(parsed.texts)) if path(parsed.node[i])[: len(path(node))] == path(node)]
+            length = sum(len(parsed.texts[i]) - parsed.linked[i] for i in own)
+            marks = sum(parsed.texts[i].count(c) for i in own for c in ".,;:!?")
+            assert np.isclose(value, length / len(own) * (1 + np.log1p(marks / len(own))))
+
+
+def test_html_takes_linear_time():
+    began = time.monotonic()
+    for piece in ("<div>text", "<div>text<b>x", "<li><div>a", "<p><b><i>a", "</p>a<div class=comment>"):
+        main_text(piece * 20_000)
+    assert time.monotonic() - began < 5
+
+
 def test_pipeline(spark, awkward):
     import corpus_pipeline as C
 
