@@ -14,15 +14,15 @@ from pyspark.sql import functions as F
 from lexmill.llm.common import blocks, in_batches
 from lexmill.llm.shingles import U, mix
 
-#: Documents of each language, words of each and languages that a model is fitted to, at most.
-SAMPLE, SAMPLE_WORDS, LANGUAGES = 400, 200, 100
+#: Documents of each language that a model is fitted to, about; of all languages; and words of a document, about.
+SAMPLE, SAMPLE_ALL, SAMPLE_WORDS = 400, 40_000, 200
 #: Characters of a sampled document that reach the driver, from a place that its id's hash gives.
 SAMPLE_CHARS = 4000
 #: Distinct words whose features are held at once.
 WORDS_AT_ONCE = 16384
-#: Places of the hashed weights.
-PLACES = 1 << 17
-#: Words of a chain: longer texts are several chains.
+#: Places of the hashed weights of a label at most, and weights of all labels: with many labels there are fewer places.
+PLACES, WEIGHTS = 1 << 17, 1 << 24
+#: Words of a chain that a model is fitted to, and of a stretch of a text's chain that is computed side by side with others.
 CHAIN = 64
 UNDETERMINED = "und"
 #: The highest number of bytes of an affix and of an n-gram, with the marks at a word's ends.
@@ -38,6 +38,18 @@ class Crf:
     move: np.ndarray
     start: np.ndarray
 
+    def seen(self) -> np.ndarray:
+        """Whether the fitting has seen a feature at a place of the weights."""
+        return self.emit.any(axis=1)
+
+
+def places_of(labels: int) -> int:
+    """Places for so many labels: a power of 2."""
+    places = PLACES
+    while places > 1024 and places * labels > WEIGHTS:
+        places //= 2
+    return places
+
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(text number, word number) of every word with a letter, in order; and the distinct words.
@@ -54,7 +66,7 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return owner[keep], number[keep], letters.dictionary
 
 
-def word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_features(words: pa.Array, n_places: int = PLACES) -> tuple[np.ndarray, np.ndarray]:
     """(word number, place of a weight) of every feature of every word.
 
     Prefixes and suffixes, n-grams in any place, and the word itself (the lexicon),
@@ -69,7 +81,7 @@ def word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
     def add(word: np.ndarray, h: np.ndarray, kind: int) -> None:
         at.append(word)
-        places.append((mix(h + U(kind * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) % U(PLACES)).astype(np.int64))
+        places.append((mix(h + U(kind * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) % U(n_places)).astype(np.int64))
 
     owner = np.repeat(np.arange(len(words)), size)
     place = np.arange(len(data)) - first[owner] if len(data) else np.zeros(0, dtype=np.int64)
@@ -91,26 +103,78 @@ def word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(at), np.concatenate(places)
 
 
-def emissions(words: pa.Array, emit: np.ndarray) -> np.ndarray:
-    """The summed weights of each word's features, by label."""
-    out = np.zeros((len(words), emit.shape[1]), dtype=np.float32)
+def emissions(words: pa.Array, emit: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The summed weights of each word's features, by label; and the share of them that the fitting has seen."""
+    out, known = np.zeros((len(words), emit.shape[1]), dtype=np.float32), np.zeros(len(words))
     for a in range(0, len(words), WORDS_AT_ONCE):
         part = words[a : a + WORDS_AT_ONCE]
-        word, place = word_features(part)
+        word, place = word_features(part, len(emit))
         for k in range(emit.shape[1]):
             out[a : a + len(part), k] = np.bincount(word, weights=emit[place, k], minlength=len(part))
-    return out
+        known[a : a + len(part)] = np.bincount(word, weights=seen[place], minlength=len(part)) / np.maximum(np.bincount(word, minlength=len(part)), 1)
+    return out, known
+
 
+def _sweep(e: np.ndarray, length: np.ndarray, move: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Messages along stretches (n, t, k): what arrives at each word, scaled; and what leaves each stretch's last."""
+    n, t, _ = e.shape
+    arrive, last = np.zeros_like(e), np.zeros_like(first)
+    a = first
+    for i in range(t):
+        live = i < length
+        arrive[:, i] = a
+        out = a * e[:, i]
+        out /= out.sum(axis=1, keepdims=True)
+        last[live] = out[live]
+        a = out @ move
+    return arrive, last
 
-def chains(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of each word in a table of chains of up to CHAIN words of one text."""
-    if not len(owner):
-        return owner, owner
-    new = np.ones(len(owner), dtype=bool)
-    new[1:] = owner[1:] != owner[:-1]
-    first = np.flatnonzero(new)
-    place = np.arange(len(owner)) - np.repeat(first, np.diff([*first, len(owner)]))
-    return np.cumsum(place % CHAIN == 0) - 1, place % CHAIN
+
+def _settled(e: np.ndarray, length: np.ndarray, move: np.ndarray, end: np.ndarray, is_end: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """What arrives at each word of whole chains, each in several stretches.
+
+    ``before``: the stretch from which a message comes; at ends (``is_end``) it is
+    ``end``. All stretches are swept side by side, first with a guess; those
+    whose message turns out to be another are swept again, until none is: so the
+    result is that of one sweep through the whole chain.
+    """
+    first = np.where(is_end[:, None], end, e.dtype.type(1 / e.shape[2])).astype(e.dtype)
+    arrive, last = np.zeros_like(e), np.zeros_like(first)
+    todo = np.arange(len(e))
+    while len(todo):
+        arrive[todo], last[todo] = _sweep(e[todo], length[todo], move, first[todo])
+        now = last[before] @ move
+        now /= now.sum(axis=1, keepdims=True)
+        todo = np.flatnonzero(~is_end & (np.abs(now - first / first.sum(axis=1, keepdims=True)).max(axis=1) > 1e-6))
+        first[todo] = now[todo]
+    return arrive
+
+
+def chain_marginals(scores: np.ndarray, size: np.ndarray, move: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Marginals of labels (words, k) by forward-backward over whole chains.
+
+    ``scores``: those of all words, chain after chain; ``size``: words of each chain,
+    none of which is empty.
+    """
+    k, t = scores.shape[1], int(min(CHAIN, size.max()))
+    pieces = -(-size // t)
+    row_of_first = np.cumsum(pieces) - pieces
+    n = int(pieces.sum())
+    place = np.arange(len(scores)) - np.repeat(np.cumsum(size) - size, size)
+    row, column = np.repeat(row_of_first, size) + place // t, place % t
+    length = np.bincount(row, minlength=n)
+    e = np.ones((n, t, k), dtype=np.float32)
+    e[row, column] = np.maximum(np.exp(scores - scores.max(axis=1, keepdims=True)), 1e-30)
+    m = np.exp(move - move.max()).astype(np.float32)
+    is_first, is_last = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+    is_first[row_of_first], is_last[row_of_first + pieces - 1] = True, True
+    number = np.arange(n)
+    forward = _settled(e, length, m, np.exp(start - start.max())[None, :], is_first, np.where(is_first, number, number - 1))
+    # Backwards, the words of each stretch stand in reverse.
+    turned = np.where(np.arange(t) < length[:, None], length[:, None] - 1 - np.arange(t), np.arange(t))[:, :, None]
+    backward = _settled(np.take_along_axis(e, turned, axis=1), length, m.T, np.ones((1, k)), is_last, np.where(is_last, number, number + 1))
+    marginal = (forward * e * np.take_along_axis(backward, turned, axis=1))[row, column]
+    return marginal / marginal.sum(axis=1, keepdims=True)
 
 
 def forward_backward(scores: np.ndarray, length: np.ndarray, move: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,28 +225,30 @@ def fit(texts: list[str], labels: list[str], seed: int = 7, rounds: int = 6, rat
     """
     names = tuple(sorted(set(labels)))
     k = len(names)
-    emit, move, start = np.zeros((PLACES, k), dtype=np.float32), np.zeros((k, k), dtype=np.float32), np.zeros(k, dtype=np.float32)
+    n_places = places_of(max(k, 1))
+    emit, move, start = np.zeros((n_places, k), dtype=np.float32), np.zeros((k, k), dtype=np.float32), np.zeros(k, dtype=np.float32)
     owner, number, words = words_of(pa.array(texts, pa.string()))
     if k < 2 or not len(owner):
         return Crf(names, emit, move, start)
-    new = np.ones(len(owner), dtype=bool)
-    new[1:] = owner[1:] != owner[:-1]
-    first = np.flatnonzero(new)
-    near = np.arange(len(owner)) - np.repeat(first, np.diff([*first, len(owner)])) < SAMPLE_WORDS
-    owner = owner[near]
-    used, number = np.unique(number[near], return_inverse=True)
-    words = words.take(pa.array(used))
     gold_of = np.array([names.index(x) for x in labels])
     rng = np.random.default_rng(seed)
-    by_text = np.split(np.arange(len(owner)), np.flatnonzero(np.diff(owner)) + 1)
     stretches = []
-    for own in by_text:
+    for own in np.split(np.arange(len(owner)), np.flatnonzero(np.diff(owner)) + 1):
         at = 0
         while at < len(own):
             n = int(rng.integers(4, 25))
-            stretches.append(own[at : at + n])
+            # Of a long text some stretches, from all over it.
+            if rng.random() * len(own) < SAMPLE_WORDS:
+                stretches.append(own[at : at + n])
             at += n
-    order, feature = word_features(words)
+    if not stretches:
+        return Crf(names, emit, move, start)
+    taken = np.sort(np.concatenate(stretches))
+    used, renumbered = np.unique(number[taken], return_inverse=True)
+    number = np.zeros(len(owner), dtype=np.int64)
+    number[taken] = renumbered
+    words = words.take(pa.array(used))
+    order, feature = word_features(words, n_places)
     sort = np.argsort(order, kind="stable")
     order, feature = order[sort], feature[sort]
     first = np.searchsorted(order, np.arange(len(words) + 1))
@@ -207,7 +273,7 @@ def fit(texts: list[str], labels: list[str], seed: int = 7, rounds: int = 6, rat
             hot[np.arange(len(part)), gold] = 1
             step = hot - marginal[r, c]
             by_word = np.stack([np.bincount(word, weights=step[:, j], minlength=len(used)) for j in range(k)], axis=1)
-            g_emit = np.stack([np.bincount(places, weights=by_word[rows, j], minlength=PLACES) for j in range(k)], axis=1)
+            g_emit = np.stack([np.bincount(places, weights=by_word[rows, j], minlength=n_places) for j in range(k)], axis=1)
             g_move = -pairs
             inner = r[1:] == r[:-1]
             np.add.at(g_move, (gold[:-1][inner], gold[1:][inner]), 1)
@@ -219,32 +285,30 @@ def fit(texts: list[str], labels: list[str], seed: int = 7, rounds: int = 6, rat
 
 
 def predict(model: Crf, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-    """Label and score of each text: the label with the highest mean marginal, and that mean."""
+    """Label and score of each text: the label with the highest mean marginal, and that mean.
+
+    A word's marginals count as far as the fitting has seen its features: what is
+    like nothing that was learned speaks for no label. So the score is low for a
+    text of no learned language, and for one of several.
+    """
     owner, number, words = words_of(texts)
     k = len(model.labels)
     total = np.zeros((len(texts), max(k, 1)))
     n = np.bincount(owner, minlength=len(texts)) if len(owner) else np.zeros(len(texts), dtype=np.int64)
     if len(owner) and k:
-        score = emissions(words, model.emit)
-        row, column = chains(owner)
-        rows = int(row[-1]) + 1
-        length = np.bincount(row, minlength=rows)
-        # Chains of about equal length go together, some thousands at a time.
-        rank = np.argsort(length, kind="stable")
-        place = np.empty(rows, dtype=np.int64)
-        place[rank] = np.arange(rows)
-        order = np.lexsort((column, place[row]))
-        row, column, word, text = place[row][order], column[order], number[order], owner[order]
-        length = length[rank]
-        for a in range(0, rows, 2048):
-            b = min(a + 2048, rows)
-            i, j = np.searchsorted(row, [a, b])
-            table = np.zeros((b - a, int(length[b - 1]), k), dtype=np.float32)
-            table[row[i:j] - a, column[i:j]] = score[word[i:j]]
-            marginal, _, _ = forward_backward(table, length[a:b], model.move, model.start)
-            got = marginal[row[i:j] - a, column[i:j]]
+        score, known = emissions(words, model.emit, model.seen())
+        begin = np.cumsum(n) - n
+        # Texts of about equal length go together, some thousand stretches at a time.
+        order = np.argsort(n, kind="stable")
+        order = order[n[order] > 0]
+        batch = np.cumsum(-(-n[order] // CHAIN)) // 2048
+        for part in np.split(order, np.flatnonzero(np.diff(batch)) + 1):
+            size = n[part]
+            text = np.repeat(part, size)
+            at = np.repeat(begin[part], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            marginal = chain_marginals(score[number[at]], size, model.move, model.start) * known[number[at], None]
             for label in range(k):
-                total[:, label] += np.bincount(text[i:j], weights=got[:, label], minlength=len(texts))
+                total[:, label] += np.bincount(text, weights=marginal[:, label], minlength=len(texts))
     mean = total / np.maximum(n, 1)[:, None]
     best = mean.argmax(axis=1)
     labels = [model.labels[b] if c and k else UNDETERMINED for b, c in zip(best.tolist(), n.tolist(), strict=True)]
@@ -257,25 +321,26 @@ def held_out(id_col: str) -> Column:
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn: Column | None = None, sample: int = SAMPLE) -> Crf:
-    """Fit to about ``sample`` documents of each of the LANGUAGES commonest labels.
+    """Fit to about ``sample`` documents of each label, and SAMPLE_ALL of all together.
 
-    Which rows are drawn depends on a hash of their id only, at a rate for each
-    label that follows from its count; only the drawn rows reach the driver.
+    All labels are learned. Which rows are drawn depends on a hash of their id and
+    text, at a rate for each label that follows from its count; equal rows are
+    drawn as one. Only drawn rows, and of a long text SAMPLE_CHARS characters from
+    a place that the hash gives, reach the driver. The labels and their rates are
+    broadcast: they are fewer than the model's weights, which the driver holds.
     """
     learn = F.lit(True) if learn is None else learn
     rows = df.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     if not counts:
         return fit([], [])
-    span = 1 << 30
-    draw = F.pmod(F.xxhash64("id", F.lit("language sample")), F.lit(span))
-    wanted = F.lit(False)
-    for lang, n in counts:
-        wanted = wanted | ((F.col("lang") == lang) & (draw < min(span, int(span * sample / n) + 1)))
-    start = F.lit(1) + F.pmod(F.xxhash64("id"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int")
-    drawn = rows.where(wanted).limit(2 * sample * len(counts)).select("id", F.substr("text", start, F.lit(SAMPLE_CHARS)).alias("text"), "lang").collect()
-    drawn.sort(key=lambda r: (r["id"] is None, r["id"], r["text"]))
-    return fit([r["text"] for r in drawn], [r["lang"] for r in drawn])
+    wanted, span = max(1, min(sample, SAMPLE_ALL // len(counts))), 1 << 30
+    rates = df.sparkSession.createDataFrame([(lang, min(span, int(span * wanted / n) + 1)) for lang, n in counts], "lang string, rate long")
+    named = rows.join(F.broadcast(rates), "lang").withColumn("hash", F.xxhash64("id", "text", F.lit("language sample")))
+    start = F.lit(1) + F.pmod(F.col("hash"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int")
+    drawn = named.where(F.pmod("hash", F.lit(span)) < F.col("rate")).select("hash", F.substr("text", start, F.lit(SAMPLE_CHARS)).alias("text"), "lang")
+    found = sorted(tuple(r) for r in drawn.groupBy("hash", "lang").agg(F.min("text").alias("text")).select("lang", "hash", "text").collect())
+    return fit([t for _, _, t in found], [lang for lang, _, _ in found])
 
 
 def identify(df: DataFrame, model: Crf, text_col: str = "text", passed: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -284,7 +349,7 @@ def identify(df: DataFrame, model: Crf, text_col: str = "text", passed: tuple[st
     Whole texts are read. A null text, or one without a letter, is ``und`` with
     score 0. Rows that repeat an id stay. Each row alone, no shuffle.
     """
-    # A model has LANGUAGES * PLACES weights at most, however large the input is.
+    # A model has about WEIGHTS weights at most, however large the input is.
     shared = df.sparkSession.sparkContext.broadcast(model)
     columns = [*passed, *([] if text_col in passed else [text_col])]
     at, n = columns.index(text_col), len(passed)

@@ -360,6 +360,43 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(pairs, total)
 
 
+def test_whole_chains_equal_one_sweep():
+    rng = np.random.default_rng(3)
+    size = np.array([1, 5, 64, 65, 1000, 129])
+    scores, move, start = rng.normal(size=(int(size.sum()), 3)) * 2, rng.normal(size=(3, 3)), rng.normal(size=3)
+    move += 4 * np.eye(3)
+    found, at = langid.chain_marginals(scores, size, move, start), 0
+    for n in size.tolist():
+        expected, _, _ = forward_backward(scores[None, at : at + n], np.array([n]), move, start)
+        assert np.allclose(found[at : at + n], expected[0], atol=1e-4)
+        at += n
+
+
+def test_features_of_words_equal_a_plain_list():
+    word, place = langid.word_features(pa.array(["chat", "é"]), 1 << 16)
+    marked = [b"\x02chat\x03", "\x02é\x03".encode()]
+    for i, w in enumerate(marked):
+        kinds = {("gram", w[a : a + n]) for n in (2, 3, 4) for a in range(len(w) - n + 1)} | {("head", w[:n]) for n in range(2, 6) if n <= len(w)} | {("tail", w[-n:]) for n in range(2, 6) if n <= len(w)} | {("word", w)}
+        repeats_of = sum(len(w) - n + 1 for n in (2, 3, 4)) - len({(n, w[a : a + n]) for n in (2, 3, 4) for a in range(len(w) - n + 1)})
+        assert (word == i).sum() == len(kinds) + repeats_of
+    assert ((place >= 0) & (place < 1 << 16)).all()
+    again, same = langid.word_features(pa.array(["é", "chat", "chatte"]), 1 << 16)
+    shared = set(same[again == 1]) & set(same[again == 2])
+    assert set(same[again == 1]) == set(place[word == 0]) and {"ch", "cha", "chat"} and len(shared) >= 9
+
+
+def test_all_labels_are_learned_and_long_texts_count_whole():
+    assert langid.places_of(4) == langid.PLACES and langid.places_of(1000) * 1000 <= langid.WEIGHTS
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [a + b for a in letters[:13] for b in letters[:10]]
+    texts = [" ".join(f"{x}{x}{c}" for c in letters) for x in names]
+    model = langid.fit(texts, names)
+    assert model.labels == tuple(sorted(names))
+    assert sum(a == b for a, b in zip(langid.predict(model, pa.array(texts))[0], names, strict=True)) > 120
+    two = langid.fit(["the cat and the dog " * 40, "le chat et le chien " * 40], ["en", "fr"])
+    assert langid.predict(two, pa.array(["the cat and the dog " * 60 + "le chat et le chien " * 100]))[0] == ["fr"]
+
+
 def test_language(spark, sf_dir, awkward):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = language_id(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
