@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -46,12 +48,9 @@ def features(texts: list[bytes]) -> np.ndarray:
     for i, t in enumerate(texts):
         words, lines = t.split(), t.split(b"\n")
         size = max(len(t), 1)
-        run = best = 0
-        last = None
-        if words and 2 * len(set(words)) < len(words):
-            for w in words:
-                run = run + 1 if w == last else 1
-                last, best = w, max(best, run)
+        best = min(len(words), 1)
+        if any(map(eq, words, words[1:])):
+            best = max(len(list(g)) for _, g in groupby(words))
         caps = int(counts[i].reshape(_CLASSES, -1)[3].sum())
         odd = int(counts[i].reshape(_CLASSES, -1)[9:].sum())
         m = max(len(words), 1)
@@ -119,21 +118,29 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400, rate: fl
     p, u = (positive - mean) / scale, (unlabelled - mean) / scale
     p1, u1 = (np.c_[x, np.ones(len(x))].astype(np.float32) for x in (p, u))
 
-    def apart(w: np.ndarray) -> np.ndarray:
-        return p1.T @ (_sigmoid(p1 @ w) - 1) / len(p1) + u1.T @ _sigmoid(u1 @ w) / len(u1) + decay * w
-
-    first = _adam(apart, p1.shape[1], steps // 2, rate)
+    first = _adam(lambda w: apart_gradient(w, p1, u1, decay), p1.shape[1], steps // 2, rate)
     prior = class_prior(p1 @ first, u1 @ first)
+    w = _adam(lambda w: risk_gradient(w, p1, u1, prior, decay), p1.shape[1], steps, rate)
+    return Scorer(mean, scale, w[:-1], float(w[-1]), prior)
 
-    def risk(w: np.ndarray) -> np.ndarray:
-        fp, fu = p1 @ w, u1 @ w
-        plus = p1.T @ (_sigmoid(fp) - 1) / len(p1)
-        minus = u1.T @ _sigmoid(fu) / len(u1) - prior * p1.T @ _sigmoid(fp) / len(p1)
-        value = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        return (prior * plus + minus if value >= 0 else -minus) + decay * w
 
-    w = _adam(risk, p1.shape[1], steps, rate)
-    return Scorer(mean, scale, w[:-1], float(w[-1]), prior)
+def apart_gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray, decay: float) -> np.ndarray:
+    """Of the logistic loss that tells positives (rows of ``p``) from unlabelled rows (of ``u``)."""
+    return p.T @ (_sigmoid(p @ w) - 1) / len(p) + u.T @ _sigmoid(u @ w) / len(u) + decay * w
+
+
+def risk_parts(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float]:
+    """prior * R+(positive), and R-(unlabelled) - prior * R-(positive), with the logistic loss."""
+    fp, fu = p @ w, u @ w
+    return float(prior * np.logaddexp(0, -fp).mean()), float(np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean())
+
+
+def risk_gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float, decay: float) -> np.ndarray:
+    """Of the non-negative risk; where its second part is negative, against that part."""
+    sp = _sigmoid(p @ w)
+    plus = p.T @ (sp - 1) / len(p)
+    minus = u.T @ _sigmoid(u @ w) / len(u) - prior * p.T @ sp / len(p)
+    return (prior * plus + minus if risk_parts(w, p, u, prior)[1] >= 0 else -minus) + decay * w
 
 
 def held_out(id_col: str) -> Column:
@@ -144,30 +151,39 @@ def held_out(id_col: str) -> Column:
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in blocks(batches, max_bytes=1 << 20):
         x = features([t.encode() for t in block.column(1).to_pylist()])
-        yield pa.RecordBatch.from_arrays([block.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "x"])
+        yield pa.RecordBatch.from_arrays([block.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["hash", "x"])
 
 
-def _drawn(rows: DataFrame, wanted: int, salt: str) -> DataFrame:
-    """About ``wanted`` rows, by a hash of their id; 2 * ``wanted`` at most."""
-    span = 1 << 30
-    n = rows.count()
-    return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(span)) < min(span, int(span * wanted / max(n, 1)) + 1)).limit(2 * wanted)
+def _rate(n: int, wanted: int) -> int:
+    """Of a hash of 30 bits, below which ``wanted`` of ``n`` rows are, about."""
+    return min(1 << 30, int((1 << 30) * wanted / max(n, 1)) + 1)
 
 
-def _matrix(rows: DataFrame) -> np.ndarray:
-    found = sorted((r["doc_id"], bytes(r["x"])) for r in rows.where("doc_id IS NOT NULL").transform(in_batches, _featured, "doc_id long, x binary").collect())
-    return np.frombuffer(b"".join(x for _, x in found), dtype=np.float32).reshape(-1, N_FEATURES).astype(np.float64)
+def _matrix(rows: DataFrame, wanted: int) -> np.ndarray:
+    """Features of about ``wanted`` rows (doc_id, text), and of twice as many at most.
+
+    Drawn by a hash of id and text, so equal rows are drawn as one; features are
+    made where the rows are, and those of the least hashes reach the driver.
+    """
+    hashed = rows.select(F.xxhash64("doc_id", "text", F.lit("quality sample")).alias("hash"), "text")
+    drawn = hashed.where(F.pmod("hash", F.lit(1 << 30)) < _rate(rows.count(), wanted))
+    found = drawn.transform(in_batches, _featured, "hash long, x binary").groupBy("hash").agg(F.min("x").alias("x"))
+    first = found.orderBy(F.pmod("hash", F.lit(1 << 30)), "hash").limit(2 * wanted).collect()
+    return np.frombuffer(b"".join(bytes(r["x"]) for r in first), dtype=np.float32).reshape(-1, N_FEATURES).astype(np.float64)
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column) -> Scorer | None:
-    """From ``docs`` (doc_id, text) and ``labels`` (doc_id, quality): positives are rows of quality 1.
+    """From ``docs`` (doc_id, text) and ``labels`` (doc_id, quality): positives are ids with a row of quality 1.
 
-    Both samples are bounded and drawn by a hash of the id, from rows that
-    ``learn`` admits; only their features reach the driver. None without positives.
+    Both samples are bounded, from rows that ``learn`` admits; rows without an id
+    are never positives. None without positives. About POSITIVES ids are broadcast,
+    twice as many at most.
     """
-    trusted = _drawn(labels.where(learn & (F.col("quality") == 1)).select("doc_id").distinct(), POSITIVES, "trusted")
-    positive = _matrix(docs.join(F.broadcast(trusted), "doc_id"))
-    unlabelled = _matrix(_drawn(docs.where(learn), UNLABELLED, "unlabelled"))
+    ids = labels.where(learn & (F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("trusted")), F.lit(1 << 30))
+    trusted = ids.where(draw < _rate(ids.count(), POSITIVES)).orderBy(draw, "doc_id").limit(2 * POSITIVES)
+    positive = _matrix(docs.join(F.broadcast(trusted), "doc_id", "left_semi"), POSITIVES)
+    unlabelled = _matrix(docs.where(learn), UNLABELLED)
     return fit(positive, unlabelled) if len(positive) and len(unlabelled) else None
 
 

@@ -421,6 +421,57 @@ def test_quality(spark, awkward):
     assert len(odd) == len(awkward[0]) and all(0 <= r["score"] <= 1 for r in odd)
 
 
+def test_risk_and_its_gradient():
+    from lexmill.llm import quality as q
+
+    rng = np.random.default_rng(2)
+    p, u, w = rng.normal(1, 1, (30, 4)), rng.normal(0, 1, (50, 4)), rng.normal(size=4)
+    loss = lambda f: np.log1p(np.exp(-f))
+    plus, minus = q.risk_parts(w, p, u, 0.4)
+    assert np.isclose(plus, 0.4 * np.mean([loss(x @ w) for x in p]))
+    assert np.isclose(minus, np.mean([loss(-(x @ w)) for x in u]) - 0.4 * np.mean([loss(-(x @ w)) for x in p]))
+
+    def slope(of, w):
+        return np.array([(of(w + d) - of(w - d)) / 2e-6 for d in np.eye(4) * 1e-6])
+
+    for prior in (0.1, 0.4, 5.0):
+        a, b = q.risk_parts(w, p, u, prior)
+        goal = (lambda v: sum(q.risk_parts(v, p, u, prior))) if b >= 0 else (lambda v: -q.risk_parts(v, p, u, prior)[1])  # noqa: B023
+        assert np.allclose(q.risk_gradient(w, p, u, prior, 0.01), slope(goal, w) + 0.01 * w, atol=1e-5)
+    assert q.risk_parts(w, p, u, 5.0)[1] < 0
+    tell = lambda v: np.mean([loss(x @ v) for x in p]) + np.mean([loss(-(x @ v)) for x in u])
+    assert np.allclose(q.apart_gradient(w, p, u, 0.0), slope(tell, w), atol=1e-5)
+
+
+def test_class_prior_is_near_the_share():
+    from lexmill.llm import quality as q
+
+    rng = np.random.default_rng(4)
+    for share in (0.2, 0.5, 0.8):
+        pos, neg = rng.normal(2, 1, (20_000, 1)), rng.normal(-2, 1, (20_000, 1))
+        mixed = np.concatenate([pos[: int(5000 * share)], neg[: int(5000 * (1 - share))]])
+        assert abs(q.class_prior(pos[5000:9000, 0], mixed[:, 0]) - share) < 0.06
+        assert abs(q.fit(pos[5000:9000], mixed).prior - share) < 0.06
+
+
+def test_runs_of_words_count_in_every_text():
+    from lexmill.llm import quality as q
+
+    text = b"a b c d e f g g g g h i j k"
+    assert np.isclose(q.features([text, b""])[0, -3], 4 / 14) and q.features([b""]).shape == (1, q.N_FEATURES)
+
+
+def test_quality_with_repeated_ids(spark):
+    good, bad = "Plain words of a good text, number {}. It goes on.", "$$$ BUY NOW {} !!! ###"
+    rows = [(i, (good if i % 2 else bad).format(i), "en", "s") for i in range(200)]
+    rows += [(1, good.format(1), "en", "s")] * 50 + [(3, "other text of three", "en", "s"), (None, "no id", None, None), (5, None, None, None)]
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(0, 200, 3)] + [(9, 0), (9, 1), (9, None), (None, 1)], "doc_id long, quality int")
+    out = quality(frame(spark, rows), labels).collect()
+    assert len(out) == len(rows) and all(0 <= r["score"] <= 1 for r in out)
+    again = quality(frame(spark, list(reversed(rows))).repartition(3), labels).collect()
+    assert counted((r["doc_id"], r["predicted"]) for r in out) == counted((r["doc_id"], r["predicted"]) for r in again)
+
+
 def test_media(spark, awkward, monkeypatch):
     monkeypatch.setattr(media, "HOT", 1)
     rows, df = awkward
@@ -527,7 +578,12 @@ def test_pipeline_equals_brute_force(spark, sf_dir):
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = C.language_stage(spark, docs, sf_dir)
-    assert kept.count() == docs.count()
+    strange = ["Dzień dobry, jak się masz? To jest przykładowy tekst w języku polskim, którego model nie zna.", "Это пример текста на русском языке для проверки", "bu türkçe bir metindir ve model onu daha önce görmedi", "12 345", None]
+    model_of = {r["doc_id"]: r for r in docs.collect()}
+    planted = spark.createDataFrame([(10**6 + i, t, None, "s", 0) for i, t in enumerate(strange)], docs.schema)
+    after = {r["doc_id"] for r in C.language_stage(spark, docs.unionByName(planted), sf_dir).collect()}
+    assert not [i for i in after if i >= 10**6] and len(after) >= 0.99 * len(model_of)
+    assert kept.count() >= 0.99 * docs.count()
     lined = C.line_stage(spark, kept, sf_dir)
     texts = {r["doc_id"]: (r["text"], r["source"]) for r in kept.collect()}
     pages, holds = collections.Counter(s for _, s in texts.values()), collections.Counter()
