@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import blocks, id_and_text, in_batches
+from lexmill.llm.common import blocks, id_and_text, in_batches, settle, settled_path
 from lexmill.llm.shingles import mix
 
 #: A payload is a multiple of so many bytes, and not empty.
@@ -24,6 +24,9 @@ RATE = 8000
 #: A chunk of more references than this is joined in SALTS copies.
 HOT, SALTS = 2000, 64
 
+#: Texts, characters of each, and bytes of the dictionary that short chunks are pressed with.
+SAMPLE, SAMPLE_CHARS, DICTIONARY = 2000, 2048, 1 << 16
+
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
@@ -86,14 +89,42 @@ def features(samples: bytes) -> str:
     return f"n={len(x)};sum={int(v.sum())};energy={int((v * v).sum())};crossings={int(np.count_nonzero((v[1:] < 0) != (v[:-1] < 0)))};levels={','.join(map(str, levels))}"
 
 
-def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, text) -> a row (digest, data) for each chunk, data compressed."""
+def dictionary_of(keyed: DataFrame) -> bytes:
+    """What the chunks of a store are pressed with: trained on a bounded sample of the texts (key, text).
+
+    The SAMPLE distinct texts of the least keys, and SAMPLE_CHARS characters from a
+    place that the key gives, reach the driver. It changes the size of the store
+    and no value. Empty if there is too little to train on.
+    """
     import zstandard
 
-    press = zstandard.ZstdCompressor(level=9, write_content_size=True, write_checksum=False)
-    for block in blocks(batches):
-        chunks = [c for t in block.column(1).to_pylist() for c in chunks_of(payload_of(t.encode()))]
-        yield pa.RecordBatch.from_arrays([pa.array([digest(c) for c in chunks], pa.binary()), pa.array([press.compress(c) for c in chunks], pa.binary())], ["digest", "data"])
+    start = F.lit(1) + F.pmod(F.xxhash64("key"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int")
+    least = keyed.select("key", F.substr("text", start, F.lit(SAMPLE_CHARS)).alias("text")).orderBy("key").limit(SAMPLE).collect()
+    samples = [r["text"].encode() for r in least if r["text"]]
+    try:
+        return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
+    except zstandard.ZstdError:
+        return b""
+
+
+def _shape(dictionary: bytes) -> dict:
+    import zstandard
+
+    return {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
+
+
+def _stored(dictionary: bytes):
+    """Rows (key, text) -> a row (digest, data) for each chunk, data compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=9, write_content_size=True, write_checksum=False, **_shape(dictionary))
+        for block in blocks(batches):
+            chunks = [c for t in block.column(1).to_pylist() for c in chunks_of(payload_of(t.encode()))]
+            yield pa.RecordBatch.from_arrays([pa.array([digest(c) for c in chunks], pa.binary()), pa.array([press.compress(c) for c in chunks], pa.binary())], ["digest", "data"])
+
+    return run
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,38 +141,51 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["key", "n_bytes", "header", "chunks", "place", "digest"])
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read(dictionary: bytes):
     """Rows (key, n_bytes, header, chunks, place, digest, data), each key's in order -> a row for each key.
 
     Every chunk is held against its digest and its place in the list.
     """
-    import zstandard
 
-    press = zstandard.ZstdDecompressor()
-    parts: list[bytes] = []
-    for block in blocks(batches):
-        rows = []
-        for key, n_bytes, header, chunks, place, name, data in zip(*(block.column(i).to_pylist() for i in range(7)), strict=True):
-            chunk = press.decompress(data)
-            if digest(chunk) != name or place != len(parts):
-                raise ValueError("a chunk of the store is damaged or missing")
-            parts.append(chunk)
-            if len(parts) == chunks:
-                media, parts = b"".join([header, *parts]), []
-                samples = samples_of(media)
-                rows.append((key, n_bytes, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(media), hashlib.sha256(media).hexdigest(), features(samples)))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
-        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], READ_NAMES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdDecompressor(**_shape(dictionary))
+        parts: list[bytes] = []
+        for block in blocks(batches):
+            rows = []
+            for key, n_bytes, header, chunks, place, name, data in zip(*(block.column(i).to_pylist() for i in range(7)), strict=True):
+                chunk = press.decompress(data)
+                if digest(chunk) != name or place != len(parts):
+                    raise ValueError("a chunk of the store is damaged or missing")
+                parts.append(chunk)
+                if len(parts) == chunks:
+                    media, parts = b"".join([header, *parts]), []
+                    samples = samples_of(media)
+                    rows.append((key, n_bytes, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(media), hashlib.sha256(media).hexdigest(), features(samples)))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
+            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], READ_NAMES)
+
+    return run
 
 
 READ_NAMES = ["key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 READ_DDL = "key binary, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def chunk_store(keyed: DataFrame) -> DataFrame:
-    """``digest, data, refs``: each distinct chunk of the texts (key, text) once."""
-    return keyed.transform(in_batches, _stored, "digest binary, data binary").groupBy("digest").agg(F.first("data").alias("data"), F.count(F.lit(1)).alias("refs"))
+def chunk_store(keyed: DataFrame, dictionary: bytes = b"") -> DataFrame:
+    """``digest, data, refs``: each distinct chunk of the texts (key, text) once, as written to the shared folder.
+
+    The table is bucketed by digest, so that reading it by digest moves no chunk.
+    """
+    spark = keyed.sparkSession
+    chunks = keyed.transform(in_batches, _stored(dictionary), "digest binary, data binary").groupBy("digest").agg(F.first("data").alias("data"), F.count(F.lit(1)).alias("refs"))
+    path = settled_path(spark, "chunks")
+    name = "lexmill_" + path.rpartition("-")[2]
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks.write.bucketBy(buckets, "digest").option("path", path).option("compression", "none").saveAsTable(name)
+    return spark.table(name)
 
 
 def chunk_lists(keyed: DataFrame) -> DataFrame:
@@ -149,7 +193,7 @@ def chunk_lists(keyed: DataFrame) -> DataFrame:
     return keyed.transform(in_batches, _listed, "key binary, n_bytes long, header binary, chunks long, place long, digest binary").dropDuplicates(["key", "place"])
 
 
-def read_media(lists: DataFrame, store: DataFrame) -> DataFrame:
+def read_media(lists: DataFrame, store: DataFrame, dictionary: bytes = b"") -> DataFrame:
     """Put the media of the lists together from the store, verify them and compute features.
 
     Media of one chunk are read where the chunk is; only those of more are dealt
@@ -161,8 +205,8 @@ def read_media(lists: DataFrame, store: DataFrame) -> DataFrame:
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     hot = lists.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(store.where(F.col("refs") > HOT).withColumn("salt", salts), ["digest", "salt"]).select(*columns)
     found = cold.union(hot)
-    single = found.where("chunks = 1").transform(in_batches, _read, READ_DDL)
-    several = found.where("chunks > 1").repartition("key").sortWithinPartitions("key", "place").transform(in_batches, _read, READ_DDL)
+    single = found.where("chunks = 1").transform(in_batches, _read(dictionary), READ_DDL)
+    several = found.where("chunks > 1").repartition("key").sortWithinPartitions("key", "place").transform(in_batches, _read(dictionary), READ_DDL)
     return single.union(several)
 
 
@@ -173,12 +217,14 @@ def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     multiple of 64; its stored form is a wave file of 8-bit mono samples. Payloads
     are cut into chunks where a rolling gear hash says so, so that equal passages
     of over about MOST bytes give equal chunks wherever they stand. Chunks of one
-    digest are stored once; each payload is an ordered list of digests. All values
-    are computed from the bytes read back, once per distinct text; so equal texts
+    digest are stored once; each payload is an ordered list of digests. Store and
+    lists are written to the shared folder and read back from there; all values are
+    computed from the bytes read back, once per distinct text; so equal texts
     have equal values. Rows that repeat an id stay; other columns are ignored; an
     empty table gives an empty result.
     """
     docs = id_and_text(df, id_col, text_col).withColumn("key", F.unhex(F.sha2("text", 256)))
     keyed = docs.select("key", "text")
-    values = read_media(chunk_lists(keyed), chunk_store(keyed))
+    dictionary = dictionary_of(keyed)
+    values = read_media(settle(chunk_lists(keyed), "lists"), chunk_store(keyed, dictionary), dictionary)
     return docs.select("doc_id", "key").join(values, "key").drop("key")
