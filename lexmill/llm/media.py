@@ -92,14 +92,16 @@ def features(samples: bytes) -> str:
 def dictionary_of(keyed: DataFrame) -> bytes:
     """What the chunks of a store are pressed with: trained on a bounded sample of the texts (key, text).
 
-    The SAMPLE distinct texts of the least keys, and SAMPLE_CHARS characters from a
-    place that the key gives, reach the driver. It changes the size of the store
-    and no value. Empty if there is too little to train on.
+    About SAMPLE distinct texts, drawn by their key's hash, and SAMPLE_CHARS
+    characters from a place that the hash gives, reach the driver. It changes the
+    size of the store and no value. Empty if there is too little to train on.
     """
     import zstandard
 
     start = F.lit(1) + F.pmod(F.xxhash64("key"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int")
-    least = keyed.select("key", F.substr("text", start, F.lit(SAMPLE_CHARS)).alias("text")).orderBy("key").limit(SAMPLE).collect()
+    rate = min(1 << 30, int((1 << 30) * SAMPLE / max(keyed.count(), 1)) + 1)
+    drawn = keyed.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < rate).select("key", F.substr("text", start, F.lit(SAMPLE_CHARS)).alias("text"))
+    least = drawn.groupBy("key").agg(F.first("text").alias("text")).orderBy("key").limit(2 * SAMPLE).collect()
     samples = [r["text"].encode() for r in least if r["text"]]
     try:
         return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
