@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 from typing import Protocol
 
-from pyspark.sql import Column
+import pyarrow as pa
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.fold import fold_text
-from lexmill.functions.masks import quote
 
 #: A character of a word.
-WORD = r"[\p{IsAlphabetic}\p{N}_]"
+WORD = regex.compile(r"[\p{Alphabetic}\p{N}_]")
 MIN_QUERY = 3
+#: Matches, and bytes of their lines and context, that become one batch.
+BATCH_HITS, BATCH_BYTES = 1000, 4 << 20
 
 
 class QueryTooShort(ValueError):
@@ -26,36 +32,22 @@ def validate_query(query: str) -> str:
     return query
 
 
-def _running(lengths: Column, step: int) -> Column:
-    """0, and after each length the sum so far plus ``step`` for each one."""
-    zero = F.struct(F.lit(0).alias("at"), F.array(F.lit(0)).alias("all"))
-
-    def add(acc: Column, n: Column) -> Column:
-        at = (acc["at"] + n + F.lit(step)).cast("int")
-        return F.struct(at.alias("at"), F.array_append(acc["all"], at).alias("all"))
-
-    return F.aggregate(lengths, zero, add, lambda acc: acc["all"])
+def _places(text: str, needle: str) -> list[int]:
+    found, at = [], text.find(needle) if needle else -1
+    while at >= 0:
+        found.append(at)
+        at = text.find(needle, at + len(needle))
+    return found
 
 
 def find(text: Column, needle: str) -> Column:
     """0-based starts of the needle, from left to right and not overlapping; an empty needle is nowhere."""
-    if not needle:
-        return F.array().cast("array<int>")
-    parts = F.split(text, quote(needle), -1)
-    # The needle's starts are what precedes it: the running lengths, each with the needles before.
-    lengths = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p: F.length(p))
-    starts = F.transform(_running(lengths, len(needle)), lambda x: x - F.lit(len(needle)))
-    return F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0)))
-
-
-def whole_words(text: Column, starts: Column, width: int) -> Column:
-    """The starts whose neighbours on both sides are no characters of a word."""
 
-    def apart(s: Column) -> Column:
-        before = F.when(s > 0, F.substr(text, s, F.lit(1))).otherwise(F.lit(""))
-        return ~before.rlike(WORD) & ~F.substr(text, s + F.lit(width + 1), F.lit(1)).rlike(WORD)
+    @F.arrow_udf("array<int>")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else _places(t, needle) for t in texts.to_pylist()], pa.list_(pa.int32()))
 
-    return F.filter(starts, apart)
+    return run(text)
 
 
 class Matcher(Protocol):
@@ -81,37 +73,74 @@ class LiteralMatcher:
     def candidate(self, folded: Column) -> Column:
         return F.contains(folded, F.lit(fold_text(self.needle)))
 
-    def starts(self, content: Column, folded: Column) -> Column:
-        starts = find(content, self.needle) if self.case_sensitive else find(folded, fold_text(self.needle))
-        return whole_words(content, starts, self.width) if self.whole_word else starts
-
-
-def lines_of(text: Column) -> Column:
-    """Lines end at ``\\n`` only; a last ``\\n`` opens an empty line."""
-    return F.split(text, "\n", -1)
+    def _whole(self, text: str, at: int) -> bool:
+        """Whether the neighbours on both sides are no characters of a word."""
+        end = at + self.width
+        return not (at and WORD.match(text[at - 1])) and not (end < len(text) and WORD.match(text[end]))
 
-
-def line_starts(lines: Column) -> Column:
-    return F.slice(_running(F.transform(lines, lambda x: F.length(x)), 1), 1, F.size(lines))
-
-
-def trimmed(line: Column) -> Column:
-    return F.regexp_replace(line, r"[\r\n]+\z", "")
-
-
-def occurrence(lines: Column, starts: Column, at: Column, context: int) -> Column:
-    """Line and column (from 1, of the match's start), the line and the lines around it."""
-    line = F.size(F.filter(starts, lambda x: x <= at))
-    first = F.greatest(line - F.lit(context), F.lit(1))
-    around = lambda a, n: F.transform(F.slice(lines, a, n), trimmed)
-    after = F.greatest(F.least(F.lit(context), F.size(lines) - line), F.lit(0))
-    return F.struct(
-        line.cast("long").alias("line"),
-        (at - F.element_at(starts, line) + 1).cast("long").alias("column"),
-        trimmed(F.element_at(lines, line)).alias("line_text"),
-        around(first, line - first).alias("context_before"),
-        around(line + 1, after).alias("context_after"),
-    )
+    def starts(self, content: Column, folded: Column) -> Column:
+        """One pass over each text; time is linear in it and in its matches."""
+        needle = self.needle if self.case_sensitive else fold_text(self.needle)
+        if not self.whole_word:
+            return find(content if self.case_sensitive else folded, needle)
+
+        @F.arrow_udf("array<int>")
+        def run(texts: pa.Array, hays: pa.Array) -> pa.Array:
+            rows = zip(texts.to_pylist(), hays.to_pylist(), strict=True)
+            return pa.array([None if t is None else [a for a in _places(h, needle) if self._whole(t, a)] for t, h in rows], pa.list_(pa.int32()))
+
+        return run(content, content if self.case_sensitive else folded)
+
+
+OCCURRENCE_DDL = "hit long, line long, column long, line_text string, context_before array<string>, context_after array<string>"
+_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
+
+
+def _located(text: str, starts: list[int], context: int) -> Iterator[tuple]:
+    """Of each match: its number, line and column (from 1, of its start), the line and the lines around it.
+
+    Lines end at ``\\n`` only; a last ``\\n`` opens an empty line.
+    """
+    lines = text.split("\n")
+    begins = list(accumulate((len(x) + 1 for x in lines), initial=0))
+    shown = lambda a, b: [x.rstrip("\r\n") for x in lines[max(a, 0) : b]]
+    for hit, at in enumerate(starts):
+        n = bisect_right(begins, at)
+        yield hit, n, at - begins[n - 1] + 1, lines[n - 1].rstrip("\r\n"), shown(n - 1 - context, n - 1), shown(n, n + context)
+
+
+def locate(rows: DataFrame, kept: list[str], context: int) -> DataFrame:
+    """A row for each match in ``rows`` (kept columns, content, starts): the kept columns and OCCURRENCE_DDL.
+
+    Each text is cut into lines once; rows leave in batches of bounded size, so
+    that no text is copied to each of its matches.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = len(kept)
+            for i in range(batch.num_rows):
+                held, size = [], 0
+                same = [c.slice(i, 1) for c in batch.columns[:n]]
+
+                def flush(held=held, same=same) -> pa.RecordBatch:
+                    again = pa.array([0] * len(held), pa.int32())
+                    columns = [pa.array(c, k) for c, k in zip(zip(*held, strict=True), _KINDS, strict=True)]
+                    return pa.RecordBatch.from_arrays([*[c.take(again) for c in same], *columns], [*kept, *[f.split()[0] for f in OCCURRENCE_DDL.split(", ")]])
+
+                for row in _located(batch.column(n)[i].as_py(), batch.column(n + 1)[i].as_py(), context):
+                    held.append(row)
+                    size += len(row[3]) + sum(map(len, row[4])) + sum(map(len, row[5]))
+                    if len(held) == BATCH_HITS or size > BATCH_BYTES:
+                        yield flush()
+                        held.clear()
+                        size = 0
+                if held:
+                    yield flush()
+
+    base = rows.select(*kept, "content", "starts")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[: len(kept)])
+    return base.mapInArrow(run, f"{fields}, {OCCURRENCE_DDL}")
 
 
 def segments(line: Column, starts: Column, width: int) -> Column:

@@ -17,9 +17,14 @@ def trigrams(folded: Column) -> Column:
     return F.array_distinct(F.zip_with(pairs, F.slice(chars, 3, n), lambda a, b: F.concat(a, b)))
 
 
-def postings(index: DataFrame) -> DataFrame:
-    """``gram, doc_id`` of the indexed documents. Each document alone, no shuffle."""
-    return index.where("status = 0").select(F.explode(trigrams(F.col("content_fold"))).alias("gram"), "doc_id")
+def postings(index: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """``gram, doc_id`` of the indexed documents. Each document alone, no shuffle.
+
+    With ``only``, the postings of these trigrams: the others aren't made.
+    """
+    folded = F.col("content_fold")
+    grams = trigrams(folded) if only is None else F.filter(F.array(*map(F.lit, only)), lambda g: F.contains(folded, g))
+    return index.where("status = 0").select(F.explode(grams).alias("gram"), "doc_id")
 
 
 def query_grams(query: str) -> list[str]:

@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.display import seconds_of
 from lexmill.functions.masks import NameMasks
-from lexmill.functions.matching import LiteralMatcher, Matcher, line_starts, lines_of, occurrence, validate_query
+from lexmill.functions.matching import LiteralMatcher, Matcher, locate, validate_query
 from lexmill.functions.paths import components
+from lexmill.plans.shared import settle
 from lexmill.sources.corpus import ERROR, INDEXED, MAX_FILE_SIZE, SECURITY, TOO_LARGE
 
+#: Too large documents that one job reads.
+EVENTS = 64
+
 
 @dataclass(frozen=True)
 class SearchOptions:
@@ -73,10 +78,7 @@ def verified(found: DataFrame, query: str, options: SearchOptions = SearchOption
 
 def occurrences(checked: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:
     """A row for each match: the document's columns, line, column, the line and its context."""
-    lined = checked.where(F.size("starts") > 0).withColumn("lines", lines_of(F.col("content"))).withColumn("line_starts", line_starts(F.col("lines")))
-    each = lined.select("doc_id", "file_path", "entry_path", "size", "mtime_ns", "status", "lines", "line_starts", F.posexplode("starts").alias("hit", "at"))
-    found = each.withColumn("o", occurrence(F.col("lines"), F.col("line_starts"), F.col("at"), options.context_lines))
-    return found.select("doc_id", "file_path", "entry_path", "size", "mtime_ns", "status", F.col("hit").cast("long").alias("hit"), "o.*")
+    return locate(checked.where(F.size("starts") > 0), ["doc_id", "file_path", "entry_path", "size", "mtime_ns", "status"], options.context_lines)
 
 
 def search(index: DataFrame, query: str, options: SearchOptions = SearchOptions(), cap: int = MAX_FILE_SIZE) -> DataFrame:
@@ -129,8 +131,8 @@ class Cancelled(RuntimeError):
 def search_events(index: DataFrame, query: str, options: SearchOptions = SearchOptions(), cancelled=lambda: False, cap: int = MAX_FILE_SIZE) -> Iterator[IndexedDone | OversizedProgress]:
     """First what the index gives; then, if asked for, too large documents one after another.
 
-    The second phase asks for the names of the too large documents, and only for
-    them: each event is a row of its own for whoever waits.
+    The second phase reads EVENTS too large documents in a job, and then tells of
+    them one by one; a cancel stops it between jobs and between documents.
     """
     options.matcher(query)
 
@@ -144,10 +146,13 @@ def search_events(index: DataFrame, query: str, options: SearchOptions = SearchO
     check()
     if options.analyze_oversized:
         large = found.where(F.col("status") == TOO_LARGE)
-        names = large.orderBy(*canonical_order()).select("doc_id").toLocalIterator()
-        total = large.count()
-        for done, row in enumerate(names, 1):
+        names = (row["doc_id"] for row in large.orderBy(*canonical_order()).select("doc_id").toLocalIterator())
+        total, done = large.count(), 0
+        while some := list(islice(names, EVENTS)):
             check()
-            one = large.where(F.col("doc_id") == row["doc_id"])
-            yield OversizedProgress(done, total, occurrences(verified(one, query, options, cap), options))
+            rows = settle(occurrences(verified(large.where(F.col("doc_id").isin(some)), query, options, cap), options), "oversized")
+            for name in some:
+                check()
+                done += 1
+                yield OversizedProgress(done, total, rows.where(F.col("doc_id") == name))
         check()

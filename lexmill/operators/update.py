@@ -45,7 +45,3 @@ def kept_rows(documents: DataFrame, fates: DataFrame) -> DataFrame:
     """Rows of the previous snapshot whose path is neither changed nor gone."""
     gone = fates.where(F.col("fate").isin("modified", "deleted")).select("file_path")
     return documents.join(gone, "file_path", "left_anti")
-
-
-def delete_ids(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    return documents.join(ids.select("doc_id"), "doc_id", "left_anti")

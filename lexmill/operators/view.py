@@ -6,10 +6,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from lexmill.functions.masks import NameMasks, parse_masks
 from lexmill.functions.paths import components, extension, result_leaf, result_path
+from lexmill.plans.shared import settle
 
 SORT_KEYS = ("path", "name", "modified", "occurrences", "size", "extension")
 
@@ -57,12 +57,13 @@ def ranked(results: DataFrame, spec: ViewSpec) -> DataFrame:
     """The view with its order as a column, ``place``.
 
     The sort deals rows out by range; a row's place is its number in its range
-    behind all rows of the ranges before. The sorted rows are kept, as they are
-    counted and numbered from one and the same division into ranges; the table of
-    counts has a row per range.
+    behind all rows of the ranges before. The results are written before the sort,
+    which reads them twice, and the sorted rows after it, as they are counted and
+    numbered from one and the same division into ranges; the table of counts has a
+    row per range.
     """
-    rows = view(results, spec).withColumns({"_part": F.spark_partition_id(), "_n": F.monotonically_increasing_id()})
-    rows = rows.persist(StorageLevel.DISK_ONLY)
+    rows = view(settle(results, "results"), spec).withColumns({"_part": F.spark_partition_id(), "_n": F.monotonically_increasing_id()})
+    rows = settle(rows, "ranked")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
     counts = counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))

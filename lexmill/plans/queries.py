@@ -16,6 +16,7 @@ from lexmill.functions.paths import extension, path_key
 from lexmill.operators import merge, postings, report, update
 from lexmill.operators import search as S
 from lexmill.operators.view import SORT_KEYS, ViewSpec, export_lines, ranked
+from lexmill.plans.shared import settle
 from lexmill.sources import corpus
 from lexmill.sources.corpus import MAX_FILE_SIZE
 
@@ -158,18 +159,10 @@ _register(
       WHERE CASE WHEN entry_path IS NULL THEN lower({_LEAF}) LIKE '%.txt' AND NOT lower({_LEAF}) LIKE '%9.txt'
             ELSE lower({_ENTRY_LEAF}) LIKE '%.txt' AND NOT lower({_ENTRY_LEAF}) LIKE '%9.txt' AND NOT lower({_LEAF}) LIKE '%9.txt' END) AS e""",
 )
-_register(
-    "search_oversized_phase",
-    # Only documents of ASCII, where bytes are characters and SQL can cut at a byte.
-    lambda spark, d: _shown(S.search(corpus.documents(spark, d, SMALL).where("octet_length(content) = length(content)"), "thatin", S.SearchOptions(analyze_oversized=True), cap=SMALL)),
-    _occurrences(f"SELECT doc_id, file_path, substr(content, 1, {SMALL}) AS content, substr(folded, 1, {SMALL}) AS folded, 0 AS status FROM ({_docs(SMALL)}) AS o WHERE strlen(content) = length(content)", "thatin"),
-)
-
 _BYTES_OF = "encode(content)[1:{n}]"
 _CUT = f"CASE WHEN strlen(content) <= {SMALL} THEN content ELSE coalesce({', '.join(f'try(decode({_BYTES_OF.format(n=SMALL - n)}))' for n in range(4))}) END"
 _register(
-    "search_oversized_phase_all",
-    # All documents, cut at a byte; the query above keeps to those of ASCII, as its SQL does.
+    "search_oversized_phase",
     lambda spark, d: _shown(S.search(corpus.documents(spark, d, SMALL), "thatin", S.SearchOptions(analyze_oversized=True), cap=SMALL)),
     _occurrences(f"SELECT doc_id, file_path, content, lower(content) AS folded, 0 AS status FROM (SELECT doc_id, file_path, {_CUT} AS content FROM ({_docs(SMALL)}) AS o) AS c", "thatin"),
 )
@@ -197,15 +190,15 @@ _register(
 
 # ---- postings ----
 
-_GRAMS = f"SELECT DISTINCT doc_id, substr(folded, i, 3) AS gram FROM (SELECT doc_id, folded, unnest(range(1, length(folded) - 1)) AS i FROM ({_bench()}) AS x) AS y"
+_GRAMS = f"SELECT DISTINCT doc_id, substr(folded, i, 3) AS gram FROM (SELECT doc_id, folded, unnest(range(1, length(folded) - 1)) AS i FROM ({_docs()}) AS x) AS y"
 _register(
     "trigram_postings_topk",
-    lambda spark, d: postings.postings(corpus.benchmark(spark, d)).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "gram").limit(50),
+    lambda spark, d: postings.postings(corpus.documents(spark, d)).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "gram").limit(50),
     f"SELECT gram, CAST(count(*) AS BIGINT) AS n FROM ({_GRAMS}) AS g GROUP BY gram ORDER BY n DESC, gram LIMIT 50",
 )
 _register(
     "trigram_candidates",
-    lambda spark, d: postings.posting_candidates(postings.postings(corpus.documents(spark, d)), "Thatin"),
+    lambda spark, d: postings.posting_candidates(postings.postings(corpus.documents(spark, d), postings.query_grams("Thatin")), "Thatin"),
     f"SELECT doc_id FROM ({_docs()}) AS x WHERE contains(folded, 'tha') AND contains(folded, 'hat') AND contains(folded, 'ati') AND contains(folded, 'tin')",
 )
 
@@ -213,7 +206,7 @@ _register(
 def _equivalence(spark: SparkSession, d: str) -> DataFrame:
     index = corpus.documents(spark, d)
     by_scan = S.candidates(index, "thatin").select("doc_id")
-    by_postings = S.candidates(postings.narrowed(index, postings.postings(index), "thatin"), "thatin").select("doc_id")
+    by_postings = S.candidates(postings.narrowed(index, postings.postings(index, postings.query_grams("thatin")), "thatin"), "thatin").select("doc_id")
     both = by_scan.withColumn("s", F.lit(1)).join(by_postings.withColumn("p", F.lit(1)), "doc_id", "full_outer")
     return both.agg(F.count_if(F.col("s").isNull() | F.col("p").isNull()).alias("different"), F.count(F.lit(1)).alias("candidates"))
 
@@ -306,7 +299,7 @@ _register("update_snapshot_rows", _updated, f"{_STATES} SELECT file_path, CAST(s
 
 def _targets(spark: SparkSession, d: str) -> list[tuple[str, DataFrame]]:
     """Three projects over the documents; they overlap, and one spells paths another way."""
-    rows = _results(spark, d).select("doc_id", "file_path", "entry_path", "occurrences", "size")
+    rows = settle(_results(spark, d).select("doc_id", "file_path", "entry_path", "occurrences", "size"), "results")
     second = rows.where("doc_id % 3 = 1").withColumn("file_path", F.upper(F.replace("file_path", F.lit("/"), F.lit("\\"))))
     return [("b", rows.where("doc_id % 2 = 0")), ("a", second), ("c", rows)]
 
@@ -368,7 +361,7 @@ _register(
 
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
-    lines = corpus.benchmark(spark, d).select("doc_id", F.posexplode(F.split("content", "\n", -1)).alias("line", "text"))
+    lines = corpus.documents(spark, d).select("doc_id", F.posexplode(F.split("content", "\n", -1)).alias("line", "text"))
     cut = lines.withColumn("s", segments(F.col("text"), find(fold(F.col("text")), "the"), 3))
     shown = F.transform("s", lambda x: F.concat(F.when(x["hit"], F.lit("[")).otherwise(F.lit("")), x["text"], F.when(x["hit"], F.lit("]")).otherwise(F.lit(""))))
     return cut.select("doc_id", F.col("line").cast("long").alias("line"), F.array_join(shown, "").alias("marked"), F.size("s").cast("long").alias("pieces"))
@@ -378,7 +371,7 @@ _register("highlight_segments", _segments, None)
 SQL["highlight_segments"] = """SELECT doc_id, CAST(pos - 1 AS BIGINT) AS line, regexp_replace(replace(text, chr(9), '    '), '([tT][hH][eE])', '[\\1]', 'g') AS marked,
   CAST(len(parts) - 1 + len(list_filter(parts, lambda p: p <> '')) AS BIGINT) AS pieces
 FROM (SELECT doc_id, pos, lines[pos] AS text, string_split(lower(lines[pos]), 'the') AS parts FROM (
-  SELECT item_id AS doc_id, string_split(text, chr(10)) AS lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM benchmark) AS a) AS b"""
+  SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM documents) AS a) AS b"""
 
 # ---- literal rows ----
 

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from lexmill.plans.shared import settle
 from lexmill.functions.masks import leaf_text
 from lexmill.functions.paths import file_extension
 from lexmill.plans.options import ARCHIVE_EXTENSIONS, BINARY_EXTENSIONS, BuildOptions
@@ -143,7 +144,8 @@ def list_files(spark: SparkSession, options: BuildOptions) -> DataFrame:
             for root, folder in zip(frame["root"], frame["file_path"], strict=True):
                 yield from _frames(scan(folder, _rules_down_to(root, folder, options), options, None))
 
-    first = spark.createDataFrame(rows, "root string, recursive boolean").repartition(len(rows), "root").mapInPandas(tops, f"{DDL}, root string").persist()
+    first = spark.createDataFrame(rows, "root string, recursive boolean").repartition(len(rows), "root").mapInPandas(tops, f"{DDL}, root string")
+    first = settle(first, "tops")
     width = spark.sparkContext.defaultParallelism * 4
     rest = first.where("kind = 'dir'").repartition(width).mapInPandas(subtrees, DDL)
     return first.where("kind <> 'dir'").drop("root").unionByName(rest)

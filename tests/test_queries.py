@@ -48,7 +48,7 @@ def test_oversized_phase_cuts_at_a_byte(spark, tmp_path):
         while at >= 0:
             expected.add((i, hit, read.count("\n", 0, at) + 1, at - read.rfind("\n", 0, at)))
             at, hit = read.lower().find("thatin", at + 6), hit + 1
-    got = QUERIES["search_oversized_phase_all"](spark, str(tmp_path)).collect()
+    got = QUERIES["search_oversized_phase"](spark, str(tmp_path)).collect()
     assert {(r["doc_id"], r["hit"], r["line"], r["col"]) for r in got} == expected and len(got) == len(expected)
     assert {i for i, *_ in expected} == {1, 4, 5, 6, 7, 9}
     assert all(r["line_text"] in texts[r["doc_id"]] for r in got)

@@ -1,12 +1,13 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions.fold import fold, fold_table, fold_text
 from lexmill.functions.masks import NameMasks, parse_masks, wildcard_text
-from lexmill.functions.matching import QueryTooShort, validate_query
-from lexmill.functions.viewer import Segment, bounded, load, occurrence_window, spans, word_at, wrap
+from lexmill.functions.matching import LiteralMatcher, QueryTooShort, validate_query
+from lexmill.functions.viewer import around_match, bounded, focus, viewed, word_at, wrapped
 from lexmill.operators import postings
 from lexmill.operators import search as S
 from lexmill.operators.view import InvalidFilter, ViewSpec, view, view_masks
@@ -106,7 +107,7 @@ def test_random_substrings_are_found_by_scan_and_postings(spark):
     for i, needle in sorted(wanted)[:20]:
         assert i in {r["doc_id"] for r in S.search(df, needle, S.SearchOptions(case_sensitive=True)).collect()}, (texts[i], needle)
         assert i in {r["doc_id"] for r in postings.posting_candidates(table, needle).collect()}
-        expected = sorted((d, sum(1 for _ in spans(t, needle))) for d, t in enumerate(texts) if spans(t, needle))
+        expected = sorted((d, n) for d, t in enumerate(texts) if (n := fold_text(t).count(fold_text(needle))))
         got = S.file_results(S.verified(S.candidates(df, needle), needle)).collect()
         assert sorted((r["doc_id"], r["occurrences"]) for r in got) == expected
 
@@ -122,12 +123,34 @@ def test_view_order(spark):
         view_masks("a/*")
 
 
-def test_viewer_lines():
+def test_viewer_columns(spark):
     line = "x" * 50 + "needle" + "日" * 50
-    shown = occurrence_window(line, [(50, 56)], 0, 5, 20)
-    assert [s.text for s in shown] == ["…", "xxxxx", "needle", "日日日日日", "…"] and shown[2].hit
-    assert word_at("ab c_d 日x", 4) == "c_d" and word_at("ab c", 2) is None
-    assert [["".join(s.text for s in row)] for row in wrap([Segment("aa bb cc dd ee")], 8)] == [["aa bb "], ["cc "]]
-    assert bounded(b"ab\ncdef", 5) == (b"ab\n", True)
-    lines, matches, focus, cut = load(b"needle a\nb\nc needle\r\n", "needle", 2, 1)
-    assert (len(lines), matches, focus, cut) == (3, [(1, 0, 1), (3, 0, 3)], 1, False)
+    one = lambda c: spark.range(1).select(c.alias("v")).first()["v"]
+    shown = one(around_match(F.lit(line), F.lit(50), F.lit(6), 5, 20))
+    assert [p["text"] for p in shown] == ["…", "xxxxx", "needle", "日日日日日", "…"] and shown[2]["hit"]
+    assert one(word_at(F.lit("ab c_d 日x"), F.lit(4))) == "c_d" and one(word_at(F.lit("ab c"), F.lit(2))) is None
+    assert one(word_at(F.lit("ab 日x"), F.lit(4))) == "日x" and one(word_at(F.lit("ab"), F.lit(9))) is None
+    assert one(wrapped(F.lit("aa bb cc dd ee"), 8)) == ["aa bb ", "cc "] and one(wrapped(F.lit("abc"), 8)) == ["abc"]
+    assert one(bounded(F.lit(b"ab\ncdef"), 5)).asDict() == {"data": bytearray(b"ab\n"), "truncated": True}
+    assert one(bounded(F.lit(b"ab"), 5))["truncated"] is False
+
+
+def test_viewer_table(spark):
+    docs = spark.createDataFrame([(1, "needle a\nb\nc needle\r\n"), (2, "x" * 4000 + "Needle" + "y" * 4000), (3, "")], "doc_id long, content string")
+    lines = viewed(docs, LiteralMatcher("needle"), 2, 1)
+    rows = {(r["doc_id"], r["line"]): r for r in lines.collect()}
+    assert sorted(rows) == [(1, 1), (1, 2), (1, 3), (2, 1)]
+    assert [rows[1, n]["matches"] for n in (1, 2, 3)] == [[1], [], [3]] and rows[2, 1]["matches"] == [4001]
+    assert [p["text"] for p in rows[1, 3]["shown"]] == ["c ", "needle"]
+    assert [p["text"][:3] for p in rows[2, 1]["shown"]] == ["…", "xxx", "Nee", "yyy", "…"] and sum(len(p["text"]) for p in rows[2, 1]["shown"]) == 1502
+    assert {r["doc_id"]: (r["matches"], r["focus"]) for r in focus(lines, 2, 1).collect()} == {1: (2, 1), 2: (1, 0)}
+
+
+def test_matching_takes_linear_time(spark):
+    text = "\n".join("needle in it" if i % 4 == 0 else "nothing" for i in range(400_000))
+    df = index(spark, [text])
+    began = time.monotonic()
+    found = S.search(df, "needle").agg(F.count(F.lit(1)).alias("n"), F.max("line").alias("last")).first()
+    assert tuple(found) == (100_000, 399_997) and time.monotonic() - began < 60
+    # A long line is written once for each match in it, in batches that stay small.
+    assert S.search(index(spark, ["needle " * 2000]), "needle").count() == 2000
