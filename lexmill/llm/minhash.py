@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.common import blocks, in_batches, join_counted, settle
 from lexmill.llm.components import connected_components
-from lexmill.llm.shingles import U, linked, mix, real_set, really_linked, shingle_sets
+from lexmill.llm.shingles import U, linked, mix, really_linked, shingle_sets
 
 #: Bands, and coordinates in each: a pair at 0.8 shares a band with probability 1 - 3e-6.
 BANDS = 32
@@ -89,14 +89,7 @@ def _met(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int,
 
 def _links(rows: list, k: int, percent: int) -> list[bool]:
     """Whether leader and member are linked: their hashes say so, and then their shingles themselves."""
-    found, held = [], ("", set())
-    for _, _, text, own_text, theirs, own in rows:
-        near = linked(theirs, own, percent)
-        if near:
-            held = held if held[0] is text else (text, real_set(text, k))
-            near = really_linked(held[1], real_set(own_text, k), percent)
-        found.append(near)
-    return found
+    return [linked(theirs, own, percent) and really_linked(text, own_text, k, percent) for _, _, text, own_text, theirs, own in rows]
 
 
 def _compared(k: int, percent: int):

@@ -113,15 +113,21 @@ def shingle_sets(texts: list[str], k: int) -> tuple[list[np.ndarray], list[bytes
     return sets, keys
 
 
-def real_set(text: str, k: int) -> set[tuple[bytes, ...]]:
-    words = words_of(text)
-    return set(zip(*(words[i:] for i in range(k)), strict=False)) if len(words) >= k else {tuple(words)} if words else set()
-
-
-def really_linked(a: set, b: set, percent: int) -> bool:
-    """As ``linked``, of the shingles themselves."""
-    common = len(a & b)
-    return bool(a and b) and 100 * common >= percent * (len(a) + len(b) - common)
+def really_linked(a: str, b: str, k: int, percent: int) -> bool:
+    """As ``linked``, of the shingles themselves: words, and then shingles, are numbered, not hashed."""
+    words = (words_of(a), words_of(b))
+    if min(map(len, words)) < k:
+        return bool(words[0]) and words[0] == words[1]
+    number: dict[bytes, int] = {}
+    one, two = (np.fromiter((number.setdefault(w, len(number)) for w in own), dtype=np.int64, count=len(own)) for own in words)
+    base, n = len(number), len(one) - k + 1
+    codes = np.concatenate([one[:n], two[: len(two) - k + 1]])
+    for j in range(1, k):
+        following = np.concatenate([one[j : n + j], two[j : len(two) - k + 1 + j]])
+        codes = np.unique(codes * base + following, return_inverse=True)[1]
+    x, y = np.unique(codes[:n]), np.unique(codes[n:])
+    shared = common(x, y)
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:

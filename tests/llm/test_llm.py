@@ -277,6 +277,18 @@ def test_words_that_hash_alike_are_not_linked(spark):
     assert {r["doc_id"]: r["component_id"] for r in near_components(frame(spark, rows)).collect()} == {1: 1, 2: 2, 3: 3}
 
 
+@pytest.mark.parametrize("k", [1, 2, 5])
+def test_shingles_are_compared_themselves(k):
+    from lexmill.llm.shingles import really_linked
+
+    rng = random.Random(k)
+    for _ in range(300):
+        a = [rng.choice("abcd") for _ in range(rng.randrange(0, 30))]
+        b = [x if rng.random() > 0.08 else "z" for x in a] + [rng.choice("abcd")] * rng.randrange(0, 3)
+        x, y = ({tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set() for w in (a, b))
+        assert really_linked(" ".join(a), "\t".join(b).upper(), k, 80) == bool(x and y and 100 * len(x & y) >= 80 * len(x | y))
+
+
 def test_near_duplicates_with_repeated_ids(spark):
     prose = lambda seed: " ".join(random.Random(seed).choice("abcdefgh") * random.Random(seed * 99 + i).randint(1, 9) + str(i) for i in range(40))
     rows = [(9, prose(1), "en", "s"), (9, prose(2), "en", "s"), (5, prose(1) + " end", "en", "s"), (12, prose(2) + " end", "en", "s"), (12, prose(2) + " end", "en", "s"), (7, prose(3), "en", "s")]
