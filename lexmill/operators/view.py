@@ -71,6 +71,18 @@ def ranked(results: DataFrame, spec: ViewSpec) -> DataFrame:
     return rows.join(F.broadcast(counts), "_part").withColumn("place", (F.col("_before") + inside + 1).cast("long")).drop("_part", "_n", "_before")
 
 
+def hide(results: DataFrame, hidden: DataFrame) -> DataFrame:
+    """``results`` with ``visible``: false in rows whose project and document ``hidden`` names. No row goes, so counts stay."""
+    keys = [c for c in ("project_id", "doc_id") if c in results.columns and c in hidden.columns]
+    marks = hidden.select(*keys).distinct().withColumn("_hidden", F.lit(True))
+    return results.join(marks, keys, "left").withColumn("visible", F.col("_hidden").isNull()).drop("_hidden")
+
+
+def view_counts(results: DataFrame) -> DataFrame:
+    """``files, occurrences, visible``: of all results, hidden ones too; and how many are shown."""
+    return results.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("occurrences"), F.lit(0)).alias("occurrences"), F.count_if("visible").alias("visible"))
+
+
 def export_lines(occurrences: DataFrame) -> DataFrame:
     """``path:line:column: text``, without white space at the end."""
     path = result_path(F.col("file_path"), F.col("entry_path"))

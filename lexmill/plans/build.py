@@ -60,12 +60,15 @@ class _Build:
     path: str
     options: BuildOptions
     cancelled: Any
+    progress: Any = None
     seconds: dict[str, float] = field(default_factory=dict)
 
     def step(self, name: str) -> None:
         if self.cancelled():
             raise BuildCancelled("build cancelled")
         self.seconds[name] = time.monotonic()
+        if self.progress:
+            self.progress(name)
 
     def run(self, base: Index | None) -> BuildReport:
         storage = Storage(self.spark, self.path)
@@ -186,7 +189,7 @@ class _Build:
                 storage.delete(found)
 
 
-def _guarded(spark: SparkSession, path: str, options: BuildOptions, base: Index | None, cancelled) -> BuildReport:
+def _guarded(spark: SparkSession, path: str, options: BuildOptions, base: Index | None, cancelled, progress) -> BuildReport:
     options.validate()
     key = path.rstrip("/")
     with _LOCK:
@@ -194,18 +197,22 @@ def _guarded(spark: SparkSession, path: str, options: BuildOptions, base: Index
             raise BuildInProgress(path)
         _BUSY.add(key)
     try:
-        return _Build(spark, path, options, cancelled).run(base)
+        return _Build(spark, path, options, cancelled, progress).run(base)
     finally:
         with _LOCK:
             _BUSY.discard(key)
 
 
-def rebuild_index(spark: SparkSession, path: str, options: BuildOptions, cancelled=lambda: False) -> BuildReport:
-    """Read all roots into a new snapshot, and make it the current one at the end."""
-    return _guarded(spark, path, options, None, cancelled)
+def rebuild_index(spark: SparkSession, path: str, options: BuildOptions, cancelled=lambda: False, progress=None) -> BuildReport:
+    """Read all roots into a new snapshot, and make it the current one at the end.
+
+    ``progress`` is called with the name of each phase as it begins: scan, process,
+    write, report, activate.
+    """
+    return _guarded(spark, path, options, None, cancelled, progress)
 
 
-def update_index(spark: SparkSession, path: str, options: BuildOptions, cancelled=lambda: False) -> BuildReport:
+def update_index(spark: SparkSession, path: str, options: BuildOptions, cancelled=lambda: False, progress=None) -> BuildReport:
     """As a rebuild, but unchanged paths keep their rows and aren't read.
 
     Contents of kept documents stay in the segments that hold them, until these are
@@ -218,4 +225,4 @@ def update_index(spark: SparkSession, path: str, options: BuildOptions, cancelle
         base = None
     if base and (base.options != options or base.manifest.engine != ENGINE):
         base = None
-    return _guarded(spark, path, options, base, cancelled)
+    return _guarded(spark, path, options, base, cancelled, progress)

@@ -53,18 +53,18 @@ class BuildOptions:
 
     def validate(self) -> None:
         if not self.roots:
-            raise InvalidOptions("at least one source directory is required")
+            raise InvalidOptions("name a folder to read: there are no roots")
         limits = {"max_file_size": self.max_file_size, **{k: v for k, v in dataclasses.asdict(self.archives).items() if k not in ("enabled", "max_depth")}}
         for name, value in limits.items():
             if value < 1:
-                raise InvalidOptions(f"{name} must be at least 1")
+                raise InvalidOptions(f"{name} is {value}, but has to be positive")
         if self.fallback_encoding not in (None, "windows-1252"):
             raise InvalidOptions(f"unknown fallback encoding {self.fallback_encoding}")
         policies: dict[tuple[str, ...], RootSpec] = {}
         for root in self.roots:
             other = policies.setdefault(self.root_key(root.path), root)
             if other.recursive != root.recursive:
-                raise InvalidOptions(f"conflicting recursive flags for source root {root.path} (same directory as {other.path})")
+                raise InvalidOptions(f"{root.path} and {other.path} are one folder, but only one of them is to be read with its subfolders")
 
     def root_key(self, path: str) -> tuple[str, ...]:
         """The components of the absolute path, so that ``bin`` doesn't contain ``bin2``."""
@@ -79,15 +79,15 @@ class BuildOptions:
         for root in self.roots:
             key = self.root_key(root.path)
             if (key, root.recursive) in kept:
-                skipped.append((root.path, f"duplicate of source root {kept[key, root.recursive].path}"))
+                skipped.append((root.path, f"the same as {kept[key, root.recursive].path}"))
                 continue
             cover = next((r for (k, recursive), r in kept.items() if recursive and inside(key, k)), None)
             if cover:
-                skipped.append((root.path, f"contained in source root {cover.path}"))
+                skipped.append((root.path, f"read with {cover.path}"))
                 continue
             if root.recursive:
                 for k in [k for k in kept if inside(k[0], key)]:
-                    skipped.append((kept.pop(k).path, f"contained in source root {root.path}"))
+                    skipped.append((kept.pop(k).path, f"read with {root.path}"))
             kept[key, root.recursive] = root
         return tuple(kept.values()), skipped
 

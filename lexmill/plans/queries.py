@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +18,10 @@ from lexmill.functions.paths import extension, path_key
 from lexmill.operators import merge, postings, report, update
 from lexmill.operators import search as S
 from lexmill.operators.view import SORT_KEYS, ViewSpec, export_lines, ranked
-from lexmill.plans.shared import settle
+from lexmill.plans.build import rebuild_index, update_index
+from lexmill.plans.options import BuildOptions, RootSpec
+from lexmill.plans.shared import settle, settled_path
+from lexmill.plans.snapshot import Index
 from lexmill.sources import corpus
 from lexmill.sources.corpus import MAX_FILE_SIZE
 
@@ -294,6 +299,78 @@ def _updated(spark: SparkSession, d: str) -> DataFrame:
 
 _register("update_snapshot_rows", _updated, f"{_STATES} SELECT file_path, CAST(size AS BIGINT) AS size FROM new")
 
+# ---- indexes of real trees ----
+
+
+def _tree(rows: DataFrame, folder: str) -> None:
+    """Write each row (name, text) as a file; the folder is one that executors and driver share."""
+
+    def run(frames):
+        for frame in frames:
+            for name, text in zip(frame["name"], frame["text"], strict=True):
+                with open(f"{folder}/{name}", "w", encoding="utf-8", newline="") as f:
+                    f.write(text)
+            yield frame[["name"]]
+
+    rows.select("name", "text").mapInPandas(run, "name string").write.format("noop").mode("overwrite").save()
+
+
+def _tree_folder(spark: SparkSession) -> str:
+    """A new folder for files; listing and reading need a path of the file system, the same on all machines."""
+    path = settled_path(spark, "tree")
+    if not path.startswith(("file:", "/")):
+        raise ValueError(f"{path} is no path of the file system")
+    folder = urlparse(path).path
+    os.makedirs(folder)
+    return folder
+
+
+def _indexed_tree(spark: SparkSession, index: str) -> DataFrame:
+    rows = Index(spark, index).rows()
+    return rows.select(F.regexp_extract("file_path", "[^/]*$", 0).alias("name"), "ext", "size", "status", F.md5(F.encode("content", "UTF-8")).alias("content_md5"))
+
+
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return docs.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), "text")
+
+
+def _built(spark: SparkSession, d: str) -> DataFrame:
+    folder = _tree_folder(spark)
+    _tree(_named(spark, d), folder)
+    rebuild_index(spark, f"{folder}-index", BuildOptions((RootSpec(folder),)))
+    return _indexed_tree(spark, f"{folder}-index")
+
+
+_register(
+    "index_build_real",
+    _built,
+    "SELECT CAST(doc_id AS VARCHAR) || '.txt' AS name, 'txt' AS ext, strlen(text) AS size, 0 AS status, md5(text) AS content_md5 FROM documents",
+)
+
+
+def _brought_up_to_date(spark: SparkSession, d: str) -> DataFrame:
+    """Two thirds of the documents are built; then some files change, some go, the rest comes, and an update follows."""
+    folder, docs = _tree_folder(spark), _named(spark, d)
+    options = BuildOptions((RootSpec(folder),))
+    _tree(docs.where("doc_id % 3 <> 2"), folder)
+    rebuild_index(spark, f"{folder}-index", options)
+    _tree(docs.where("doc_id % 3 = 2"), folder)
+    _tree(docs.where("doc_id % 5 = 1").withColumn("text", F.concat("text", F.lit(" changed"))), folder)
+    for name in sorted(os.listdir(folder)):
+        if int(name.removesuffix(".txt")) % 7 == 0:
+            os.remove(f"{folder}/{name}")
+    update_index(spark, f"{folder}-index", options)
+    return _indexed_tree(spark, f"{folder}-index")
+
+
+_register(
+    "index_update_equals_rebuild",
+    _brought_up_to_date,
+    """SELECT CAST(doc_id AS VARCHAR) || '.txt' AS name, 'txt' AS ext, strlen(body) AS size, 0 AS status, md5(body) AS content_md5
+    FROM (SELECT doc_id, text || CASE WHEN doc_id % 5 = 1 THEN ' changed' ELSE '' END AS body FROM documents WHERE doc_id % 7 <> 0) AS x""",
+)
+
 # ---- several indexes ----
 
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import io
 import os
+import pickle
+import tempfile
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +23,8 @@ from lexmill.sources.corpus import ERROR, INDEXED, SECURITY, TOO_LARGE
 DDL = "fate string, file_path string, entry_path string, name string, ext string, size long, mtime_ns long, status int, reason string, content string, read long, fallback boolean"
 COLUMNS = [f.split()[0] for f in DDL.split(", ")]
 _BYTES = 8 << 20
+#: Bytes of an archive's rows that are held in memory, and of a nested archive that is opened again.
+SPOOL, NESTED = 32 << 20, 256 << 20
 
 
 def _row(fate: str, path: str, entry: str | None = None, ext: str | None = None, size: int | None = None, mtime: int | None = None, status: int | None = None, why: str | None = None, content: str | None = None, read: int = 0, fallback: bool = False) -> tuple:
@@ -34,13 +39,31 @@ class _Quota(Exception):
     """A limit of the whole archive is used up."""
 
 
+class _Spool:
+    """Rows in order; those of over SPOOL bytes lie in a file of the task's own until they are read back, once."""
+
+    def __init__(self) -> None:
+        self._file = tempfile.SpooledTemporaryFile(max_size=SPOOL)
+        self._rows = 0
+
+    def append(self, row: tuple) -> None:
+        pickle.dump(row, self._file, pickle.HIGHEST_PROTOCOL)
+        self._rows += 1
+
+    def __iter__(self) -> Iterator[tuple]:
+        with self._file as f:
+            f.seek(0)
+            for _ in range(self._rows):
+                yield pickle.load(f)
+
+
 class ArchiveReader:
     """The entries of one archive file and of archives in it, one after another, within limits."""
 
     def __init__(self, path: str, mtime: int | None, options: BuildOptions) -> None:
         self.path, self.mtime, self.options, self.limits = path, mtime, options, options.archives
         self.entries = self.total = 0
-        self.rows: list[tuple] = []
+        self.rows = _Spool()
 
     def _fail(self, entry: str, code: str, message: str) -> None:
         # The row of a failed entry bears the container's extension and no size.
@@ -53,9 +76,9 @@ class ArchiveReader:
         limits = self.limits
         for info in archive.infolist():
             if self.entries >= limits.max_entries:
-                raise _Quota(f"archive exceeds the maximum entry count ({limits.max_entries})")
+                raise _Quota(f"more than {limits.max_entries} entries; the rest is not read")
             if self.total >= limits.max_uncompressed:
-                raise _Quota(f"archive exceeds the maximum total uncompressed bytes ({limits.max_uncompressed})")
+                raise _Quota(f"more than {limits.max_uncompressed} bytes unpacked; the rest is not read")
             name = info.filename
             if name.endswith(("/", "\\")):
                 continue
@@ -77,12 +100,12 @@ class ArchiveReader:
                 continue
             self.total += len(data)
             if len(data) > limit:
-                self._limit(entry, ext, len(data), f"entry exceeds the maximum entry size ({len(data)} > {limit} bytes)")
+                self._limit(entry, ext, len(data), f"an entry of over {limit} bytes")
                 continue
             kind = sniff(data[:SNIFF_PREFIX])
             if nested or kind == "archive":
                 if depth + 1 > limits.max_depth:
-                    self._limit(entry, ext, len(data), f"nested archive exceeds the maximum depth ({limits.max_depth})")
+                    self._limit(entry, ext, len(data), f"an archive nested deeper than {limits.max_depth}")
                     continue
                 try:
                     inner = zipfile.ZipFile(io.BytesIO(data))
@@ -102,7 +125,8 @@ class ArchiveReader:
                 self.rows.append(_row("indexed", self.path, entry, ext, len(data), self.mtime, INDEXED, None, text, len(data), used))
 
 
-def read_archive(path: str, ext: str | None, size: int, mtime: int | None, options: BuildOptions) -> list[tuple]:
+def read_archive(path: str, ext: str | None, size: int, mtime: int | None, options: BuildOptions) -> Iterable[tuple]:
+    """The rows of an archive, if it is the same before and after reading; those of a large one wait in a file."""
     if not options.archives.enabled:
         return [_row("ignored_disabled", path, ext=ext)]
     opened = _row("archive_opened", path, ext=ext)
@@ -122,13 +146,13 @@ def read_archive(path: str, ext: str | None, size: int, mtime: int | None, optio
     try:
         stat = os.stat(path, follow_symlinks=False)
     except OSError:
-        return failed("deleted", "archive disappeared during processing")
+        return failed("deleted", "the archive went away while it was read")
     if (stat.st_size, stat.st_mtime_ns) != (size, mtime):
-        return failed("modified", "archive changed during processing; content is not trusted")
-    return [opened, *reader.rows]
+        return failed("modified", "the archive changed while it was read, so nothing of it counts")
+    return chain([opened], reader.rows)
 
 
-def read_file(path: str, ext: str | None, size: int, mtime: int | None, options: BuildOptions) -> list[tuple]:
+def read_file(path: str, ext: str | None, size: int, mtime: int | None, options: BuildOptions) -> Iterable[tuple]:
     """A file that changes while it is read is read once more, and then given up."""
     fail = lambda code, message: [_row("error", path, None, ext, size, mtime, ERROR, reason(code, message))]
     try:
@@ -190,22 +214,25 @@ def read_files(listing: DataFrame, options: BuildOptions) -> DataFrame:
                     rows = read_archive(path, ext, size, mtime, options)
                 else:
                     rows = read_file(path, ext, size, mtime, options)
-                held += rows
-                load += sum(len(r[9] or "") for r in rows) + len(rows)
-                if load > _BYTES or len(held) > 5000:
-                    yield _batch(held)
-                    held, load = [], 0
+                for row in rows:
+                    held.append(row)
+                    load += len(row[9] or "") + 1
+                    if load > _BYTES or len(held) > 5000:
+                        yield _batch(held)
+                        held, load = [], 0
         yield _batch(held)
 
     return listing.repartition("file_path").mapInArrow(run, DDL)
 
 
 def read_entry(archive: zipfile.ZipFile, entry: str, most: int) -> bytes:
-    """An entry by its path through nested archives; KeyError if there is none."""
+    """An entry by its path through nested archives; KeyError if there is none, OSError if one on the way is over NESTED."""
     head, nested, rest = entry.partition("!/")
     with archive.open(head) as f:
-        data = f.read(most + 1 if not nested else -1)
+        data = f.read(most + 1 if not nested else NESTED + 1)
     if nested:
+        if len(data) > NESTED:
+            raise OSError(f"{head} is an archive of over {NESTED} bytes")
         with zipfile.ZipFile(io.BytesIO(data)) as inner:
             return read_entry(inner, rest, most)
     return data

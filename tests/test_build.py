@@ -236,3 +236,59 @@ def test_contents_of_another_engine_are_read_anew(spark, tmp_path):
     (tmp_path / "index" / os.path.basename(os.path.dirname(manifest)) / ".manifest.json.crc").unlink(missing_ok=True)
     assert update_index(spark, path, how).kind == "full"
     assert update_index(spark, path, how).kind == "update"
+
+
+def test_cancel_stops_a_running_job(spark):
+    import threading
+    import time
+
+    from pyspark.sql import functions as F
+
+    from lexmill.plans.cancel import Cancellation
+
+    slow = spark.range(0, 8, 1, 8).mapInPandas(lambda frames: (time.sleep(60) or f for f in frames), "id long")
+    with Cancellation(spark) as stop:
+        threading.Timer(3, stop.cancel).start()
+        began = time.monotonic()
+        with pytest.raises(Exception, match="(?i)cancel"):
+            slow.agg(F.sum("id")).collect()
+        assert time.monotonic() - began < 30 and stop()
+    assert spark.range(3).count() == 3
+
+
+def test_progress_and_counters_of_several_projects(spark, tmp_path):
+    from lexmill.plans.jobs import project_counters, replaced
+
+    path, how, told = str(tmp_path / "index"), small_tree(tmp_path, "ab"), []
+    rebuild_index(spark, path, how, progress=told.append)
+    assert told == ["scan", "process", "write", "report", "activate"]
+    for live in (False, True):
+        found_rows, outcomes = search_projects(spark, [("p", path), ("q", path), ("r", str(tmp_path / "none"))], "needle", live=live)
+        assert found_rows.count() == 2 and [o.state for o in outcomes] == ["success", "success", "failed"]
+        assert project_counters(outcomes).first()["from_index"] == 4
+        assert project_counters(replaced(outcomes, "q", outcomes[0].counters.withColumn("from_index", outcomes[0].counters["from_index"] * 5))).first()["from_index"] == 12
+
+
+def test_hidden_rows_keep_counts(spark):
+    from lexmill.operators.view import hide, view_counts
+
+    results = spark.createDataFrame([(1, 3), (2, 4)], "doc_id long, occurrences long")
+    rows = hide(results, spark.createDataFrame([(2,), (2,)], "doc_id long"))
+    assert tuple(view_counts(rows).first()) == (2, 7, 1)
+
+
+def test_rows_of_an_archive_wait_in_a_file(spark, tmp_path, monkeypatch):
+    from lexmill.sources import reader
+
+    monkeypatch.setattr(reader, "SPOOL", 1000)
+    (tmp_path / "a.zip").write_bytes(packed({f"e{i}.txt": b"needle " * 100 for i in range(20)}))
+    stat = os.stat(tmp_path / "a.zip")
+    how = BuildOptions((RootSpec(str(tmp_path)),))
+    rows_of = list(reader.read_archive(str(tmp_path / "a.zip"), "zip", stat.st_size, stat.st_mtime_ns, how))
+    assert [r[0] for r in rows_of] == ["archive_opened"] + ["indexed"] * 20
+    assert [r[0] for r in reader.read_archive(str(tmp_path / "a.zip"), "zip", stat.st_size, 5, how)] == ["archive_opened", "error"]
+    monkeypatch.setattr(reader, "NESTED", 10)
+    import zipfile as z
+    inner = packed({"in.zip": packed({"x.txt": b"needle"})})
+    with pytest.raises(OSError), z.ZipFile(io.BytesIO(inner)) as archive:
+        reader.read_entry(archive, "in.zip!/x.txt", 100)
