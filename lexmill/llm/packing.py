@@ -150,7 +150,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
     partition (under one sequence) is merged with those of MERGED - 1 others. So
     only the last sequence of MERGED partitions is short and needs padding.
 
-    Rows that repeat an id are documents of their own. An empty table gives an
+    Rows that repeat an id are documents of their own; a null id stays null in its
+    pieces. An empty table gives an
     empty result; other columns of ``df`` are ignored. Which documents share a
     sequence depends on how the input is split; every id is in one piece always.
     """

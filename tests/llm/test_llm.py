@@ -179,6 +179,64 @@ def test_packing_is_gapless_and_whole(spark, awkward):
     assert set(documents) == set(texts)
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_windows_are_filled_by_best_fit_and_the_fullest_goes_out(seed):
+    """The placing told again on lengths alone, with one window after another asked."""
+    from lexmill.llm.packing import Packer, Piece
+
+    rng = random.Random(seed)
+    full, sizes = 40, [rng.choice([1, 3, 9, 17, 25, 38, 40, 95]) for _ in range(400)]
+    packer = Packer(0, full, 3)
+    for i, n in enumerate(sizes):
+        packer.add(Piece(i, 0, memoryview(bytes(4 * n)), n))
+    out, windows = [], []
+    for i, n in enumerate(sizes):
+        start = 0
+        while n - start >= full:
+            out.append([(i, start, full)])
+            start += full
+        left = n - start
+        if not left:
+            continue
+        used = [sum(p[2] for p in w) for w in windows]
+        fitting = [w for w, u in zip(windows, used, strict=True) if u + left <= full]
+        if fitting:
+            best = max(fitting, key=lambda w: sum(p[2] for p in w))
+            best.append((i, start, left))
+            if sum(p[2] for p in best) == full:
+                out.append(best)
+                windows = [w for w in windows if w is not best]
+            continue
+        if len(windows) == 3:
+            fullest = max(windows, key=lambda w: sum(p[2] for p in w))
+            room = full - sum(p[2] for p in fullest)
+            fullest.append((i, start, room))
+            out.append(fullest)
+            windows = [w for w in windows if w is not fullest]
+            start, left = start + room, left - room
+        windows.append([(i, start, left)])
+    found = collections.defaultdict(list)
+    for doc, start, length, _, _, sequence, *_ in packer.rows:
+        found[sequence].append((doc, start, length))
+    assert [found[k] for k in sorted(found)] == out
+    assert sorted(sum(p[2] for p in w) for w in windows) == sorted(full - f for f in packer.free)
+    left = sum(full - f for f in packer.free)
+    assert sum(map(len, packer.merge())) == left % full
+
+
+def test_bpe_digests_equal_the_library(spark, awkward):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(default_tokenizer_path())
+    library.no_truncation()
+    library.no_padding()
+    expected = collections.Counter()
+    for r in awkward[0]:
+        ids = library.encode(text_of(r), add_special_tokens=False).ids
+        expected[r[0], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
+    assert counted(digest(encode_decode(awkward[1])).collect()) == expected
+
+
 def brute_repeats(texts):
     seen = collections.Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
     out = []
@@ -648,7 +706,7 @@ def test_one_copy_of_a_mirrored_page_reaches_packing(spark):
     rows += [(100 + i, f"{banner}\n{prose(40)}", "en", "s") for i in range(20)]
     docs = frame(spark, rows)
     for _, stage in C.STAGES[1:-1]:
-        docs = stage(spark, docs, "").localCheckpoint()
+        docs = common.settle(stage(spark, docs, ""), "stage")
     left = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert sorted(left) == [0, *range(100, 120)] and left[0].split() == mirrored.split()
     assert all(banner not in t and t for t in left.values())
