@@ -460,8 +460,13 @@ def _rows(names: str, rows: list[tuple], expected: list) -> tuple[Callable[[Spar
     return make, " UNION ALL ".join(f"SELECT {i} AS id, {show(e)} AS value" for i, e in enumerate(expected))
 
 
-def _literal(name: str, names: str, rows: list[tuple], expected: list, value: Callable[[], Column]) -> None:
+def _literal(name: str, names: str, rows: list[tuple], expected: list, value: Callable[[], Column], computed: str | None = None) -> None:
+    """``computed``: what SQL makes of the columns; without it SQL states what is expected."""
     make, sql = _rows(names, rows, expected)
+    if computed:
+        show = lambda x: "NULL" if x is None else _lit(x) if isinstance(x, str) else str(x)
+        values = ", ".join(f"({i}, {', '.join(map(show, r))})" for i, r in enumerate(rows))
+        sql = f"SELECT id, {computed} AS value FROM (VALUES {values}) AS t(id, {', '.join(n.split()[0] for n in names.split(', '))})"
     _register(name, lambda spark, d: make(spark).select("id", value().alias("value")), sql)
 
 
@@ -475,7 +480,8 @@ _WILD = [("*.java", "Foo.java", True), ("*.java", "Foo.java~", False), ("foo?.ja
 _register(
     "wildcard_cases",
     lambda spark, d: spark.createDataFrame([(i, m, n) for i, (m, n, _) in enumerate(_WILD)], "id int, mask string, name string").select("id", _any_mask(F.col("mask"), F.col("name")).alias("value")),
-    " UNION ALL ".join(f"SELECT {i} AS id, {str(e).lower()} AS value" for i, (_, _, e) in enumerate(_WILD)),
+    f"""SELECT id, name ILIKE replace(replace(replace(replace(replace(mask, '!', '!!'), '_', '!_'), '%', '!%'), '*', '%'), '?', '_') ESCAPE '!' AS value
+    FROM (VALUES {", ".join(f"({i}, {_lit(m)}, {_lit(n)})" for i, (m, n, _) in enumerate(_WILD))}) AS t(id, mask, name)""",
 )
 
 
@@ -491,6 +497,8 @@ _literal(
     [("C:/Dir/",), ("c:\\dir",), ("\\\\?\\C:\\Dir\\\\",), ("\\\\?\\UNC\\Srv\\Share",), ("c:\\",), ("/A/b",), ("",)],
     ["c:\\dir", "c:\\dir", "c:\\dir", "\\\\srv\\share", "c:\\", "\\a\\b", ""],
     lambda: path_key(F.col("path")),
+    computed=r"""(SELECT lower(substr(plain, 1, 3) || regexp_replace(substr(plain, 4), '\\+$', '')) FROM (SELECT
+      regexp_replace(regexp_replace(replace(path, '/', chr(92)), '^\\\\\?\\UNC\\', '\\\\'), '^\\\\\?\\', '') AS plain) AS p)""",
 )
 _literal(
     "sniff_classify", "data binary",
@@ -500,14 +508,14 @@ _literal(
 )
 _literal("decode_windows1252", "data binary", [(b"caf\xe9",), (b"A\x81",), (b"\x80\x93x\x94",), (b"abc",)], ["café", "A\x81", "€“x”", "abc"], lambda: decode_windows1252(F.col("data")))
 _literal("decode_utf8_strict", "data binary", [(b"caf\xc3\xa9",), (b"abc\xffdef",), (b"\xef\xbb\xbfx",), (b"",)], ["café", None, "x", ""], lambda: decode_utf8(F.col("data")))
-_literal("extension_cases", "name string", [(".gitignore",), ("noext",), ("a.asp",), ("b.ASP",), ("a.b.txt",), ("x.",)], ["", "", "asp", "asp", "txt", ""], lambda: extension(F.col("name")))
-_literal("leaf_cases", "path string", [("a/b.txt",), ("a\\b",), ("b",), ("a/",), ("a/b\\c",)], ["b.txt", "b", "b", "", "c"], lambda: leaf(F.col("path")))
-_literal("readable_bytes_cases", "n bigint", [(512,), (1024,), (12_897_485,), (3_221_225_472,), (0,)], ["512 B", "1.0 KiB", "12.3 MiB", "3.0 GiB", "0 B"], lambda: readable_bytes(F.col("n")))
-_literal("readable_duration_cases", "s double", [(12.34,), (125.0,), (59.9,), (0.0,)], ["12.3 s", "2 m 05 s", "59.9 s", "0.0 s"], lambda: readable_duration(F.col("s")))
-_literal("readable_time_cases", "s bigint", [(0,), (-1,), (1_700_000_000,)], ["1970-01-01 00:00", "1969-12-31 23:59", "2023-11-14 22:13"], lambda: readable_time(F.col("s")))
-_literal("seconds_floor_cases", "ns bigint", [(1_999_999_999,), (-1,), (None,)], ["1", "-1", None], lambda: seconds_of(F.col("ns")).cast("string"))
-_literal("ellipsize_cases", "t string", [("abcdef",), ("abcd",), ("日本語日本",)], ["abc…", "abcd", "日本語…"], lambda: ellipsize(F.col("t"), 4))
-_literal("size_mib_cases", "t string", [("16",), (" 3 ",), ("0",), ("-1",), ("x",), ("",)], ["16", "3", None, None, None, None], lambda: size_mib(F.col("t")).cast("string"))
+_literal("extension_cases", "name string", [(".gitignore",), ("noext",), ("a.asp",), ("b.ASP",), ("a.b.txt",), ("x.",)], ["", "", "asp", "asp", "txt", ""], lambda: extension(F.col("name")), computed=r"lower(regexp_extract(name, '^.+\.([^.]*)$', 1))")
+_literal("leaf_cases", "path string", [("a/b.txt",), ("a\\b",), ("b",), ("a/",), ("a/b\\c",)], ["b.txt", "b", "b", "", "c"], lambda: leaf(F.col("path")), computed=r"regexp_extract(path, '[^/\\]*$')")
+_literal("readable_bytes_cases", "n bigint", [(512,), (1024,), (12_897_485,), (3_221_225_472,), (0,)], ["512 B", "1.0 KiB", "12.3 MiB", "3.0 GiB", "0 B"], lambda: readable_bytes(F.col("n")), computed=f"CASE WHEN n >= 1073741824 THEN printf('%.1f GiB', n / 1073741824.0) ELSE {_BYTES.format(n='n')} END")
+_literal("readable_duration_cases", "s double", [(12.34,), (125.0,), (59.9,), (0.0,)], ["12.3 s", "2 m 05 s", "59.9 s", "0.0 s"], lambda: readable_duration(F.col("s")), computed="CASE WHEN s < 60 THEN printf('%.1f s', CAST(s AS DOUBLE)) ELSE printf('%d m %02d s', CAST(floor(s) AS BIGINT) // 60, CAST(floor(s) AS BIGINT) % 60) END")
+_literal("readable_time_cases", "s bigint", [(0,), (-1,), (1_700_000_000,)], ["1970-01-01 00:00", "1969-12-31 23:59", "2023-11-14 22:13"], lambda: readable_time(F.col("s")), computed="strftime(make_timestamp(CAST(s AS BIGINT) * 1000000), '%Y-%m-%d %H:%M')")
+_literal("seconds_floor_cases", "ns bigint", [(1_999_999_999,), (-1,), (None,)], ["1", "-1", None], lambda: seconds_of(F.col("ns")).cast("string"), computed="CAST(CAST(floor(ns / 1000000000.0) AS BIGINT) AS VARCHAR)")
+_literal("ellipsize_cases", "t string", [("abcdef",), ("abcd",), ("日本語日本",)], ["abc…", "abcd", "日本語…"], lambda: ellipsize(F.col("t"), 4), computed="CASE WHEN length(t) <= 4 THEN t ELSE substr(t, 1, 3) || '…' END")
+_literal("size_mib_cases", "t string", [("16",), (" 3 ",), ("0",), ("-1",), ("x",), ("",)], ["16", "3", None, None, None, None], lambda: size_mib(F.col("t")).cast("string"), computed="CASE WHEN try_cast(trim(t) AS BIGINT) > 0 THEN CAST(try_cast(trim(t) AS BIGINT) AS VARCHAR) END")
 _literal("overlap_cases", "t string", [("aaa",), ("aaaa",), ("b",)], ["0", "0,2", ""], lambda: F.array_join(find(F.col("t"), "aa"), ","))
 _literal(
     "whole_word_cases", "t string", [("needle2",), ("needle_x",), ("日本needle語",), ("needle needless needle. needle2",), ("(needle)",)], ["", "", "", "0,16", "1"],
