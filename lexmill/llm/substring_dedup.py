@@ -83,21 +83,29 @@ class Texts:
 def _passes(values: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The rows whose bytes are those of another row of their group, and their new groups.
 
-    Most-significant-digit passes: each sorts what is left by group and the next
-    digit of DIGIT bytes, splits the groups by it, and what stands alone leaves.
+    ``group`` is ascending, and so are the new groups. Most-significant-digit
+    passes: each splits the groups by the next digit of DIGIT bytes, by a sort
+    unless all groups agree in it, and what stands alone leaves.
     """
     rows = np.arange(len(values))
-    for at in range(0, values.shape[1], DIGIT):
-        part = np.zeros((len(rows), DIGIT), dtype=np.uint8)
-        digit = values[rows, at : at + DIGIT]
-        part[:, : digit.shape[1]] = digit
-        value = part.view(">u8").astype(U).reshape(-1)
-        order = np.lexsort((value, group))
-        rows, group, value = rows[order], group[order], value[order]
-        new = np.ones(len(rows), dtype=bool)
-        new[1:] = (group[1:] != group[:-1]) | (value[1:] != value[:-1])
-        group = np.cumsum(new) - 1
-        many = np.bincount(group, minlength=1)[group] > 1 if len(group) else np.zeros(0, dtype=bool)
+    for at in range(-DIGIT, values.shape[1], DIGIT):
+        if at >= 0:
+            part = np.zeros((len(rows), DIGIT), dtype=np.uint8)
+            digit = values[rows, at : at + DIGIT]
+            part[:, : digit.shape[1]] = digit
+            value = part.view(">u8").astype(U).reshape(-1)
+            new = np.ones(len(rows), dtype=bool)
+            new[1:] = group[1:] != group[:-1]
+            if (value == value[np.flatnonzero(new)[np.cumsum(new) - 1]]).all():
+                continue
+            order = np.lexsort((value, group))
+            rows, group, value = rows[order], group[order], value[order]
+            new[1:] = (group[1:] != group[:-1]) | (value[1:] != value[:-1])
+            group = np.cumsum(new) - 1
+        if not len(rows):
+            break
+        group = np.unique(group, return_inverse=True)[1]
+        many = np.bincount(group)[group] > 1
         rows, group = rows[many], group[many]
         if not len(rows):
             break

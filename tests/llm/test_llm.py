@@ -276,6 +276,22 @@ def test_repeated_substrings(spark, awkward, monkeypatch, at_once, piece):
     assert left.where("doc_id = 1").first()["text"] is None
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_passes_equal_grouping(seed):
+    rng = np.random.default_rng(seed)
+    values = rng.choice(np.array([97, 98], dtype=np.uint8), size=(300, 5 + 3 * seed), p=[0.9, 0.1])
+    group = np.sort(rng.integers(0, 20, 300)) * 7
+    rows, split = repeats._passes(values, group)
+    classes = collections.defaultdict(list)
+    for i in range(300):
+        classes[int(group[i]), values[i].tobytes()].append(i)
+    found = collections.defaultdict(list)
+    for i, g in zip(rows.tolist(), split.tolist(), strict=True):
+        found[g].append(i)
+    assert sorted(map(sorted, found.values())) == sorted(c for c in classes.values() if len(c) > 1)
+    assert (np.diff(split) >= 0).all() and not len(repeats._passes(values[:0], group[:0])[0])
+
+
 def test_spans():
     assert merged_spans([(5, 9), (0, 3), (3, 4), (8, 12)]) == [(0, 4), (5, 12)]
     assert whole_characters("aéb".encode(), [(2, 4)]) == [(3, 4)] and whole_characters("é".encode(), [(0, 1)]) == []
