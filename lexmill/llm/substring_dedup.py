@@ -104,9 +104,11 @@ def _passes(values: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarr
             group = np.cumsum(new) - 1
         if not len(rows):
             break
-        group = np.unique(group, return_inverse=True)[1]
+        if at < 0:
+            group = np.concatenate([[0], np.cumsum(group[1:] != group[:-1])])
         many = np.bincount(group)[group] > 1
-        rows, group = rows[many], group[many]
+        if not many.all():
+            rows, group = rows[many], group[many]
         if not len(rows):
             break
     return rows, group
