@@ -26,17 +26,18 @@ AT_ONCE = 16384
 #: Bytes of a digit of the radix sort.
 DIGIT = 8
 #: Bytes of a text whose anchors are sought at once: a longer text is cut into pieces that overlap by a window.
-PIECE = 1 << 20
-_NONE = U(0xFFFFFFFFFFFFFFFF)
+#: About so many are sought at once of short texts too, as their arrays then fit a core's cache.
+PIECE = 1 << 17
 
 
-def _sliding(x: np.ndarray, w: int, op: np.ufunc, pad: np.uint64) -> np.ndarray:
-    """op over each w consecutive values, by prefixes and suffixes of blocks of w."""
-    n = len(x)
-    whole = np.concatenate([x, np.full(-n % w, pad, dtype=x.dtype)]).reshape(-1, w)
-    prefix = op.accumulate(whole, axis=1).reshape(-1)
-    suffix = op.accumulate(whole[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    return op(suffix[: n - w + 1], prefix[w - 1 : n])
+def _sliding(x: np.ndarray, w: int, op: np.ufunc) -> np.ndarray:
+    """op, of a minimum or a maximum, over each w consecutive values: over twice as many from step to step."""
+    width = 1
+    while 2 * width <= w:
+        x = op(x[:-width], x[width:])
+        width *= 2
+    left = w - width
+    return op(x[: len(x) - left], x[left:]) if left else x
 
 
 class Texts:
@@ -64,16 +65,16 @@ class Texts:
         none = np.zeros(0, dtype=np.int64)
         if not len(long):
             return none, none
-        p = np.arange(n - GRAM + 1)
-        grams = mix((self._total[GRAM:] - self._total[: n - GRAM + 1]) * self._down[: n - GRAM + 1])
+        # The upper halves of the hashes choose; grams that tie are anchors both.
+        grams = (mix((self._total[GRAM:] - self._total[: n - GRAM + 1]) * self._down[: n - GRAM + 1]) >> U(32)).astype(np.uint32)
         valid = np.zeros(n + 1, dtype=np.int8)
         valid[self.starts[long]] += 1
         valid[self.ends[long] - WINDOW + 1] -= 1
-        window_ok = np.cumsum(valid[:-1])[: n - WINDOW + 1].astype(bool)
-        least = np.where(window_ok, _sliding(grams, SIDE + 1, np.minimum, _NONE), U(0))
-        edge = np.zeros(SIDE, dtype=U)
-        reach = _sliding(np.concatenate([edge, least, edge]), SIDE + 1, np.maximum, U(0))
-        at = p[(reach == grams) & (grams > 0)]
+        window_ok = np.cumsum(valid[:-1], dtype=np.int8)[: n - WINDOW + 1].astype(bool)
+        least = np.where(window_ok, _sliding(grams, SIDE + 1, np.minimum), np.uint32(0))
+        edge = np.zeros(SIDE, dtype=np.uint32)
+        reach = _sliding(np.concatenate([edge, least, edge]), SIDE + 1, np.maximum)
+        at = np.flatnonzero(reach == grams)
         owner = np.searchsorted(self.ends, at, side="right")
         ok = (at + GRAM <= self.ends[owner]) & (self.ends[owner] - self.starts[owner] >= WINDOW)
         at, owner = at[ok], owner[ok]
