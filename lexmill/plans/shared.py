@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,14 +44,38 @@ def settled_path(spark: SparkSession, name: str) -> str:
     return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting by which the shuffle files of an execution go when it ends, not when the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_LOCK, _WRITERS, _BEFORE = threading.Lock(), [0], [""]
+
+
+@contextmanager
+def _freeing(spark: SparkSession) -> Iterator[None]:
+    """Within, CLEANUP is set; the last of several threads puts back what was there before the first."""
+    with _LOCK:
+        if not _WRITERS[0]:
+            _BEFORE[0] = spark.conf.get(CLEANUP, "false")
+            spark.conf.set(CLEANUP, "true")
+        _WRITERS[0] += 1
+    try:
+        yield
+    finally:
+        with _LOCK:
+            _WRITERS[0] -= 1
+            if not _WRITERS[0]:
+                spark.conf.set(CLEANUP, _BEFORE[0])
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts the lineage: what follows survives the loss of any executor, and
-    what is used twice is computed once.
+    what is used twice is computed once. The shuffle files of ``df`` go at once,
+    as nothing reads them once the table is written.
     """
     path = settled_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with _freeing(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
