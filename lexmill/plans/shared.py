@@ -76,10 +76,22 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = settled_path(df.sparkSession, name)
     with _freeing(df.sparkSession):
         df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.settled_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more: all that was made from them is settled itself."""
+    for table in tables:
+        _delete(table.sparkSession, table.settled_at)
 
 
 def forget(spark: SparkSession) -> None:
     """Delete all that this application has settled; results that still read it are lost."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    _delete(spark, _own(spark))
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
