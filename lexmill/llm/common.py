@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.plans.shared import settle, settled_path, shared_dir
+from lexmill.plans.shared import discard, settle, settled_path, shared_dir
 
-__all__ = ["blocks", "id_and_text", "in_batches", "join_counted", "settle", "settled_path", "shared_dir", "table", "tidy"]
+__all__ = ["blocks", "discard", "id_and_text", "in_batches", "join_counted", "settle", "settled_path", "shared_dir", "table", "tidy"]
 
 #: Rows that a Python function holds as Python objects at once.
 BLOCK_ROWS = 256

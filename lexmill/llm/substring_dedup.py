@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_digest
 
-from lexmill.llm.common import blocks, in_batches, join_counted, settle
+from lexmill.llm.common import blocks, discard, in_batches, join_counted, settle
 from lexmill.llm.shingles import U, mix, powers
 
 #: Bytes of a string that counts as repeated, and of the grams at which suffixes are anchored.
@@ -280,11 +280,11 @@ def _covered(contexts: DataFrame) -> DataFrame:
     split by passes over all of them first: from a range of window starts to its
     halves, by the cores of these (see ``repeated_windows``), until they fit or the
     core is a whole window. Equal cores are counted, combined on the map side;
-    they never gather in one task.
+    they never gather in one task. The result is settled, what leads to it is discarded.
     """
     columns = ["gram", "c1", "c2", "n", "left", "right", "bytes"]
     small = [contexts.where(F.col("m") <= AT_ONCE).select(F.col("gram").alias("key"), *columns)]
-    whole = []
+    whole, splits = [], []
     large = contexts.where(F.col("m") > AT_ONCE).select(*columns, F.lit(0).alias("first"), F.lit(SIDE).alias("last"))
     while not large.isEmpty():
         middle = F.floor((F.col("first") + F.col("last")) / 2).cast("int")
@@ -292,9 +292,11 @@ def _covered(contexts: DataFrame) -> DataFrame:
         split = large.withColumn("half", halves).select(*columns, "half.*")
         split = split.where((F.col("left") >= F.col("first")) & (F.col("right") >= F.lit(SIDE) - F.col("last")))
         core = F.substr("bytes", F.lit(SIDE + 1) - F.col("first"), F.lit(GRAM + SIDE) + F.col("first") - F.col("last"))
-        split = settle(split.withColumn("core", core), "split")
-        groups = settle(split.groupBy("first", "core").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "cores")
-        split = settle(join_counted(split, groups, ["first", "core"], "m", ["c1", "c2"]), "split")
+        cored = settle(split.withColumn("core", core), "cored")
+        groups = settle(cored.groupBy("first", "core").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "cores")
+        split = settle(join_counted(cored, groups, ["first", "core"], "m", ["c1", "c2"]), "split")
+        discard(cored, groups)
+        splits.append(split)
         windows = split.where("first = last")
         whole.append(windows.select("gram", "c1", "c2", "n", (F.lit(SIDE) - F.col("first")).cast("long").alias("lo"), (F.lit(SIDE + WINDOW) - F.col("first")).cast("long").alias("hi")))
         # A part of the windows is left to sort: so the context reaches only as far as these.
@@ -304,7 +306,10 @@ def _covered(contexts: DataFrame) -> DataFrame:
         large = split.where((F.col("m") > AT_ONCE) & (F.col("first") < F.col("last"))).drop("core", "m")
     rows = reduce(DataFrame.unionByName, small)
     found = rows.repartition("key").sortWithinPartitions("key", "left", "right", "c1", "c2").transform(in_batches, _sorted_groups, COVERED_DDL)
-    return reduce(DataFrame.unionByName, whole, found).groupBy("gram", "c1", "c2").agg(F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    covered = reduce(DataFrame.unionByName, whole, found).groupBy("gram", "c1", "c2").agg(F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    covered = settle(covered, "covered")
+    discard(contexts, *splits)
+    return covered
 
 
 def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -377,10 +382,12 @@ def cut_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     docs = df.select(*[c.alias(n) for n, c in names.items()], F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     long = docs.where(F.octet_length("text") >= WINDOW)
     grams = long.transform(in_batches, _anchored(False, PIECE), "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1")
-    anchors = join_counted(long.transform(in_batches, _anchored(True, PIECE), "gram long, doc long, fp long, place long"), settle(grams, "grams"), ["gram"], "seen", ["doc", "fp", "place"])
+    grams = settle(grams, "grams")
+    anchors = join_counted(long.transform(in_batches, _anchored(True, PIECE), "gram long, doc long, fp long, place long"), grams, ["gram"], "seen", ["doc", "fp", "place"])
     places = anchors.groupBy("doc", "fp").agg(F.collect_set("place").alias("places"))
     touched = long.join(places, ["doc", "fp"]).groupBy("doc", "fp").agg(F.first("text").alias("text"), F.first("places").alias("places"), F.count(F.lit(1)).alias("copies"))
     touched = settle(touched, "touched")
+    discard(grams)
     members = settle(touched.transform(in_batches, _members, MEMBERS_DDL), "members")
 
     here = F.struct("doc", "fp", "place")
@@ -390,8 +397,9 @@ def cut_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     sought = join_counted(classes, kinds, ["gram"], "kinds", ["c1", "c2"]).select("gram", "c1", "c2", "n", "m", F.explode("two").alias("at"))
     wanted = sought.groupBy("at.doc", "at.fp").agg(F.collect_list(F.struct("gram", "c1", "c2", "n", "m", F.col("at.place").alias("place"))).alias("wanted"))
     contexts = settle(touched.select("doc", "fp", "text").join(wanted, ["doc", "fp"]).select("text", "wanted").transform(in_batches, _contexts, CONTEXTS_DDL), "bytes")
+    discard(classes, kinds)
 
-    covered = settle(_covered(contexts), "covered")
+    covered = _covered(contexts)
     a, b = F.col("place") - SIDE + F.col("lo"), F.col("place") - SIDE + F.col("hi")
     spans = join_counted(members, covered, ["gram", "c1", "c2"], "n", ["doc", "fp", "place"]).select("doc", "fp", F.struct(a.alias("a"), b.alias("b")).alias("span"))
     # A text that stands in several rows of one id repeats as a whole.
